@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.bpe import op6_bpe
 from tessera.llm.packing import op10_packing
+from tessera.llm.secrets import op7_secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe": op6_bpe,
+    "op7_secrets": op7_secrets,
     "op10_packing": op10_packing,
 }
 
