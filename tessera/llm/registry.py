@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.bpe import op6_bpe
+from tessera.llm.media import op3_media
 from tessera.llm.packing import op10_packing
 from tessera.llm.secrets import op7_secrets
+from tessera.llm.simhash import op5_simhash
+from tessera.llm.warc import op2_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc": op2_warc,
+    "op3_media": op3_media,
+    "op5_simhash": op5_simhash,
     "op6_bpe": op6_bpe,
     "op7_secrets": op7_secrets,
     "op10_packing": op10_packing,
