@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.bpe import op6_bpe
+from tessera.llm.jaccard import op9_jaccard
 from tessera.llm.media import op3_media
 from tessera.llm.packing import op10_packing
 from tessera.llm.secrets import op7_secrets
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op6_bpe": op6_bpe,
     "op7_secrets": op7_secrets,
+    "op9_jaccard": op9_jaccard,
     "op10_packing": op10_packing,
 }
 
