@@ -12,6 +12,7 @@ from tessera.llm.media import op3_media
 from tessera.llm.packing import op10_packing
 from tessera.llm.secrets import op7_secrets
 from tessera.llm.simhash import op5_simhash
+from tessera.llm.suffixes import op8_suffixes
 from tessera.llm.warc import op2_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op6_bpe": op6_bpe,
     "op7_secrets": op7_secrets,
+    "op8_suffixes": op8_suffixes,
     "op9_jaccard": op9_jaccard,
     "op10_packing": op10_packing,
 }
