@@ -13,9 +13,11 @@ from tessera.llm.packing import op10_packing
 from tessera.llm.secrets import op7_secrets
 from tessera.llm.simhash import op5_simhash
 from tessera.llm.suffixes import op8_suffixes
+from tessera.llm.toxicity import op1_toxicity
 from tessera.llm.warc import op2_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_warc": op2_warc,
     "op3_media": op3_media,
     "op5_simhash": op5_simhash,
