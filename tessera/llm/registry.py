@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.bpe import op6_bpe
 from tessera.llm.jaccard import op9_jaccard
+from tessera.llm.language import language_of_pages, op4_language
 from tessera.llm.media import op3_media
 from tessera.llm.packing import op10_packing
 from tessera.llm.secrets import op7_secrets
@@ -20,6 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_warc": op2_warc,
     "op3_media": op3_media,
+    "op4_language": op4_language,
+    "language_of_pages": language_of_pages,
     "op5_simhash": op5_simhash,
     "op6_bpe": op6_bpe,
     "op7_secrets": op7_secrets,

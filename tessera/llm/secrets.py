@@ -15,7 +15,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, texts
+from tessera.llm.common import table
 
 #: Strings that one spot of a pattern may expand to before the query gives up on telling them apart.
 MOST_FORMS = 64
@@ -173,12 +173,13 @@ def _least_pattern(rule: Rule) -> str:
     return f"{head}{{{max(1, rule.least - fixed)},}}"
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, spans (array<struct<at, kind, upto>> by at, then rule) of each row.
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, spans (array<struct<at, kind, upto>> by at, then rule) of each row, and rest, a struct of the columns `keep`.
 
     Null texts count as empty, have no spans; equal rows give equal rows; null ids are kept. Other columns are left behind.
     """
-    docs = _keyed(texts(docs, id_col, text_col))
+    more = [F.struct(*keep).alias("rest")] if keep else []
+    docs = _keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *more))
     found = candidates(postings(docs.select("doc_id", "text"), rules), rules)
     found = found.select(F.col("doc_id").alias("found_id"), F.col("text_key").alias("found_key"), "kinds")
     joined = docs.join(found, (F.col("found_key") == docs.text_key) & F.col("found_id").eqNullSafe(docs.doc_id), "left")
@@ -187,7 +188,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     for i, r in enumerate(rules):
         due = F.array_contains("kinds", r.kind) if trigram_query(r) is not None else _quick(r)
         parts.append(F.when(F.coalesce(due, F.lit(False)), _spans(r, i)).otherwise(none))
-    return joined.select("doc_id", "text", F.array_sort(F.concat(*parts)).alias("spans"))
+    return joined.select("doc_id", "text", F.array_sort(F.concat(*parts)).alias("spans"), *(["rest"] if keep else []))
 
 
 def mask(text: Column, spans: Column, by: str = "*") -> Column:

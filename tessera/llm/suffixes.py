@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shuffle_parts, stored, table, texts
+from tessera.llm.common import shuffle_parts, stored, table
 
 WIDTH, GRAM = 100, 32
 #: Distance of cover positions from each other; the anchor of a block is one.
@@ -311,16 +311,17 @@ def merged(start: np.ndarray, upto: np.ndarray) -> list[tuple[int, int]]:
 
 
 def spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """docs (doc_id, text, text_key) with spans: the bytes, start to upto, covered by a width-byte string that also starts earlier; null: none."""
+    """docs (doc_id, text, text_key and more) with spans: the bytes, start to upto, covered by a width-byte string that also starts earlier; null: none."""
     parts = shuffle_parts(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(parts, int(size * 2 / (width - gram + 2)) // BUCKET_ANCHORS)
-    found = stored(_blocks(docs, buckets, width, gram), "found")
+    own = docs.select("doc_id", "text", "text_key")
+    found = stored(_blocks(own, buckets, width, gram), "found")
     to_sort = found.where("kind = 1").count()
-    compared = stored(_compared(docs, found, max(parts, to_sort // BUCKET_RUNS), width, gram), "compared")
+    compared = stored(_compared(own, found, max(parts, to_sort // BUCKET_RUNS), width, gram), "compared")
     covers = found.where("kind = 0").select("doc_id", "text_key", "start", "upto").unionByName(compared)
     per = covers.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "upto")).alias("spans")).withColumnsRenamed({"doc_id": "c_id", "text_key": "c_key"})
-    return docs.join(per, (docs.text_key == F.col("c_key")) & docs.doc_id.eqNullSafe(F.col("c_id")), "left").select("doc_id", "text_key", "text", "spans")
+    return docs.join(per, (docs.text_key == F.col("c_key")) & docs.doc_id.eqNullSafe(F.col("c_id")), "left").drop("c_id", "c_key")
 
 
 def _each(batch):
@@ -341,12 +342,13 @@ def _kept(data: bytes, removed: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return texts(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
+def _keyed(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *([F.struct(*keep).alias("rest")] if keep else []))
+    return found.withColumn("text_key", F.xxhash64("text"))
 
 
-def deduplicated(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_key, kept (the text without the removed bytes; bytes of a character cut in two go too), n_removed.
+def deduplicated(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, kept (the text without the removed bytes; bytes of a character cut in two go too), n_removed, and rest, a struct of the columns `keep`.
 
     Earlier means a smaller doc_id (null ids last; among equal ids, by text hash) or an earlier start in the same text.
     Rows repeated in id and text count as one document and keep the same bytes. Texts under `width` bytes, null or empty ones keep all.
@@ -355,9 +357,12 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
     def run(batches):
         for b in batches:
             found = [(_kept(d, r).decode(errors="ignore"), sum(j - i for i, j in r)) for d, r in _each(b)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array([x for x, _ in found], type=pa.string()), pa.array([n for _, n in found], type=pa.int64())], names=["doc_id", "text_key", "kept", "n_removed"])
+            rest = [b.column("rest")] if keep else []
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x for x, _ in found], type=pa.string()), pa.array([n for _, n in found], type=pa.int64()), *rest], names=["doc_id", "kept", "n_removed", *(["rest"] if keep else [])])
 
-    return spans(_keyed(docs, id_col, text_col), width).mapInArrow(run, "doc_id long, text_key long, kept string, n_removed long")
+    own = _keyed(docs, id_col, text_col, keep)
+    rest = f", rest {own.schema['rest'].dataType.simpleString()}" if keep else ""
+    return spans(own, width).mapInArrow(run, f"doc_id long, kept string, n_removed long{rest}")
 
 
 def digests(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
