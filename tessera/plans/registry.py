@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "flagship"
+from tessera.plans import fusion, vectors
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = vectors.QUERIES | fusion.QUERIES
+ORACLE_SQL: dict[str, str] = vectors.ORACLE_SQL | fusion.ORACLE_SQL
+FLAGSHIP = "rrf_weighted"
