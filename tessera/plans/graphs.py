@@ -354,7 +354,7 @@ def bio_spans(spark: SparkSession, sf: str) -> DataFrame:
 
 def claims_ranked(spark: SparkSession, sf: str) -> DataFrame:
     """Claims by how they match: subject 1, object 0.95, near 0.8, part 0.7; then confidence."""
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("claim"), F.col("o_orderpriority").alias("subject"), F.col("o_orderstatus").alias("object"), F.round(F.col("o_totalprice") / 500000, 6).alias("confidence"))
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("claim"), F.col("o_orderpriority").alias("subject"), F.col("o_orderstatus").alias("object"), F.round(F.col("o_totalprice") / 1000000, 8).alias("confidence"))
     match = F.when(F.col("subject") == "1-URGENT", 1.0).when(F.col("object") == "P", 0.95).when(F.contains("subject", F.lit("HIGH")), 0.8).otherwise(0.7)
     return o.withColumn("match", match).orderBy(F.desc("match"), F.desc("confidence"), "claim").limit(100).select("claim", "match", "confidence")
 
@@ -472,7 +472,7 @@ ORACLE_SQL = {
     "point_lookup": f"{_M} SELECT chunk_id, entity FROM mentions WHERE chunk_id IN (1, 2, 3, 5, 8, 13, 21)",
     "graph_document": f"{with_('mentions', 'entities')}, {_CO}, n AS (SELECT type || ':' || entity AS id, entity FROM entities WHERE importance != 'low') SELECT x.id AS a_id, y.id AS b_id, frequency FROM co JOIN n x ON a = x.entity JOIN n y ON b = y.entity WHERE frequency >= 2",
     "bio_spans": "WITH t AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'B' WHEN 'assistant' THEN 'I' ELSE 'O' END AS tag FROM conversations), s AS (SELECT *, sum(CAST(tag != 'I' AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY turn) AS span FROM t) SELECT conv_id, min(turn) AS start, max(turn) AS upto FROM s GROUP BY conv_id, span HAVING arg_min(tag, turn) = 'B'",
-    "claims_ranked": "SELECT o_orderkey AS claim, CAST(CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0 WHEN o_orderstatus = 'P' THEN 0.95 WHEN contains(o_orderpriority, 'HIGH') THEN 0.8 ELSE 0.7 END AS DOUBLE) AS match, round(o_totalprice / 500000, 6) AS confidence FROM orders ORDER BY match DESC, confidence DESC, claim LIMIT 100",
+    "claims_ranked": "SELECT o_orderkey AS claim, CAST(CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0 WHEN o_orderstatus = 'P' THEN 0.95 WHEN contains(o_orderpriority, 'HIGH') THEN 0.8 ELSE 0.7 END AS DOUBLE) AS match, round(o_totalprice / 1000000, 8) AS confidence FROM orders ORDER BY match DESC, confidence DESC, claim LIMIT 100",
     "graph_retrieval": f"{_ranks(ROUNDS)}, {with_('mentions')[5:]} SELECT chunk_id, round(sum(rank), 8) AS score FROM mentions JOIN p{ROUNDS} ON node = entity WHERE rank > 0.001 GROUP BY chunk_id ORDER BY score DESC, chunk_id LIMIT 10",
     "local_mode": f"""{with_("mentions", "entities", "vectors")}, g AS (SELECT chunk_id, round(least(0.95, 0.92 * max(confidence)), 6) AS score, 'entity' AS via FROM mentions WHERE entity IN (SELECT entity FROM entities WHERE contains(name, 'widget')) GROUP BY chunk_id),
       v AS (SELECT vec_id AS chunk_id, round(list_cosine_similarity(v, (SELECT v FROM vectors WHERE vec_id = 0)), 6) AS score, 'vector' AS via FROM vectors WHERE vec_id != 0), u AS (SELECT * FROM g UNION ALL SELECT * FROM v), r AS (SELECT *, row_number() OVER (PARTITION BY via ORDER BY score DESC, chunk_id) AS n FROM u)

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import fusion, vectors
+from tessera.plans import documents, fusion, graphs, temporal, texts, vectors
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = vectors.QUERIES | fusion.QUERIES
-ORACLE_SQL: dict[str, str] = vectors.ORACLE_SQL | fusion.ORACLE_SQL
+_PARTS = (vectors, fusion, texts, documents, graphs, temporal)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: f for m in _PARTS for n, f in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {n: s for m in _PARTS for n, s in m.ORACLE_SQL.items()}
 FLAGSHIP = "rrf_weighted"
