@@ -41,4 +41,4 @@ def ndcg(rows: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
 def summary(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Mean, population deviation, least, greatest and count."""
     v = F.col(value)
-    return rows.groupBy(*by).agg(F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_pop(v), 6).alias("std"), F.min(v).alias("least"), F.max(v).alias("greatest"), F.count(v).alias("n"))
+    return rows.groupBy(*by).agg(F.round(F.avg(v), 9).alias("mean"), F.round(F.stddev_pop(v), 6).alias("std"), F.min(v).alias("least"), F.max(v).alias("greatest"), F.count(v).alias("n"))

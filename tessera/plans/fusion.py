@@ -142,20 +142,20 @@ def metric_summary(spark: SparkSession, sf: str) -> DataFrame:
 def mode_pivot(spark: SparkSession, sf: str) -> DataFrame:
     """Metric by mode: a column for each event type."""
     rows = table(spark, sf, "events").withColumn("hour", F.hour("ts").cast("long"))
-    out = rows.groupBy("hour").pivot("event_type", ORDER).agg(F.round(F.avg("value"), 6))
+    out = rows.groupBy("hour").pivot("event_type", ORDER).agg(F.round(F.avg("value"), 9))
     return out.select("hour", *(F.col(c).alias(f"avg_{c}") for c in ORDER))
 
 
 def best_mode(spark: SparkSession, sf: str) -> DataFrame:
     """The mode with the best mean for each query, and its mean."""
-    per = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.round(F.avg("value"), 6).alias("mean"))
+    per = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.round(F.avg("value"), 9).alias("mean"))
     return per.groupBy("user_id").agg(F.min_by("event_type", F.struct(-F.col("mean"), "event_type")).alias("best_mode"), F.max("mean").alias("mean"))
 
 
 def grouped_modes(spark: SparkSession, sf: str) -> DataFrame:
     """Counts and means by mode, by hour, and over all."""
     rows = table(spark, sf, "events").withColumn("hour", F.hour("ts").cast("long"))
-    return rows.groupingSets([["event_type"], ["hour"], []], "event_type", "hour").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    return rows.groupingSets([["event_type"], ["hour"], []], "event_type", "hour").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 9).alias("mean"))
 
 
 def hop_buckets(spark: SparkSession, sf: str) -> DataFrame:
@@ -219,10 +219,10 @@ ORACLE_SQL = {
     "ndcg10": f"""{_BEST}, {_RESULTS}, g AS (SELECT query_id, sum(relevance / log2(rank + 1)) AS dcg FROM judged WHERE rank <= 10 GROUP BY query_id),
       i AS (SELECT query_id, sum(relevance / log2(i + 1)) AS best FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, chunk_id) AS i FROM qrels) WHERE i <= 10 GROUP BY query_id)
       SELECT query_id, round(CASE WHEN best > 0 THEN dcg / best ELSE 0 END, 6) AS ndcg FROM g LEFT JOIN i USING (query_id)""",
-    "metric_summary": "SELECT event_type, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, min(value) AS least, max(value) AS greatest, count(value) AS n FROM events GROUP BY event_type",
-    "mode_pivot": "SELECT hour(ts) AS hour, " + ", ".join(f"round(avg(value) FILTER (event_type = '{c}'), 6) AS avg_{c}" for c in ORDER) + " FROM events GROUP BY 1",
-    "best_mode": "WITH p AS (SELECT user_id, event_type, round(avg(value), 6) AS mean FROM events GROUP BY ALL) SELECT user_id, event_type AS best_mode, mean FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY mean DESC, event_type) AS n FROM p) WHERE n = 1",
-    "grouped_modes": "SELECT event_type, hour, count(*) AS n, round(avg(value), 6) AS mean FROM (SELECT *, hour(ts) AS hour FROM events) GROUP BY GROUPING SETS ((event_type), (hour), ())",
+    "metric_summary": "SELECT event_type, round(avg(value), 9) AS mean, round(stddev_pop(value), 6) AS std, min(value) AS least, max(value) AS greatest, count(value) AS n FROM events GROUP BY event_type",
+    "mode_pivot": "SELECT hour(ts) AS hour, " + ", ".join(f"round(avg(value) FILTER (event_type = '{c}'), 9) AS avg_{c}" for c in ORDER) + " FROM events GROUP BY 1",
+    "best_mode": "WITH p AS (SELECT user_id, event_type, round(avg(value), 9) AS mean FROM events GROUP BY ALL) SELECT user_id, event_type AS best_mode, mean FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY mean DESC, event_type) AS n FROM p) WHERE n = 1",
+    "grouped_modes": "SELECT event_type, hour, count(*) AS n, round(avg(value), 9) AS mean FROM (SELECT *, hour(ts) AS hour FROM events) GROUP BY GROUPING SETS ((event_type), (hour), ())",
     "hop_buckets": f"{_RANKED} SELECT query_id, count(*) FILTER (rank = 1) AS hop_0, count(*) FILTER (rank = 2) AS hop_1, count(*) FILTER (rank > 2) AS hop_2_plus, count(DISTINCT document_id) AS documents FROM ranked GROUP BY query_id",
     "first_relevant": f"{_BEST}, {_RESULTS} SELECT query_id, min(rank) FILTER (relevance > 0) AS first, round(avg(CAST(relevance > 0 AS DOUBLE)), 6) AS coverage FROM judged GROUP BY query_id",
 }

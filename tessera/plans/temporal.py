@@ -101,7 +101,7 @@ ORACLE_SQL = {
     "validity": f"{_F} SELECT o_orderkey, round(CAST(CASE WHEN TIMESTAMP '{REFERENCE}' > o_orderdate + INTERVAL 5 YEARS THEN 0.1 ELSE c END AS DOUBLE), 9) AS confidence FROM f",
     "temporal_rank": f"{_F} SELECT o_orderkey, round(c * 0.7 + ({_DECAY['exponential']}) * ({_FRESH}) * 0.3, 9) AS final FROM f ORDER BY final DESC, o_orderkey LIMIT 100",
     "window_metrics": f"SELECT {_DAY} AS start, count(*) AS n, " + ", ".join(f"round(quantile_cont(value, {q / 100}), 6) AS p{q}" for q in (50, 95, 99)) + ", round(count(*) FILTER (event_type = 'error') / count(*), 6) AS error_rate, round(count(*) FILTER (event_type = 'view') / count(*), 6) AS hit_rate FROM events GROUP BY 1",
-    "window_counts": "SELECT epoch(time_bucket(INTERVAL '5 minutes', ts))::BIGINT AS start, count(*) AS n, round(avg(value), 6) AS mean, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1",
+    "window_counts": "SELECT epoch(time_bucket(INTERVAL '5 minutes', ts))::BIGINT AS start, count(*) AS n, round(avg(value), 9) AS mean, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1",
     "last_hundred": "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 9) AS mean FROM events",
     "slow_traces": "SELECT event_id, value, event_type = 'error' AS failed FROM events WHERE value > 300 OR event_type = 'error' ORDER BY value DESC, event_id LIMIT 50",
     "trace_durations": "SELECT user_id, day(ts) AS day, count(*) AS steps, round(sum(value), 4) AS total, datediff('microsecond', min(ts), max(ts)) // 1000000 AS seconds FROM events GROUP BY ALL",

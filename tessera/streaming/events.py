@@ -18,7 +18,7 @@ def timed(events: DataFrame) -> DataFrame:
 
 
 def _counts() -> list[Column]:
-    return [F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.count_if(F.col("event_type") == "error").alias("errors")]
+    return [F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 9).alias("mean"), F.count_if(F.col("event_type") == "error").alias("errors")]
 
 
 def windowed(events: DataFrame, window: str = WINDOW) -> DataFrame:
