@@ -28,6 +28,8 @@ SMOOTHING = 10.0
 UNKNOWN_PRIOR, DECLARED_RIGHT, SUFFIX_RIGHT = 0.01, 0.9, 0.8
 #: Country suffixes that go with a language.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en"}
+#: Share of a language's trigrams that the model takes to be anything, so that unseen ones don't outweigh the rest.
+UNSEEN = 0.2
 _SALTS = 16
 _TO_SPACE = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
@@ -56,8 +58,8 @@ def fit(rows: list[tuple[str, str]], languages: tuple[str, ...] = LANGUAGES) ->
     counts = np.zeros((BUCKETS, len(languages)))
     for text, language in rows:
         np.add.at(counts[:, languages.index(language)], trigrams(text), 1)
-    smooth = 0.02
-    log_p = np.log((counts + smooth) / (counts.sum(axis=0) + smooth * BUCKETS))
+    p = (counts + 0.02) / (counts.sum(axis=0) + 0.02 * BUCKETS)
+    log_p = np.log((1 - UNSEEN) * p + UNSEEN / BUCKETS)
     return TextModel(np.column_stack([log_p, np.full(BUCKETS, -np.log(BUCKETS))]).astype(np.float32))
 
 

@@ -109,7 +109,7 @@ def _blocks(docs: DataFrame, buckets: int, width: int, gram: int) -> DataFrame:
                 twice = block[same][1:] == block[same][:-1]
                 pick = same[np.concatenate(([False], twice)) | np.concatenate((twice, [False]))]
                 pick = pick[np.lexsort((first[pick], keys[doc[pick]], ids[doc[pick]], content[pick], block[pick]))]
-                later = np.concatenate(([False], (block[pick][1:] == block[pick][:-1]) & (content[pick][1:] == content[pick][:-1])))
+                later = np.concatenate(([False], (block[pick][1:] == block[pick][:-1]) & (content[pick][1:] == content[pick][:-1])))[: len(pick)]
                 head = np.maximum.accumulate(np.where(later, 0, np.arange(len(pick)))) if len(pick) else np.empty(0, dtype=np.int64)
                 own = later & ~((ids[doc[pick]] == ids[doc[pick[head]]]) & (keys[doc[pick]] == keys[doc[pick[head]]]) & (first[pick] == first[pick[head]])) if len(pick) else later
                 covered = pick[own]
