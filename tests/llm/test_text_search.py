@@ -168,3 +168,15 @@ def test_odd_simhash(spark):
     assert got[1, 5].edited_sha256 == hashlib.sha256("a b x".encode()).hexdigest()  # the null id comes last
     assert got[None, 5].edited_sha256 == hashlib.sha256("x y q".encode()).hexdigest()  # after it the largest
     assert simhash.compare_next(odd.limit(0)).count() == 0 and simhash.compare_next(odd.limit(1)).count() == 1
+
+
+def test_components_in_one_task_and_in_rounds(spark):
+    from tessera.llm.components import components
+
+    rng = random.Random(11)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(110)] + [(i, i + 1) for i in range(1000, 1040)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    one = sorted(map(tuple, components(df).collect()))
+    assert one == sorted(map(tuple, components(df, small=0).collect()))
+    assert dict(one)[1040] == 1000
+    assert components(df.limit(0)).count() == components(df.limit(0), small=-1).count() == 0
