@@ -61,7 +61,7 @@ class _Table(dict):
 class ForcedBoundaryBPE:
     """Encodes like the tokenizers library does with the same file, add_special_tokens=False, no truncation or padding."""
 
-    def __init__(self, path: str, held_words: int = 300_000):
+    def __init__(self, path: str, held_words: int = 100_000, held_chunks: int = 1_000_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -74,10 +74,10 @@ class ForcedBoundaryBPE:
         letters = byte_letters()
         self.inner = [vocab[letters[b]] for b in range(256)]
         self.last = [vocab[letters[b] + self.suffix] for b in range(256)]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.merges: dict[tuple[int, int], int] = {}  # rank, and in the low 20 bits the id that comes out
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[vocab[a], vocab[b]] = rank, vocab[a + b]
+            self.merges[vocab[a], vocab[b]] = rank << 20 | vocab[a + b]
         back = {c: b for b, c in letters.items()}
         self.joined = np.zeros((256, 256), dtype=bool)
         for token in vocab:
@@ -86,8 +86,13 @@ class ForcedBoundaryBPE:
         self._cut = (~self.joined).tobytes()
         self.splitter = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._ids = _Table(self._word, held_words)
-        self._chunk_decimal = _Table(lambda c: " ".join(map(str, self._chain(_PLAIN_WORDS.findall(c)))), held_words)
-        self._chunk_packed = _Table(lambda c: self._pack(self._chain(_PLAIN_WORDS.findall(c))), held_words)
+        self._chunk_decimal = _Table(lambda c: " ".join(map(str, self._chain(_PLAIN_WORDS.findall(c)))), held_chunks)
+        self._chunk_packed = _Table(lambda c: self._pack(self._chain(_PLAIN_WORDS.findall(c))), held_chunks)
+
+    def forget(self) -> None:
+        """Empty the tables; workers live on after a task, and other stages need the memory."""
+        for t in (self._ids, self._chunk_decimal, self._chunk_packed):
+            t.clear()
 
     def fragments(self, word: bytes) -> list[bytes]:
         """The word cut at every byte pair that no vocabulary token holds."""
@@ -98,14 +103,11 @@ class ForcedBoundaryBPE:
         return [word[i:j] for i, j in zip([0, *at], [*at, len(word)], strict=True)] if at else [word]
 
     def _merge(self, ids: list[int]) -> list[int]:
-        get, none = self.merges.get, (1 << 60, 0)
+        get, none = self.merges.get, 1 << 60
         ranks = [get(p, none) for p in zip(ids, ids[1:])]
-        while ranks:
-            least = min(ranks)
-            if least[0] == none[0]:
-                break
+        while ranks and (least := min(ranks)) != none:
             i = ranks.index(least)
-            ids[i : i + 2] = [least[1]]
+            ids[i : i + 2] = [least & 0xFFFFF]
             del ranks[i]
             if i < len(ranks):
                 ranks[i] = get((ids[i], ids[i + 1]), none)
@@ -120,25 +122,29 @@ class ForcedBoundaryBPE:
         n = len(ids)
         after, before, alive = [*range(1, n + 1)], [*range(-1, n - 1)], [True] * n
         get = self.merges.get
-        heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := get((ids[i], ids[i + 1])))]
+        heap = [(m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := get((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b, new = heapq.heappop(heap)
-            j = after[i]
+            m, i, a, b = heapq.heappop(heap)
+            new, j = m & 0xFFFFF, after[i]
             if not alive[i] or j >= n or ids[i] != a or ids[j] != b:
                 continue
             ids[i], alive[j] = new, False
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
-                if m := get((new, ids[after[i]])):
-                    heapq.heappush(heap, (m[0], i, new, ids[after[i]], m[1]))
-            if (p := before[i]) >= 0 and (m := get((ids[p], new))):
-                heapq.heappush(heap, (m[0], p, ids[p], new, m[1]))
+                if (m := get((new, ids[after[i]]))) is not None:
+                    heapq.heappush(heap, (m, i, new, ids[after[i]]))
+            if (p := before[i]) >= 0 and (m := get((ids[p], new))) is not None:
+                heapq.heappush(heap, (m, p, ids[p], new))
         return [x for x, keep in zip(ids, alive, strict=True) if keep]
 
     def _word(self, word: str) -> list[int]:
-        pieces = self.fragments(word.encode("utf-8"))
+        pieces = self.fragments(word.encode())
+        if len(pieces) == 1 and len(word) < 200:
+            ids = [self.inner[b] for b in pieces[0]]
+            ids[-1] = self.last[pieces[0][-1]]
+            return self._merge(ids)
         out: list[int] = []
         for k, piece in enumerate(pieces, 1):
             ids = [self.inner[b] for b in piece]
@@ -198,7 +204,7 @@ class ForcedBoundaryBPE:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> ForcedBoundaryBPE:
-    """One for each Python worker; tasks after the first find its tables filled."""
+    """One for each Python worker, as reading the vocabulary takes a second."""
     return ForcedBoundaryBPE(path)
 
 
@@ -211,6 +217,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
         for b in batches:
             ids = [np.frombuffer(own.encode_packed(t), dtype="<u4").astype(np.int32) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, type=pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        own.forget()
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -246,6 +253,7 @@ def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
                 ids.append(sha(d.encode()).hexdigest())
                 decoded.append(sha(own.decode_decimal(d).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, type=pa.int64()), pa.array(ids, type=pa.string()), pa.array(decoded, type=pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        own.forget()
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
