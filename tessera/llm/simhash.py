@@ -1,4 +1,4 @@
-"""Document fingerprints: SimHash, and a search for near fingerprints by permuted block tables."""
+"""Document fingerprints: SimHash, and searches for near fingerprints: all pairs by their bits, or permuted block tables for small radii."""
 
 from __future__ import annotations
 
@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 from tessera.llm.common import shuffle_parts, stored, table, texts
 
 BITS = 128
-#: Differing bits up to which the search finds fingerprints, and the blocks that a fingerprint is cut into for it.
-RADIUS, BLOCKS = 3, 5
+#: Differing bits up to which the search finds fingerprints: near copies, at 5-word Jaccard 0.8 or more, differ in at most so many.
+RADIUS = 20
 #: Ids divisible by this are the search's queries.
 QUERY_EVERY = 20
+#: Queries (16 bytes each) that a task of the search holds; more are dealt over several.
+MOST_HELD = 500_000
 
 
 class _Words(dict):
@@ -128,7 +130,7 @@ def compare_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def block_tables(fingerprints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+def block_tables(fingerprints: DataFrame, radius: int = 3, blocks: int = 5) -> DataFrame:
     """fingerprint, table_no, block_key: a row for each choice of blocks - radius blocks to come first.
 
     Fingerprints that differ in at most `radius` bits agree in at least that many blocks, so they meet in some table.
@@ -143,7 +145,7 @@ def _distance(a: str, b: str):
     return sum(parts[1:], parts[0])
 
 
-def near(fingerprints: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+def near(fingerprints: DataFrame, queries: DataFrame, radius: int = 3, blocks: int = 5) -> DataFrame:
     """query, fingerprint, distance: every pair of distinct fingerprints within the radius. Both inputs have distinct `fingerprint`s."""
     left = block_tables(queries, radius, blocks).withColumnRenamed("fingerprint", "query")
     right = block_tables(fingerprints, radius, blocks)
@@ -152,12 +154,67 @@ def near(fingerprints: DataFrame, queries: DataFrame, radius: int = RADIUS, bloc
     return pairs.select("query", "fingerprint", far.cast("int").alias("distance")).distinct()
 
 
+def others_within(x: np.ndarray, copies: np.ndarray, asked: np.ndarray, radius: int) -> np.ndarray:
+    """For each of `asked`, the copies of all of x that differ in 1 to `radius` bits. Fingerprints are rows of two 64-bit halves."""
+    out = np.zeros(len(asked), dtype=np.int64)
+    for j in range(0, len(asked), 8192):
+        q = np.ascontiguousarray(asked[j : j + 8192].T)
+        for i in range(0, len(x), 32):
+            part = x[i : i + 32]
+            half = np.bitwise_count(part[:, :1] ^ q[0])
+            row, col = np.nonzero(half <= radius)
+            far = half[row, col] + np.bitwise_count(part[row, 1] ^ q[1][col])
+            hit = (far <= radius) & (far > 0)
+            np.add.at(out, j + col[hit], copies[i + row[hit]])
+    return out
+
+
+def near_counts(counted: DataFrame, radius: int = RADIUS, most_held: int = MOST_HELD) -> DataFrame:
+    """query, others: for each asked fingerprint the copies of others within the radius, where there are any. counted: fingerprint (distinct), copies, asked.
+
+    Parts of all fingerprints meet parts of the queries in a grid, and every pair's bits are compared. No row is made for a pair, and none of a group meet in one task.
+    """
+    n, k = shuffle_parts(counted.sparkSession), max(1, -(-counted.where("asked").count() // most_held))
+    rows = counted.select(F.unhex("fingerprint").alias("bits"), "copies", "asked", F.xxhash64("fingerprint").alias("h"))
+    grid = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    queries = rows.where("asked").select("bits", F.lit(0).cast("long").alias("copies"), F.pmod("h", F.lit(k)).cast("int").alias("part"), grid(n).alias("i")).select("bits", "copies", (F.col("i") * k + F.col("part")).alias("cell"))
+    index = rows.select("bits", "copies", F.pmod(F.shiftright("h", 20), F.lit(n)).cast("int").alias("part"), grid(k).alias("i")).select("bits", "copies", (F.col("part") * k + F.col("i")).alias("cell"))
+
+    def run(batches):
+        def told():
+            hit = np.flatnonzero(found)
+            return pa.RecordBatch.from_arrays([pa.array([asked[i].astype(">u8").tobytes().hex() for i in hit], pa.string()), pa.array(found[hit])], names=["query", "others"])
+
+        at, held, asked, found = None, [], None, None  # the cell, its queries as they come, and all of them with what was found
+        for b in batches:
+            bits = np.frombuffer(b"".join(b.column("bits").to_pylist()), dtype=">u8").astype(np.uint64).reshape(-1, 2)
+            copies, cell = b.column("copies").to_numpy(), b.column("cell").to_numpy()
+            cuts = np.flatnonzero((np.diff(cell) != 0) | (np.diff(copies > 0) != 0)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(cell)], strict=True):
+                if lo == hi:
+                    continue
+                if cell[lo] != at:
+                    if found is not None:
+                        yield told()
+                    at, held, asked, found = cell[lo], [], None, None
+                if not copies[lo]:
+                    held.append(bits[lo:hi])
+                elif held:
+                    if found is None:
+                        asked = np.concatenate(held)
+                        found = np.zeros(len(asked), dtype=np.int64)
+                    found += others_within(bits[lo:hi], copies[lo:hi], asked, radius)
+        if found is not None:
+            yield told()
+
+    dealt = queries.unionByName(index).repartition(n * k, "cell").sortWithinPartitions("cell", F.col("copies") > 0)
+    return dealt.mapInArrow(run, "query string, others long").groupBy("query").agg(F.sum("others").alias("others"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """compare_next() of all documents, and for ids divisible by QUERY_EVERY how many other rows have a fingerprint within the radius (n_near; else null)."""
     rows = stored(compare_next(table(spark, sf_dir, "documents")), "fingerprints")
     per = rows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("copies"), F.max(F.coalesce(F.col("doc_id") % QUERY_EVERY == 0, F.lit(False))).alias("asked"))
-    pairs = near(per.select("fingerprint"), per.where("asked").select("fingerprint"))
-    others = pairs.join(per.select("fingerprint", "copies"), "fingerprint").groupBy("query").agg(F.sum("copies").alias("others"))
-    counts = per.where("asked").join(others, F.col("query") == F.col("fingerprint"), "left").select(F.col("fingerprint").alias("found"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("count"))
+    counts = per.where("asked").join(near_counts(per), F.col("query") == F.col("fingerprint"), "left").select(F.col("fingerprint").alias("found"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("count"))
     out = rows.join(counts, F.col("found") == F.col("fingerprint"), "left")
     return out.select(*rows.columns, F.when(F.col("doc_id") % QUERY_EVERY == 0, F.col("count")).alias("n_near"))

@@ -161,6 +161,40 @@ def test_block_tables_find_all_within_the_radius(spark):
     assert {(r.query, r.fingerprint) for r in simhash.near(df, df).collect()} == want
 
 
+def test_simhash_finds_near_copies(spark, sf):
+    """Recall against exact 5-word Jaccard, over texts edited to 0.8 and above, one word at a time."""
+    rng = random.Random(12)
+    shingles = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    bases = [t.split() for _, t in documents(spark, sf) if t and len(set(t.split())) >= 60][:40]
+    near = []
+    for w in bases:
+        own, kept = shingles(w), w
+        while True:
+            new = list(kept)
+            new[rng.randrange(len(new))] = f"edit{rng.random()}"
+            if len(own & shingles(new)) < 0.8 * len(own | shingles(new)):
+                break
+            kept = new
+        near.append((" ".join(w), " ".join(kept)))
+    assert len(near) == 40
+    prints = [tuple(map(simhash.fingerprint, p)) for p in near]
+    rows = {p.hex() for pair in prints for p in pair}
+    got = {r.query for r in simhash.near_counts(spark.createDataFrame([(p, 1, True) for p in rows], "fingerprint string, copies long, asked boolean")).collect()}
+    assert sum(a == b or a.hex() in got for a, b in prints) >= 38
+
+
+def test_near_counts_are_exact_in_every_grid(spark):
+    rng = random.Random(13)
+    base = [rng.getrandbits(128) for _ in range(8)]
+    prints = list({b ^ sum(1 << x for x in rng.sample(range(128), rng.randint(0, 24))) for b in base for _ in range(30)})
+    rows = [(f"{p:032x}", rng.randint(1, 3), rng.random() < 0.3) for p in prints]
+    want = {a: c for a, _, asked in rows if asked and (c := sum(k for b, k, _ in rows if 0 < (int(a, 16) ^ int(b, 16)).bit_count() <= simhash.RADIUS))}
+    df = spark.createDataFrame(rows, "fingerprint string, copies long, asked boolean")
+    for most in (simhash.MOST_HELD, 20):
+        assert {r.query: r.others for r in simhash.near_counts(df, most_held=most).collect()} == want
+    assert simhash.near_counts(df.where("not asked")).count() == simhash.near_counts(df.limit(0)).count() == 0
+
+
 def test_odd_simhash(spark):
     odd = spark.createDataFrame([(1, "a b c"), (1, "a b"), (None, "x y z"), (3, None), (4, "q " * 50)], "doc_id long, text string")
     got = {(r.doc_id, r.n_chars): r for r in simhash.compare_next(odd).collect()}
