@@ -63,6 +63,49 @@ def similar_pairs(index: DataFrame, k: int, threshold: float, blocks: int = 8) -
     return pairs.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
+def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and the least node that each can reach over the links a, b."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while True:
+        new, low = label.copy(), np.minimum(label[x], label[y])
+        for ends in (x, y, label[x], label[y]):
+            np.minimum.at(new, ends, low)
+        new = new[new]
+        if np.array_equal(new, label):
+            return nodes, nodes[label]
+        label = new
+
+
+def linking_pairs(index: DataFrame, threshold: float, held: int = 20_000) -> DataFrame:
+    """a, b: links that join the same vectors, over any number of steps, as all links at cosines at or above the threshold.
+
+    Equal vectors are linked to the one of the least id, which stands for them. Blocks of those, of about `held` vectors, meet pair by pair;
+    of each meeting's links a spanning forest is kept, so every link counts and no more rows are made than there are vectors in the blocks.
+    """
+    same = index.groupBy("v").agg(F.min("vec_id").alias("a"))
+    copies = index.join(same, "v").where((F.col("a") != F.col("vec_id")) & F.exists("v", lambda x: x != 0)).select("a", F.col("vec_id").alias("b"))
+    blocks = max(8, -(-index.count() // held))
+    side = same.select(F.col("a").alias("vec_id"), "v", F.pmod(F.xxhash64("a"), F.lit(blocks)).cast("int").alias("own"))
+    # both sides' keys have one type: else equal keys would hash to different partitions
+    left = side.select("vec_id", "v", F.col("own").alias("block"), F.explode(F.sequence("own", F.lit(blocks - 1))).alias("other"))
+    right = side.select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("block"), F.col("own").alias("other"))
+
+    def forest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        nodes = roots = np.empty(0, dtype=np.int64)
+        if len(a) and len(b):
+            x, y = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
+            x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (x, y))
+            ids, others = a["vec_id"].to_numpy(), b["vec_id"].to_numpy()
+            step = max(1, 4_000_000 // len(y))
+            for i in range(0, len(x), step):
+                row, col = np.nonzero(np.round(np.clip(x[i : i + step] @ y.T, 0, 1), 6) >= threshold)
+                nodes, roots = _roots(np.concatenate([nodes, ids[i + row]]), np.concatenate([roots, others[col]]))
+        return pd.DataFrame({"a": roots, "b": nodes})[nodes != roots]
+
+    return copies.unionByName(left.groupBy("block", "other").cogroup(right.groupBy("block", "other")).applyInPandas(forest, "a long, b long"))
+
+
 def mean_vectors(rows: DataFrame, by: str) -> DataFrame:
     """The mean of each group's vectors, by position, brought to length 1."""
     parts = rows.select(by, F.posexplode("v").alias("i", "x")).groupBy(by, "i").agg(F.avg("x").alias("x"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import entities as ent
 from tessera.operators import graph
 from tessera.operators import vectors as vec
+from tessera.sources.shared import cut
 from tessera.sources.tables import chunk_documents, edges, entities, mentions, table, vectors, with_
 
 #: Seeds of traversals and ranking: a stated set of entities.
@@ -232,8 +233,7 @@ def graph_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 def entity_clusters(spark: SparkSession, sf: str) -> DataFrame:
     """Clusters of similar vectors: links at cosine 0.35 or more, closed under reachability; size, least member, majority label."""
-    pairs = vec.similar_pairs(vectors(spark, sf), 1000, 0.35).where("source < target").select(F.col("source").alias("a"), F.col("target").alias("b"))
-    rows = graph.connected_components(pairs).join(vectors(spark, sf), F.col("node") == F.col("vec_id"))
+    rows = graph.connected_components(cut(vec.linking_pairs(vectors(spark, sf), 0.35))).join(vectors(spark, sf), F.col("node") == F.col("vec_id"))
     size = rows.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     w = Window.partitionBy("component").orderBy(F.desc("n"), "label")
     label = rows.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.row_number().over(w)).where("k = 1").select("component", "label")

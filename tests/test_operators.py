@@ -89,6 +89,27 @@ def test_similar_pairs_is_exact_and_directed(spark):
     assert {(r.source, r.target) for r in vectors.similar_pairs(df, 3, 0.3, 3).collect()} == want
 
 
+def test_linking_pairs_keep_every_copy_and_link(spark):
+    """A group of more than 1000 equal vectors and its weaker neighbours, in blocks of several sizes, against all links."""
+    rng = np.random.default_rng(3)
+    hot = np.array([1.0, 0, 0, 0, 0, 0])
+    v = np.concatenate([np.tile(hot, (1100, 1)), rng.standard_normal((60, 6)), np.zeros((2, 6)), hot * 0.4 + np.eye(6)[[5, 4]]])
+    n = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    s = np.round(n @ n.T, 6) >= 0.35
+    np.fill_diagonal(s, False)
+    want = {}
+    for i in np.flatnonzero(s.any(axis=1)):
+        if int(i) not in want:
+            reached, front = {int(i)}, [int(i)]
+            while front:
+                front = [int(j) for k in front for j in np.flatnonzero(s[k]) if int(j) not in reached and not reached.add(int(j))]
+            want |= dict.fromkeys(reached, min(reached))
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, v array<double>")
+    for held in (20_000, 100):
+        assert {r.node: r.component for r in graph.connected_components(vectors.linking_pairs(df, 0.35, held).localCheckpoint()).collect()} == want
+    assert len(want) >= 1100 and vectors.linking_pairs(df.limit(0), 0.35).count() == 0
+
+
 def test_html_main_text(spark):
     page = "<html><head><title> A b </title><style>x</style></head><body><nav>menu</nav><!-- c --><article><h1>T</h1><p>Hello <b>there</b></p></article></body></html>"
     r = spark.createDataFrame([(page,), (None,), ("",)], "h string").select(html.title("h"), html.main_text("h")).collect()
