@@ -6,6 +6,7 @@ window, and all overlapping windows of the whole text are scored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from dataclasses import dataclass
 
@@ -27,6 +28,9 @@ LEAST_DOCS, MOST_WORDS = 2, 60_000
 EPOCHS, LEAST_STEPS, BATCH, RATE, SEED = 6, 240, 96, 0.01, 7
 THRESHOLD = 0.7
 _EDGES = ".,;:!?\"'()[]{}*#&$%|<>-_=+/\\"
+#: Characters of the longest word that is one token, and of the pieces of a longer one without punctuation.
+LONGEST, PIECE = 50, 16
+_RUNS = re.compile(f"[^{re.escape(_EDGES)}]+[{re.escape(_EDGES)}]*|[{re.escape(_EDGES)}]+")
 _HELD_WORDS = 300_000
 
 
@@ -36,12 +40,20 @@ def held_out(doc_id: Column) -> Column:
 
 
 def tokens(text: str) -> list[str]:
-    return text.lower().split()
+    """Lower-cased words; longer ones than LONGEST are cut behind their punctuation, and what is still too long into pieces that half overlap."""
+    words = text.lower().split()
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    out = []
+    for w in words:
+        for run in _RUNS.findall(w) if len(w) > LONGEST else [w]:
+            out += [run] if len(run) <= LONGEST else [run[i : i + PIECE] for i in range(0, len(run) - PIECE // 2, PIECE // 2)]
+    return out
 
 
 def char_ids(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the words' byte trigrams, edges marked, one word behind the other, and where each word's begin."""
-    raw = [b"\x02" + w.encode()[:200] + b"\x03" for w in words]
+    raw = [b"\x02" + w.encode() + b"\x03" for w in words]
     data = np.frombuffer(b"".join(raw) + b"\0\0", dtype=np.uint8).astype(np.uint32)
     h = (data[:-2] * np.uint32(0x9E3779B1) + data[1:-1]) * np.uint32(0x85EBCA6B) + data[2:]
     h = (h ^ h >> np.uint32(15)) * np.uint32(0x2C1B3C6D)

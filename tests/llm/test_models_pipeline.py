@@ -34,6 +34,19 @@ def test_network_learns_and_scores_whole_texts():
     assert toxicity.Scorer(net).scores(docs[:5]).tolist() == toxicity.Scorer(net).scores(docs[:5]).tolist()
 
 
+def test_long_words_are_scored_to_their_end():
+    docs, labels = corpus(300, 1)
+    score = lambda *t: toxicity.Scorer(toxicity.fit(docs, labels)).scores(list(t))
+    clean = ["the", "anther", "tion", "inre"] * 500
+    bad = [*clean, "vilgruk", "pakk!", "zortmux"]
+    a, b, c, d, e, f = score("_".join(clean), "_".join(bad), "".join(clean), "".join(bad), "語" * 3000, "語" * 3000 + "vilgrukvilgrukvilgruk")
+    assert b > 0.7 > a and d > c and f > e
+    w = "x" + "".join(chr(0x4E00 + i) for i in range(1000))
+    pieces = toxicity.tokens(w + " ab " + "=" * 99)
+    assert all(any(w[i : i + 3] in p for p in pieces) for i in range(len(w) - 2)) and max(map(len, pieces)) <= toxicity.LONGEST
+    assert toxicity.tokens("A_b " + "y" * toxicity.LONGEST) == ["a_b", "y" * toxicity.LONGEST] and toxicity.tokens("") == []
+
+
 def test_gradients_match_differences():
     net = toxicity.fit(*corpus(12, 4))
     rng = np.random.default_rng(0)
