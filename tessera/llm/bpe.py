@@ -14,6 +14,7 @@ import struct
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,24 +45,59 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class _Table(dict):
-    """Values made when first asked for, at most `most` of them held."""
-
-    def __init__(self, make, most: int):
-        super().__init__()
-        self.make, self.most = make, most
-
-    def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        out = self[key] = self.make(key)
+#: Fragments up to this many bytes are merged side by side, row by row of a matrix; longer ones are merged on their own.
+LONGEST_ROW = 32
+#: Rows of one matrix, and characters of the texts whose words are encoded together.
+ROWS, SLICE_CHARS = 20_000, 4_000_000
+
+
+class _Pairs:
+    """The merges as a hash table of arrays: for many pairs at once, rank << 20 and the id that comes out, or NONE."""
+
+    NONE = 1 << 60
+    _BITS = 18
+
+    def __init__(self, merges: dict[tuple[int, int], int]):
+        self.keys = np.full(1 << self._BITS, -1, dtype=np.int64)
+        self.values = np.full(1 << self._BITS, self.NONE, dtype=np.int64)
+        pairs = np.array(list(merges), dtype=np.int64).reshape(-1, 2)
+        keys, values = pairs[:, 0] << 20 | pairs[:, 1], np.fromiter(merges.values(), dtype=np.int64, count=len(merges))
+        at = self._hash(keys)
+        self.probes = 0
+        while len(keys):
+            self.probes += 1
+            free = self.keys[at] < 0
+            _, first = np.unique(at, return_index=True)
+            take = first[free[first]]
+            self.keys[at[take]], self.values[at[take]] = keys[take], values[take]
+            left = np.ones(len(keys), dtype=bool)
+            left[take] = False
+            keys, values, at = keys[left], values[left], at[left] + 1 & len(self.keys) - 1
+
+    def _hash(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self._BITS)).astype(np.int64)
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        keys = a << 20 | b
+        at = self._hash(keys)
+        out = np.where(self.keys[at] == keys, self.values[at], self.NONE)
+        due = np.flatnonzero((self.keys[at] != keys) & (self.keys[at] >= 0))
+        for _ in range(self.probes):
+            if not len(due):
+                break
+            at[due] = at[due] + 1 & len(self.keys) - 1
+            held = self.keys[at[due]]
+            hit = held == keys[due]
+            out[due[hit]] = self.values[at[due[hit]]]
+            due = due[~hit & (held >= 0)]
         return out
 
 
 class ForcedBoundaryBPE:
     """Encodes like the tokenizers library does with the same file, add_special_tokens=False, no truncation or padding."""
 
-    def __init__(self, path: str, held_words: int = 100_000, held_chunks: int = 1_000_000):
+    def __init__(self, path: str, held: int = 1_000_000):
+        """held: words kept with their ids, about 200 bytes each, over the tasks of a worker."""
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -85,14 +121,11 @@ class ForcedBoundaryBPE:
             self.joined[body[:-1], body[1:]] = True
         self._cut = (~self.joined).tobytes()
         self.splitter = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self._ids = _Table(self._word, held_words)
-        self._chunk_decimal = _Table(lambda c: " ".join(map(str, self._chain(_PLAIN_WORDS.findall(c)))), held_chunks)
-        self._chunk_packed = _Table(lambda c: self._pack(self._chain(_PLAIN_WORDS.findall(c))), held_chunks)
-
-    def forget(self) -> None:
-        """Empty the tables; workers live on after a task, and other stages need the memory."""
-        for t in (self._ids, self._chunk_decimal, self._chunk_packed):
-            t.clear()
+        self._pairs = _Pairs(self.merges)
+        self._inner, self._last = np.array(self.inner, dtype=np.int64), np.array(self.last, dtype=np.int64)
+        self.held = held
+        self._packed: dict[str, bytes] = {}
+        self._decimal: dict[str, str] = {}
 
     def fragments(self, word: bytes) -> list[bytes]:
         """The word cut at every byte pair that no vocabulary token holds."""
@@ -139,26 +172,140 @@ class ForcedBoundaryBPE:
                 heapq.heappush(heap, (m, p, ids[p], new))
         return [x for x, keep in zip(ids, alive, strict=True) if keep]
 
-    def _word(self, word: str) -> list[int]:
-        pieces = self.fragments(word.encode())
-        if len(pieces) == 1 and len(word) < 200:
-            ids = [self.inner[b] for b in pieces[0]]
-            ids[-1] = self.last[pieces[0][-1]]
-            return self._merge(ids)
-        out: list[int] = []
-        for k, piece in enumerate(pieces, 1):
-            ids = [self.inner[b] for b in piece]
-            if k == len(pieces):
-                ids[-1] = self.last[piece[-1]]
-            out += self._merge(ids) if len(ids) < 200 else self._merge_long(ids)
-        return out
+    def _fragment(self, piece: bytes, last: bool) -> list[int]:
+        ids = [self.inner[b] for b in piece]
+        if last:
+            ids[-1] = self.last[piece[-1]]
+        return self._merge(ids) if len(ids) < 200 else self._merge_long(ids)
+
+    def _rows(self, ids: np.ndarray) -> np.ndarray:
+        """Merge each row of ids, -1 behind its end, in place."""
+        n = ids.shape[1]
+        cols = np.arange(n)
+        whole, where = ids, np.arange(len(ids))
+        none = _Pairs.NONE
+        ranks = np.full(ids.shape, none, dtype=np.int64)
+        ranks[:, :-1] = self._pairs(ids[:, :-1].ravel(), np.maximum(ids[:, 1:], 0).ravel()).reshape(-1, n - 1)
+        ranks[:, :-1][ids[:, 1:] < 0] = none
+        while True:
+            at = ranks.argmin(axis=1)
+            row = np.arange(len(ids))
+            best = ranks[row, at]
+            going = best < none
+            if not going.all():
+                whole[where[~going]] = ids[~going]
+                ids, ranks, where, at, best = ids[going], ranks[going], where[going], at[going], best[going]
+                row = np.arange(len(ids))
+            if not len(ids):
+                return whole
+            ids[row, at] = best & 0xFFFFF
+            src = np.minimum(cols + (cols > at[:, None]), n - 1)
+            ids = np.take_along_axis(ids, src, axis=1)
+            ids[:, -1] = -1
+            ranks = np.take_along_axis(ranks, np.minimum(cols + (cols >= at[:, None]), n - 1), axis=1)
+            ranks[:, -1] = none
+            for k in (at - 1, at):
+                ok = np.flatnonzero((k >= 0) & (ids[row, np.minimum(k + 1, n - 1)] >= 0) & (k + 1 < n))
+                k_ok = k[ok]
+                ranks[ok, k_ok] = self._pairs(ids[ok, k_ok], ids[ok, k_ok + 1])
+            ended = np.flatnonzero(ids[row, np.minimum(at + 1, n - 1)] < 0)
+            ranks[ended, at[ended]] = none
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one after the other, and where each word's begin and the last one's end.
+
+        Words are cut at every byte pair that no vocabulary token holds, and the fragments are encoded on their own.
+        """
+        raw = [w.encode() for w in words]
+        data = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.int64)
+        ends = np.cumsum(np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)))
+        cut = np.zeros(len(data) + 1, dtype=bool)
+        cut[1:-1] = ~self.joined[data[:-1], data[1:]]
+        cut[0] = True
+        cut[ends] = True
+        start = np.flatnonzero(cut)[:-1]
+        size = np.diff(np.flatnonzero(cut))
+        symbol = self._inner[data]
+        symbol[ends - 1] = self._last[data[ends - 1]]
+        out = np.full(len(data), -1, dtype=np.int64)
+        single = start[size == 1]
+        out[single] = symbol[single]
+        width = 2
+        least = 2
+        while least <= LONGEST_ROW:
+            rows = np.flatnonzero((size >= least) & (size <= width))
+            for i in range(0, len(rows), ROWS):
+                r = rows[i : i + ROWS]
+                at = start[r][:, None] + np.arange(width)
+                inside = np.arange(width) < size[r][:, None]
+                ids = np.where(inside, symbol[np.minimum(at, len(data) - 1)], -1)
+                out[at[inside]] = self._rows(ids)[inside]
+            least, width = width + 1, width * 2
+        for k in np.flatnonzero(size > LONGEST_ROW).tolist():
+            i, j = int(start[k]), int(start[k] + size[k])
+            ids = self._fragment(data[i:j].astype(np.uint8).tobytes(), bool(symbol[j - 1] == self._last[data[j - 1]]))
+            out[i : i + len(ids)] = ids
+        used = out >= 0
+        return out[used], np.concatenate(([0], np.cumsum(used)[ends - 1]))
 
     @staticmethod
     def _pack(ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _chain(self, words: list[str]) -> list[int]:
-        return [i for w in words for i in self._ids[w]]
+    def _learned(self, table: dict, chunks: list[list[str]], join, form) -> dict:
+        """The value of every chunk of a slice: form() of its words' ids, joined; taken from the table, where new ones are kept."""
+        own = set().union(*chunks)
+        new = own.difference(table)
+        if not new:
+            return {c: table[c] for c in own}
+        if len(table) + len(new) > self.held:
+            table.clear()
+            new = own
+        single = [c for c in new if c.isalpha()]
+        several = [(c, tuple(_PLAIN_WORDS.findall(c))) for c in new if not c.isalpha()]
+        words = list(dict.fromkeys(chain(single, *(p for _, p in several))))
+        ids, at = self.encode_words(words)
+        values = dict(zip(words, form(ids, at.tolist()), strict=True))
+        table.update((c, values[c]) for c in single)
+        table.update((c, join(map(values.__getitem__, p))) for c, p in several)
+        return {c: table[c] for c in own}
+
+    def _batch(self, texts: list[str], table: dict, join, form, slow) -> Iterator:
+        for some in self._slices(texts):
+            chunks = [t.lower().split() if _PLAIN.fullmatch(t) and "<|" not in t else None for t in some]
+            known = self._learned(table, [c for c in chunks if c], join, form).__getitem__
+            for t, c in zip(some, chunks, strict=True):
+                yield slow(self._slow(t)) if c is None else join(map(known, c))
+
+    @staticmethod
+    def _slices(texts: list[str]) -> Iterator[list[str]]:
+        held, n = [], 0
+        for t in texts:
+            held.append(t)
+            n += len(t)
+            if n >= SLICE_CHARS:
+                yield held
+                held, n = [], 0
+        if held:
+            yield held
+
+    @staticmethod
+    def _packed_of(ids: np.ndarray, at: list[int]) -> list[bytes]:
+        raw = ids.astype("<u4").tobytes()
+        return [raw[4 * i : 4 * j] for i, j in zip(at, at[1:])]
+
+    @staticmethod
+    def _decimal_of(ids: np.ndarray, at: list[int]) -> list[str]:
+        told = list(map(str, ids.tolist()))
+        return [" ".join(told[i:j]) for i, j in zip(at, at[1:])]
+
+    def packed(self, texts: list[str]) -> Iterator[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit numbers."""
+        return self._batch(texts, self._packed, b"".join, self._packed_of, self._pack)
+
+    def decimal(self, texts: list[str]) -> Iterator[str]:
+        """Each text's ids in decimal, joined by one space."""
+        return self._batch(texts, self._decimal, " ".join, self._decimal_of, lambda ids: " ".join(map(str, ids)))
 
     @staticmethod
     def words(text: str) -> list[str]:
@@ -174,25 +321,14 @@ class ForcedBoundaryBPE:
             yield False, text
 
     def encode(self, text: str) -> list[int]:
-        packed = self.encode_packed(text)
+        packed = next(self.packed([text]))
         return list(struct.unpack(f"<{len(packed) // 4}I", packed))
 
-    def encode_decimal(self, text: str) -> str:
-        """The ids in decimal, joined by one space."""
-        if _PLAIN.fullmatch(text) and "<|" not in text:
-            return " ".join(map(self._chunk_decimal.__getitem__, text.lower().split()))
-        return " ".join(map(str, self._slow(text)))
-
-    def encode_packed(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        if _PLAIN.fullmatch(text) and "<|" not in text:
-            return b"".join(map(self._chunk_packed.__getitem__, text.lower().split()))
-        return self._pack(self._slow(text))
-
     def _slow(self, text: str) -> list[int]:
         out: list[int] = []
         for special, part in self._parts(text):
-            out += [self.special[part]] if special else self._chain(self.words(part))
+            words = [] if special else self.words(part)
+            out += [self.special[part]] if special else self.encode_words(words)[0].tolist() if words else []
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -215,9 +351,8 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     def run(batches):
         own = encoder(path)
         for b in batches:
-            ids = [np.frombuffer(own.encode_packed(t), dtype="<u4").astype(np.int32) for t in b.column("text").to_pylist()]
+            ids = [np.frombuffer(x, dtype="<u4").astype(np.int32) for x in own.packed(b.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, type=pa.list_(pa.int32()))], names=["doc_id", "ids"])
-        own.forget()
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -247,13 +382,11 @@ def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
         sha = hashlib.sha256
         for b in batches:
             n, ids, decoded = [], [], []
-            for t in b.column("text"):
-                d = own.encode_decimal(t.as_py())
+            for d in own.decimal(b.column("text").to_pylist()):
                 n.append(d.count(" ") + 1 if d else 0)
                 ids.append(sha(d.encode()).hexdigest())
                 decoded.append(sha(own.decode_decimal(d).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, type=pa.int64()), pa.array(ids, type=pa.string()), pa.array(decoded, type=pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        own.forget()
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -33,8 +33,8 @@ def pieces(docs: DataFrame, path: str | None = None, width: int = WIDTH, end_id:
         own, step = encoder(path), 4 * width
         for b in batches:
             rows, at, n, crc = [], [], [], []
-            for k, t in enumerate(b.column("text")):
-                ids = own.encode_packed(t.as_py()) + end
+            for k, ids in enumerate(own.packed(b.column("text").to_pylist())):
+                ids += end
                 for i in range(0, len(ids), step):
                     part = ids[i : i + step]
                     rows.append(k)
@@ -43,7 +43,6 @@ def pieces(docs: DataFrame, path: str | None = None, width: int = WIDTH, end_id:
                     crc.append(zlib.crc32(part))
             at = np.array(at, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(rows, type=pa.int64())), pa.array(at // width, type=pa.int32()), pa.array(at), pa.array(n, type=pa.int64()), pa.array(crc, type=pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
-        own.forget()
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

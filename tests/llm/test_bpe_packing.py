@@ -25,11 +25,46 @@ def test_same_as_the_library(both):
     rng = random.Random(1)
     texts = ["".join(rng.choice(POOL) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
     texts += ["", "  ", "<|endoftext|>a<|startoftext|> <|endoftext|>", "a" * 3000, "日" * 1500, "ab" * 1500]
-    for t in texts:
-        ids = theirs.encode(t, add_special_tokens=False).ids
-        assert own.encode(t) == ids
-        assert own.encode_decimal(t) == " ".join(map(str, ids))
-        assert own.decode(ids) == own.decode_decimal(own.encode_decimal(t)) == theirs.decode(ids, skip_special_tokens=False)
+    for some in (texts, texts[:50]):  # the second time from the table
+        for t, packed, decimal in zip(some, own.packed(some), own.decimal(some), strict=True):
+            ids = theirs.encode(t, add_special_tokens=False).ids
+            assert own.encode(t) == ids == np.frombuffer(packed, "<u4").tolist()
+            assert decimal == " ".join(map(str, ids))
+            assert own.decode(ids) == own.decode_decimal(decimal) == theirs.decode(ids, skip_special_tokens=False)
+
+
+def test_rows_of_every_length(both):
+    """Words of 1 to 80 bytes, with a table of few places, as merged side by side and on their own."""
+    _, theirs = both
+    few = bpe.ForcedBoundaryBPE(bpe.vocabulary_path(), held=50)
+    rng = random.Random(3)
+    for alphabet in ("abcdest", "éèaou", "the.!', ", "zqxj0"):
+        texts = [" ".join("".join(rng.choice(alphabet) for _ in range(rng.randint(1, 40))) for _ in range(rng.randint(1, 60))) for _ in range(150)]
+        for t, packed in zip(texts, few.packed(texts), strict=True):
+            assert np.frombuffer(packed, "<u4").tolist() == theirs.encode(t, add_special_tokens=False).ids
+
+
+def test_queries_equal_the_library(spark, sf, both):
+    """op6_bpe and op10_packing over whole tables, with ids from the library."""
+    _, theirs = both
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    ids = {i: theirs.encode(t, add_special_tokens=False).ids for i, t in docs.items()}
+    got = {r.doc_id: r for r in bpe.op6_bpe(spark, sf).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert {i: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for i, r in got.items()} == {i: (len(x), sha(" ".join(map(str, x))), sha(theirs.decode(x, skip_special_tokens=False))) for i, x in ids.items()}
+    rows = packing.op10_packing(spark, sf).collect()
+    want = {(i, k): (at, len(p), zlib.crc32(np.array(p, dtype="<u4").tobytes())) for i, x in ids.items() for k, at in enumerate(range(0, len(x) + 1, 4096)) for p in [[*x, 1][at : at + 4096]]}
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in rows} == want
+    places = defaultdict(list)
+    for r in rows:
+        places[r.sequence_id].append((r.offset, r.length))
+    for held in places.values():
+        end = 0
+        for at, n in sorted(held):
+            assert at == end
+            end += n
+        assert end <= 4096
+    assert len(places) <= -(-sum(len(x) + 1 for x in ids.values()) // 4096) + 1
 
 
 def test_cuts_are_pairs_of_no_token(both):
