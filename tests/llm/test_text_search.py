@@ -93,6 +93,36 @@ def test_jaccard_of_edited_families(spark):
     assert got == components_of(docs)
 
 
+def test_large_families_in_several_blocks(spark):
+    """2,000 near copies of one text of which not all link, and looser families, in blocks of a few sets and in one."""
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    docs = []
+    for copies, edits in ((2000, 7), (60, 3), (60, 9)):
+        base = [rng.choice(vocabulary) for _ in range(80)]
+        for _ in range(copies):
+            w = list(base)
+            for _ in range(rng.randint(1, edits)):
+                w[rng.randrange(len(w))] = rng.choice(vocabulary)
+            docs.append((len(docs), " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = components_of(docs)
+    assert 10 < len({c for _, c in want.values()}) < 1900
+    for block_tokens in (4_000, jaccard.BLOCK_TOKENS):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar(df, block_tokens=block_tokens).collect()}
+        assert got == want
+
+
+def test_links_hold_no_more_rows_than_sets():
+    rng = random.Random(4)
+    base = rng.sample(range(10**6), 100)
+    import numpy as np
+
+    sets = [np.array(sorted({*rng.sample(base, 90 + k % 11), *rng.sample(range(10**6, 10**7), k % 9)}), dtype=np.uint64) for k in range(300)]
+    rows = np.arange(len(sets))
+    assert len(jaccard.links_of(sets, rows, rows, 80)) < len(sets)
+
+
 def test_odd_jaccard(spark):
     odd = spark.createDataFrame([(1, "a b c", 0), (1, "a b c", 0), (None, "A b  c", 0), (3, None, 0), (4, " \t", 0), (5, "q " * 50, 0), (6, "q q Q q q", 0), (7, "é É x y", 0), (None, "zz", 0)], "doc_id long, text string, node long")
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar(odd).collect()), key=str)
@@ -137,6 +167,32 @@ def test_odd_suffixes(spark):
     assert [r.n_removed for r in suffixes.digests(twice).collect()] == [0, 0]
 
 
+def test_difference_cover_and_ranks():
+    import numpy as np
+
+    for period in (7, 32, 64):
+        cover, shift = suffixes.difference_cover(period)
+        assert {(a - b) % period for a in cover for b in cover} == set(range(period)) and len(cover) < period / 2
+        for i in range(period):
+            for j in range(period):
+                assert {(i + shift[i, j]) % period, (j + shift[i, j]) % period} <= set(cover.tolist())
+
+
+def test_repeats_equal_brute_force():
+    """Texts with long ties, in small buckets of leading bytes and large ones."""
+    import numpy as np
+
+    rng = random.Random(6)
+    for width in (40, 100, 128):
+        base = bytes(rng.choice(b"ab") for _ in range(500))
+        text = b"".join(rng.choice([base[i:][: rng.randrange(150, 300)] for i in (rng.randrange(300),)] + [b"a" * 170, bytes(rng.choice(b"xyz") for _ in range(160))]) for _ in range(30))
+        starts = np.array(sorted(rng.sample(range(len(text) - width), len(text) // 2)))
+        first = {}
+        want = [first.setdefault(text[i : i + width], i) != i for i in starts.tolist()]
+        for most in (10, 100_000):
+            assert suffixes.repeats(np.frombuffer(text, np.uint8), starts, width, bucket_suffixes=most).tolist() == want
+
+
 def test_simhash_of_a_table(spark, sf):
     docs = dict(documents(spark, sf))
     ids = sorted(docs, reverse=True)
