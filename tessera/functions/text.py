@@ -64,7 +64,7 @@ def arabic_keywords(x: Column | str) -> Column:
     """Words of three letters or more that carry a topic, punctuation stripped, without a short article."""
     bare = F.transform(words(x), lambda w: F.regexp_replace(w, "^[؟?!.,،؛:\"'()]+|[؟?!.,،؛:\"'()]+$", ""))
     kept = F.filter(bare, lambda w: (F.length(w) >= 3) & ~w.isin(*fixed.ARABIC_STOP_WORDS))
-    return F.transform(kept, lambda w: F.when(w.startswith("ال") & (F.length(w) > 4), F.substring(w, 3, 1000)).otherwise(w))
+    return F.transform(kept, lambda w: F.when(w.startswith("ال") & (F.length(w) > 4), F.substring(w, F.lit(3), F.length(w))).otherwise(w))
 
 
 def counted(x: Column | str, characters: str) -> Column:
@@ -103,7 +103,7 @@ def entity_name(x: Column | str) -> Column:
     a = F.regexp_replace(a, r"(?i)^(dr|mr|mrs|ms|prof|eng)\.? +", "")
     a = F.regexp_replace(a, r"(?i) +(inc|ltd|llc|corp|co)\.?$", "")
     a = F.regexp_replace(a, r"^([^,]+), ([^,]+)$", "$2 $1")
-    return F.array_join(F.transform(F.split(a, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1000)))), " ")
+    return F.array_join(F.transform(F.split(a, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))), " ")
 
 
 def ensemble_key(x: Column | str) -> Column:
@@ -142,8 +142,7 @@ def character_similarity(a: Column | str, b: Column | str) -> Column:
 
 def sentences(x: Column | str) -> Column:
     """Sentences end at . ! ? or the Arabic question mark before white space."""
-    marked = F.regexp_replace(_c(x), "([.!?؟])\\s+", "$1\u241e")
-    return F.filter(F.split(marked, "\u241e"), lambda s: F.trim(s) != "")
+    return F.filter(F.split(_c(x), r"(?<=[.!?؟])\s+"), lambda s: F.trim(s) != "")
 
 
 def query_class(x: Column | str) -> Column:

@@ -44,6 +44,15 @@ def relevance(similarity: Column) -> Column:
 
 def hashed_words(words: Column, size: int = 64) -> Column:
     """A bag of words as a vector: each word counts in the bucket of its md5's first 4 hex digits."""
-    buckets = F.transform(words, lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 4), 16, 10).cast("int") % size)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
-    return counts
+    bucket = lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 4), 16, 10).cast("int") % size
+    runs = F.array_sort(F.transform(words, bucket))
+    # one pass over the sorted buckets: the counts so far, and the bucket that is being counted
+    start = F.struct(F.array().cast("array<double>").alias("done"), F.lit(0).alias("at"), F.lit(0.0).alias("n"))
+
+    def closed(acc, upto):
+        return F.concat(acc.done, F.array(acc.n), F.array_repeat(F.lit(0.0), upto - acc.at - 1))
+
+    def step(acc, b):
+        return F.when(b == acc.at, F.struct(acc.done.alias("done"), acc.at.alias("at"), (acc.n + 1).alias("n"))).otherwise(F.struct(closed(acc, b).alias("done"), b.alias("at"), F.lit(1.0).alias("n")))
+
+    return F.aggregate(runs, start, step, lambda acc: closed(acc, F.lit(size)))

@@ -31,12 +31,14 @@ def windows(items: Column, size: int, overlap: int) -> Column:
 
 def token_chunks(docs: DataFrame, size: int = 600, overlap: int = 50) -> DataFrame:
     """doc_id, chunk_index, tokens, text: windows of white-space tokens."""
-    rows = docs.select("doc_id", F.posexplode(windows(text.words("text"), size, overlap)).alias("chunk_index", "w"))
+    items = docs.select("doc_id", text.words("text").alias("items"))  # split once, not for each window
+    rows = items.select("doc_id", F.posexplode(windows(F.col("items"), size, overlap)).alias("chunk_index", "w"))
     return rows.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.size("w").cast("long").alias("tokens"), F.array_join("w", " ").alias("text"))
 
 
 def sentence_chunks(docs: DataFrame, size: int = 5, overlap: int = 1) -> DataFrame:
-    rows = docs.select("doc_id", F.posexplode(windows(text.sentences("text"), size, overlap)).alias("chunk_index", "w"))
+    items = docs.select("doc_id", text.sentences("text").alias("items"))
+    rows = items.select("doc_id", F.posexplode(windows(F.col("items"), size, overlap)).alias("chunk_index", "w"))
     return rows.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.size("w").cast("long").alias("sentences"), F.array_join("w", " ").alias("text"))
 
 

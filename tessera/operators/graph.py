@@ -24,9 +24,9 @@ def traverse(adj: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     frontier = reached
     for h in range(1, hops + 1):
         step = frontier.join(adj, frontier.node == adj.src).select("seed", F.col("dst").alias("node")).distinct()
-        frontier = step.join(reached.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("distance", F.lit(h).cast("long"))
-        if h % CUT_EVERY == 0:
-            frontier = cut(frontier)
+        frontier = cut(step.join(reached.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("distance", F.lit(h).cast("long")))
+        if frontier.isEmpty():
+            break
         reached = reached.unionByName(frontier)
     return reached
 
@@ -38,9 +38,9 @@ def shortest_paths(adj: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     for h in range(1, hops + 1):
         step = frontier.join(adj, frontier.node == adj.src).select("seed", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
         step = step.groupBy("seed", "node").agg(F.min("path").alias("path"))
-        frontier = step.join(reached.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", F.lit(h).cast("long").alias("length"), "path")
-        if h % CUT_EVERY == 0:
-            frontier = cut(frontier)
+        frontier = cut(step.join(reached.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", F.lit(h).cast("long").alias("length"), "path"))
+        if frontier.isEmpty():
+            break
         reached = reached.unionByName(frontier)
     ends = seeds.select(F.col("seed").alias("node"))
     return reached.where("seed < node").join(ends, "node").select(F.col("seed").alias("a"), F.col("node").alias("b"), "length", "path")
@@ -51,19 +51,27 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("node").alias("a")), "a", "left_semi").join(nodes.select(F.col("node").alias("b")), "b", "left_semi")
 
 
-def pagerank(adj: DataFrame, start: DataFrame, rounds: int, damping: float = 0.85) -> DataFrame:
-    """node, rank after a fixed number of rounds of personalised PageRank: restart by `start` (node, p), equal ranks at first, and what reaches a node without edges is lost."""
+def pagerank(adj: DataFrame, start: DataFrame, rounds: int, damping: float = 0.85, tolerance: float = 0.0) -> DataFrame:
+    """node, rank after at most `rounds` rounds of personalised PageRank: restart by `start` (node, p), equal ranks at first, and what reaches a node without edges is lost.
+
+    With a tolerance it ends, at a cut of the lineage, when the last round changed the ranks by no more than that in sum.
+    """
     degree = adj.groupBy("src").agg(F.sum("weight").alias("out"))
-    moves = adj.join(degree, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share"))
+    moves = cut(adj.join(degree, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")))
     nodes = adj.select(F.col("src").alias("node")).distinct()
     n = nodes.count()
     ranks = nodes.withColumn("rank", F.lit(1.0 / max(1, n)))
-    restart = nodes.join(start, "node", "left").select("node", F.coalesce("p", F.lit(0.0)).alias("p"))
+    restart = cut(nodes.join(start, "node", "left").select("node", F.coalesce("p", F.lit(0.0)).alias("p")))
     for i in range(1, rounds + 1):
         flow = ranks.join(moves, ranks.node == moves.src).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
+        before = ranks
         ranks = restart.join(flow, "node", "left").select("node", ((1 - damping) * F.col("p") + damping * F.coalesce("flow", F.lit(0.0))).alias("rank"))
         if i % CUT_EVERY == 0:
             ranks = cut(ranks)
+            if tolerance:
+                moved = ranks.join(before.select("node", F.col("rank").alias("old")), "node").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
+                if (moved or 0) <= tolerance:
+                    break
     return ranks
 
 
@@ -95,11 +103,12 @@ def modularity(edges: DataFrame, members: DataFrame) -> DataFrame:
     return per.agg(F.round(F.sum(q), 6).alias("modularity"))
 
 
-def contracted(edges: DataFrame, members: DataFrame) -> DataFrame:
-    """The graph of communities: pairs c1 < c2 and the number of edges between them."""
+def contracted(edges: DataFrame, members: DataFrame, loops: bool = False) -> DataFrame:
+    """The graph of communities: pairs a < b and the weights between them; with `loops`, also each community with itself and the weight inside."""
     a, b = (members.select(F.col("node").alias(x), F.col("community").alias(f"c_{x}")) for x in "ab")
-    rows = edges.join(a, "a").join(b, "b").where("c_a != c_b")
-    return rows.groupBy(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b")).agg(F.count(F.lit(1)).alias("weight"))
+    rows = edges.join(a, "a").join(b, "b")
+    rows = rows if loops else rows.where("c_a != c_b")
+    return rows.groupBy(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b")).agg(F.sum("weight").alias("weight"))
 
 
 def louvain_level(edges: DataFrame, resolution: float = 1.0, rounds: int = 8) -> DataFrame:
@@ -110,7 +119,7 @@ def louvain_level(edges: DataFrame, resolution: float = 1.0, rounds: int = 8) ->
     members = degree.select("node", F.col("node").alias("community"), "degree")
     for i in range(rounds):
         volume = members.groupBy("community").agg(F.sum("degree").alias("volume"))
-        near = adj.join(members.select(F.col("node").alias("dst"), F.col("community").alias("to")), "dst").groupBy(F.col("src").alias("node"), "to").agg(F.sum("weight").alias("links"))
+        near = adj.where("src != dst").join(members.select(F.col("node").alias("dst"), F.col("community").alias("to")), "dst").groupBy(F.col("src").alias("node"), "to").agg(F.sum("weight").alias("links"))
         own = members.select("node", F.col("community").alias("own"), "degree")
         options = near.unionByName(own.select("node", F.col("own").alias("to"), F.lit(0).alias("links"))).groupBy("node", "to").agg(F.sum("links").alias("links"))
         options = options.join(own, "node").join(volume.withColumnRenamed("community", "to"), "to")
@@ -130,8 +139,8 @@ def louvain(edges: DataFrame, levels: int = 2, resolution: float = 1.0) -> DataF
         at = found if at is None else at.join(found.select(F.col("node").alias("community"), F.col("community").alias("up")), "community", "left").select("node", F.coalesce("up", "community").alias("community"))
         rows = at.select(F.lit(level).cast("long").alias("level"), "node", "community")
         out = rows if out is None else out.unionByName(rows)
-        graph = cut(contracted(edges, at))
-        if graph.isEmpty():
+        graph = cut(contracted(edges, at, loops=True))  # weights inside count to a community's degree on the next level
+        if graph.where("a != b").isEmpty():
             break
     return out
 

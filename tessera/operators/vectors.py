@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vector
 
-#: Rows of the query side that a broadcast may hold; larger query sets are dealt over blocks.
+#: Rows of the query side that a broadcast may hold; larger query sets are dealt over blocks, by top_k_blocks.
 MOST_QUERIES = 10_000
+#: Vectors of one block of a grid.
+HELD = 20_000
 
 
 def scored(index: DataFrame, queries: DataFrame, similarity: Callable[..., Column] = vector.cosine) -> DataFrame:
@@ -33,16 +35,18 @@ def top_k(rows: DataFrame, k: int, by: str = "query_id", tie: str = "vec_id", th
     return rows.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
-def similar_pairs(index: DataFrame, k: int, threshold: float, blocks: int = 8) -> DataFrame:
-    """source, target, score, rank: for each vector the k most similar others at or above the threshold, cosines clipped to [0, 1].
+def top_k_blocks(queries: DataFrame, index: DataFrame, k: int, threshold: float, held: int = HELD) -> DataFrame:
+    """source, target, score, rank: for each query vector (vec_id, v) the k most similar others of the index at or above the threshold, cosines clipped to [0, 1].
 
-    Blocks of vectors meet pair by pair in a grid and are multiplied as matrices, so no row is made for a pair that falls
-    short; each block keeps its k best, and these meet in one window.
+    Blocks of about `held` vectors of either side meet pair by pair in a grid and are multiplied as matrices, a bounded part at a
+    time, so no row is made for a pair that falls short; each meeting keeps its k best, and these meet in one window.
     """
-    side = index.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"))
-    grid = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = side.select("*", F.explode(grid).alias("other"))
-    right = side.withColumn("rb", F.col("block")).select("vec_id", "v", F.explode(grid).alias("block"), F.col("rb").alias("other"))
+    rows, cols = (max(4, -(-side.count() // held)) for side in (queries, index))
+    # both sides' keys have one type: else equal keys would hash to different partitions
+    own = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select("vec_id", "v", own(rows).alias("block"), every(cols).alias("other"))
+    right = index.select("vec_id", "v", own(cols).alias("other"), every(rows).alias("block"))
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -50,19 +54,25 @@ def similar_pairs(index: DataFrame, k: int, threshold: float, blocks: int = 8) -
             x, y = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
             x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (x, y))
             ids, others = a["vec_id"].to_numpy(), b["vec_id"].to_numpy()
-            for i in range(0, len(x), 1024):
-                s = np.round(np.clip(x[i : i + 1024] @ y.T, 0, 1), 6)
-                s[ids[i : i + 1024, None] == others[None, :]] = -1
+            step = max(1, 4_000_000 // len(y))
+            for i in range(0, len(x), step):
+                s = np.round(np.clip(x[i : i + step] @ y.T, 0, 1), 6)
+                s[ids[i : i + step, None] == others[None, :]] = -1
                 row, col = np.nonzero(s >= threshold)
-                out.append(pd.DataFrame({"source": ids[i + row], "target": others[col], "score": s[row, col]}))
-        found = pd.concat(out) if out else pd.DataFrame({"source": [], "target": [], "score": []})
-        return found.sort_values(["source", "score", "target"], ascending=[True, False, True]).groupby("source").head(k)
+                found = pd.DataFrame({"source": ids[i + row], "target": others[col], "score": s[row, col]})
+                out.append(found.sort_values(["source", "score", "target"], ascending=[True, False, True]).groupby("source").head(k))
+        return pd.concat(out) if out else pd.DataFrame({"source": [], "target": [], "score": []})
 
     pairs = left.groupBy("block", "other").cogroup(right.groupBy("block", "other")).applyInPandas(best, "source long, target long, score double")
     w = Window.partitionBy("source").orderBy(F.desc("score"), "target")
     return pairs.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
+def similar_pairs(index: DataFrame, k: int, threshold: float, held: int = HELD) -> DataFrame:
+    """top_k_blocks() of an index with itself."""
+    return top_k_blocks(index, index, k, threshold, held)
+
+
 def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nodes and the least node that each can reach over the links a, b."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -77,7 +87,7 @@ def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = new
 
 
-def linking_pairs(index: DataFrame, threshold: float, held: int = 20_000) -> DataFrame:
+def linking_pairs(index: DataFrame, threshold: float, held: int = HELD) -> DataFrame:
     """a, b: links that join the same vectors, over any number of steps, as all links at cosines at or above the threshold.
 
     Equal vectors are linked to the one of the least id, which stands for them. Blocks of those, of about `held` vectors, meet pair by pair;
@@ -140,6 +150,6 @@ def mmr(candidates: DataFrame, k: int, weight: float = 0.7, by: str = "query_id"
 
 
 def latest_points(points: DataFrame, key: str, order: str) -> DataFrame:
-    """Vector upsert: the newest point of each key, those without a vector left out."""
-    w = Window.partitionBy(key).orderBy(F.desc(order))
+    """Vector upsert: the newest point of each key, those without a vector left out; of equally new ones that of the least vector."""
+    w = Window.partitionBy(key).orderBy(F.desc(order), "v")
     return points.where(F.col("v").isNotNull()).withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")

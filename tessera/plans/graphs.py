@@ -448,7 +448,7 @@ ORACLE_SQL = {
     "adjacency": f"{_E} SELECT src, count(*) AS n, CAST(sum(weight) AS BIGINT) AS weight FROM adj GROUP BY src",
     "pagerank": f"{_ranks(ROUNDS)} SELECT node, round(rank, 9) AS rank FROM p{ROUNDS}",
     "modularity": f"{with_('edges')}, {_NATIONS}, r AS (SELECT x.community AS c_a, y.community AS c_b, weight FROM edges JOIN m x ON a = x.node JOIN m y ON b = y.node), t AS (SELECT sum(weight) AS m FROM r), d AS (SELECT c, sum(weight) AS degree FROM (SELECT c_a AS c, weight FROM r UNION ALL SELECT c_b, weight FROM r) GROUP BY c), i AS (SELECT c_a AS c, sum(weight) AS inside FROM r WHERE c_a = c_b GROUP BY c_a) SELECT round(sum(coalesce(inside, 0) / m - (degree / (2 * m)) ** 2), 6) AS modularity FROM d LEFT JOIN i USING (c), t",
-    "contracted": f"{with_('edges')}, {_NATIONS} SELECT least(x.community, y.community) AS a, greatest(x.community, y.community) AS b, count(*) AS weight FROM edges JOIN m x ON a = x.node JOIN m y ON b = y.node WHERE x.community != y.community GROUP BY 1, 2",
+    "contracted": f"{with_('edges')}, {_NATIONS} SELECT least(x.community, y.community) AS a, greatest(x.community, y.community) AS b, CAST(sum(weight) AS BIGINT) AS weight FROM edges JOIN m x ON a = x.node JOIN m y ON b = y.node WHERE x.community != y.community GROUP BY 1, 2",
     "degree_stats": f"{_E}, d AS (SELECT src, count(*) AS d FROM adj GROUP BY src) SELECT count(*) AS nodes, round(avg(d), 6) AS mean, max(d) AS greatest, min(d) AS least FROM d",
     "graph_stats": f"{with_('edges', 'entities')} SELECT 'node ' || type AS what, count(*) AS n FROM entities GROUP BY 1 UNION ALL SELECT 'edge', count(*) FROM edges",
     "entity_clusters": """WITH RECURSIVE l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a, embeddings b WHERE a.vec_id != b.vec_id AND round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) >= 0.35),

@@ -38,7 +38,7 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """a, b, weight: undirected simple graph of suppliers and parts that share a line; suppliers have negative ids."""
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    li = table(spark, sf_dir, "lineitem")
     return li.groupBy((-F.col("l_suppkey") - 1).alias("a"), F.col("l_partkey").alias("b")).agg(F.count(F.lit(1)).alias("weight"))
 
 
@@ -53,7 +53,7 @@ SQL = {
     "ranked_lists": "SELECT user_id AS query_id, event_type AS list, event_id % 40 AS chunk_id, event_id % 8 AS document_id, round(max(value / 500), 6) AS score FROM events GROUP BY ALL",
     "mentions": "SELECT l_orderkey AS chunk_id, l_partkey AS entity, round(max(1 - l_discount), 6) AS confidence FROM lineitem GROUP BY ALL",
     "entities": "SELECT p_partkey AS entity, p_name AS name, p_type AS type, round(p_retailprice / 2100, 6) AS confidence, CASE WHEN p_size > 40 THEN 'high' WHEN p_size > 20 THEN 'medium' ELSE 'low' END AS importance FROM part",
-    "edges": "SELECT -l_suppkey - 1 AS a, l_partkey AS b, count(*) AS weight FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL",
+    "edges": "SELECT -l_suppkey - 1 AS a, l_partkey AS b, count(*) AS weight FROM lineitem GROUP BY ALL",
     "chunk_documents": "SELECT o_orderkey AS chunk_id, o_custkey AS document_id FROM orders",
 }
 
