@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import table, texts
 
-#: Words of a window, and between the starts of two.
-WINDOW, STRIDE = 32, 16
+#: Words of a window; one starts at every word.
+WINDOW = 8
 HIDDEN, WORD_DIM, CHAR_DIM, CHAR_BUCKETS = 8, 8, 8, 4096
 #: Labelled documents of each class that the network is trained on: those with the smallest hash of their id.
 SAMPLE_PER_CLASS = 1500
@@ -32,6 +32,8 @@ _EDGES = ".,;:!?\"'()[]{}*#&$%|<>-_=+/\\"
 LONGEST, PIECE = 50, 16
 _RUNS = re.compile(f"[^{re.escape(_EDGES)}]+[{re.escape(_EDGES)}]*|[{re.escape(_EDGES)}]+")
 _HELD_WORDS = 300_000
+#: Windows, and words, that go through the network together.
+_STEP = 2048
 
 
 def held_out(doc_id: Column) -> Column:
@@ -66,11 +68,8 @@ def char_ids(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _windows(n: int) -> np.ndarray:
-    """First words of the windows over n words; the last one ends with the text."""
-    if n <= WINDOW:
-        return np.zeros(1, dtype=np.int64)
-    starts = np.arange(0, n - WINDOW, STRIDE, dtype=np.int64)
-    return np.append(starts, n - WINDOW)
+    """First words of all overlapping windows over n words; a shorter text is one window."""
+    return np.arange(max(1, n - WINDOW + 1), dtype=np.int64)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -84,6 +83,7 @@ class Network:
     words: dict[str, int]
     parts: dict[str, np.ndarray]
     share: float = 0.5
+    trained: bool = False
 
     @staticmethod
     def fresh(words: dict[str, int], odds: np.ndarray) -> Network:
@@ -202,7 +202,8 @@ class Scorer:
         if len(self.rows) == self.done:
             return
         fresh = list(self.rows)[self.done :] if self.done else list(self.rows)
-        new = self.net.projected(self.net.inputs(fresh))
+        n = -len(fresh) % _STEP  # as many rows each time, so that a word's numbers don't depend on the words beside it
+        new = [x[: len(fresh)] for x in self.net.projected(np.pad(self.net.inputs(fresh), ((0, n), (0, 0))))]
         for i in range(2):
             if self.size + len(fresh) > len(self.proj[i]):
                 room = np.empty((2 * (self.size + len(fresh)), 3 * HIDDEN), dtype=np.float32)
@@ -224,8 +225,10 @@ class Scorer:
             counts.append(len(starts))
             parts.append(np.lib.stride_tricks.sliding_window_view(x, WINDOW)[starts])
         ids = np.concatenate(parts) if parts else np.empty((0, WINDOW), dtype=np.int64)
-        out = [self.net.logits(self.proj, ids[i : i + 2048]) for i in range(0, len(ids), 2048)]
-        return np.concatenate(out) if out else np.empty(0, dtype=np.float32), np.array(counts, dtype=np.int64), parts
+        n = len(ids)
+        ids = np.pad(ids, ((0, -n % _STEP), (0, 0)))
+        out = [self.net.logits(self.proj, ids[i : i + _STEP]) for i in range(0, len(ids), _STEP)]
+        return np.concatenate(out)[:n] if out else np.empty(0, dtype=np.float32), np.array(counts, dtype=np.int64), parts
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if not texts:
@@ -233,7 +236,7 @@ class Scorer:
         if len(self.rows) > _HELD_WORDS:
             self.reset()
         logits, counts, _ = self.window_logits(texts)
-        return _sigmoid(np.maximum.reduceat(logits, np.cumsum(counts) - counts).astype(np.float64))
+        return np.round(_sigmoid(np.maximum.reduceat(logits, np.cumsum(counts) - counts).astype(np.float64)), 7)
 
 
 def fit(docs: list[str], toxic: list[int]) -> Network:
@@ -242,7 +245,7 @@ def fit(docs: list[str], toxic: list[int]) -> Network:
     With labels of one class only (or none) the network is untrained and scores are the smoothed share of toxic labels.
     """
     y = np.array(toxic, dtype=np.float32)
-    share = float((y.sum() + 0.5) / (len(y) + 1))
+    share = (sum(toxic) + 0.5) / (len(toxic) + 1)
     split = [tokens(t) for t in docs]
     seen: dict[str, list[int]] = {}
     for w, label in zip(split, toxic, strict=True):
@@ -290,6 +293,7 @@ def fit(docs: list[str], toxic: list[int]) -> Network:
             g = net.gradients(rows, at, target, word_of[used], (chars, first))
             step += 1
             rate = RATE * (1 - 0.8 * epoch / epochs) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+            net.trained = True
             for k, grad in g.items():
                 m, v = moment[k]
                 m += 0.1 * (grad - m)
@@ -323,9 +327,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
 
 
 def scored(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score of each whole text; null and empty texts have one empty window. Equal texts have equal scores."""
+    """doc_id, score of each whole text; null and empty texts have one empty window. Equal texts have equal scores: 7 places, of batches of one size."""
     model = docs.sparkSession.sparkContext.broadcast(net)
-    trained = net.share if not net.words else None
+    share = None if net.trained else net.share
 
     def run(batches):
         scorer = Scorer(model.value)
@@ -333,7 +337,7 @@ def scored(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str
             out = []
             for i in range(0, b.num_rows, 256):
                 part = b.column("text").slice(i, 256).to_pylist()
-                out.append(scorer.scores(part) if trained is None else np.full(len(part), trained))
+                out.append(scorer.scores(part) if share is None else np.full(len(part), share))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.concatenate(out) if out else np.empty(0))], names=["doc_id", "score"])
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
