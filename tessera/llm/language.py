@@ -70,7 +70,8 @@ def train(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, per_language:
     if not chosen:
         return fit([], languages)
     sample = F.broadcast(docs.sparkSession.createDataFrame(sorted(set(chosen)), "label_id long, label string"))
-    rows = docs.join(sample, (F.col("doc_id") == F.col("label_id")) & (F.col("lang") == F.col("label"))).groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    own = docs.select("doc_id", "text", "lang")  # whatever other columns are called
+    rows = own.join(sample, (F.col("doc_id") == F.col("label_id")) & (F.col("lang") == F.col("label"))).groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     return fit([(r.text or "", r.label) for r in rows.collect()], languages)
 
 
@@ -96,36 +97,50 @@ def _share(own: list[Column], above: list[Column]) -> list[Column]:
     return [(c + F.lit(SMOOTHING) * a) / (total + F.lit(SMOOTHING)) for c, a in zip(own, above, strict=True)]
 
 
-def host_priors(scored: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
-    """host, prior (array by language), from counts of the texts' own languages by host, domain and suffix."""
+def _vote(languages: tuple[str, ...]) -> Column:
+    """The place, from 1, of the language that a text's own trigrams favour."""
+    own = F.slice("likelihood", 1, len(languages))
+    return F.array_position(own, F.array_max(own))
+
+
+def host_counts(scored: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> tuple[DataFrame, list[int]]:
+    """host, and in h, d and s the texts by own language of the host, its domain and its suffix (arrays by language); and those of all rows."""
     k = range(len(languages))
-    best = F.array_position(F.slice("likelihood", 1, len(languages)), F.array_max(F.slice("likelihood", 1, len(languages))))
-    votes = scored.where("trigrams > 0").select("host", best.alias("best"))
+    votes = scored.where("trigrams > 0").select("host", _vote(languages).alias("best"))
     parts = F.split("host", r"\.")
     hosts = votes.groupBy("host").agg(*(F.sum((F.col("best") == i + 1).cast("long")).alias(f"h{i}") for i in k))
     hosts = hosts.withColumn("domain", F.when(F.size(parts) > 1, F.concat_ws(".", F.slice(parts, -2, 2))).otherwise(F.col("host"))).withColumn("suffix", F.when(F.size(parts) > 1, F.element_at(parts, -1)).otherwise(F.lit("")))
     domains = hosts.groupBy("domain", "suffix").agg(*(F.sum(f"h{i}").alias(f"d{i}") for i in k))
     suffixes = domains.groupBy("suffix").agg(*(F.sum(f"d{i}").alias(f"s{i}") for i in k))
     totals = suffixes.agg(*(F.sum(f"s{i}").alias(f"a{i}") for i in k)).first()
-    base = [((totals[i] or 0) + 1) / (sum(x or 0 for x in totals) + len(languages)) for i in k]
     level = hosts.join(domains.drop("suffix"), "domain").join(suffixes, "suffix")
-    shares = [F.lit(x) for x in base]
-    for letter in "sdh":
-        shares = _share([F.col(f"{letter}{i}") for i in k], shares)
-    return level.select("host", F.array(*shares).alias("prior"))
+    return level.select("host", *(F.array(*(F.col(f"{x}{i}") for i in k)).alias(x) for x in "hds")), [x or 0 for x in totals]
+
+
+def _prior(totals: list[int], languages: tuple[str, ...]) -> list[Column]:
+    """Smoothed shares of host_counts() beside a row, whose own vote is taken out of all levels first: it is evidence already."""
+    k = range(len(languages))
+    own = [(F.col("vote") == i + 1).cast("int") for i in k]
+    total = F.lit(sum(totals) + len(languages)) - (F.col("vote") > 0).cast("int")
+    shares = [(F.lit(totals[i] + 1) - own[i]) / total for i in k]
+    for level in "sdh":
+        shares = _share([F.coalesce(F.col(level)[i], F.lit(0)) - F.when(F.col(level).isNotNull(), own[i]).otherwise(0) for i in k], shares)
+    return shares
 
 
 def fused(scored: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
     """row, language, confidence, text_language, accepted. `scored` is read twice, so it should be a stored table.
 
-    A text without letters, or one that no language explains better than chance, is 'und' and not accepted, whatever else speaks.
-    Null or unknown declarations and hosts say nothing. Host rows are salted for the join, so no host's rows meet in one task.
+    A text without letters is 'und' and not accepted; so is one for which no language, with all evidence, is likelier than none.
+    Null or unknown declarations and suffixes say nothing; known ones are as likely in any language for a text in none. Host rows are salted for the join, so no host's rows meet in one task.
     """
     n = len(languages)
-    priors = host_priors(scored, languages).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))).withColumnRenamed("host", "prior_host")
-    left = scored.withColumn("salt", F.pmod(F.xxhash64("row", "likelihood"), F.lit(_SALTS)).cast("int"))
+    counts, totals = host_counts(scored, languages)
+    priors = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))).withColumnRenamed("host", "prior_host")
+    vote = F.when(F.col("trigrams") > 0, _vote(languages)).otherwise(0).cast("int")
+    left = scored.withColumn("vote", vote).withColumn("salt", F.pmod(F.xxhash64("row", "likelihood"), F.lit(_SALTS)).cast("int"))
     rows = left.join(priors, (left.salt == priors.salt) & (F.col("host") == F.col("prior_host")), "left")
-    even = F.array(*(F.lit(1.0 / n) for _ in range(n)))
+    rows = rows.withColumn("prior", F.array(*_prior(totals, languages)))
     declared = F.lower(F.regexp_extract(F.coalesce("declared", F.lit("")), r"^\s*([A-Za-z]{2,3})", 1))
     suffix = F.element_at(F.create_map(*(F.lit(x) for pair in SUFFIXES.items() for x in pair)), F.element_at(F.split("host", r"\."), -1))
     weight = F.col("trigrams") / (1 + F.col("trigrams") / F.lit(EFFECTIVE_TRIGRAMS))
@@ -134,8 +149,9 @@ def fused(scored: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFram
         wrong = (1 - right) / max(1, n - 1)
         return F.when(said.isin(*languages), F.log(F.when(said == language, F.lit(right)).otherwise(F.lit(wrong)))).otherwise(F.lit(0.0))
 
-    logs = [F.log((1 - UNKNOWN_PRIOR) * F.coalesce("prior", even)[i]) + weight * F.col("likelihood")[i] + told(declared, c, DECLARED_RIGHT) + told(suffix, c, SUFFIX_RIGHT) for i, c in enumerate(languages)]
-    logs.append(F.lit(float(np.log(UNKNOWN_PRIOR))) + weight * F.col("likelihood")[n])
+    logs = [F.log((1 - UNKNOWN_PRIOR) * F.col("prior")[i]) + weight * F.col("likelihood")[i] + told(declared, c, DECLARED_RIGHT) + told(suffix, c, SUFFIX_RIGHT) for i, c in enumerate(languages)]
+    any_of = lambda said: F.when(said.isin(*languages), F.lit(float(-np.log(n)))).otherwise(F.lit(0.0))
+    logs.append(F.lit(float(np.log(UNKNOWN_PRIOR))) + weight * F.col("likelihood")[n] + any_of(declared) + any_of(suffix))
     rows = rows.withColumn("logs", F.array(*logs))
     rows = rows.withColumn("odds", F.transform("logs", lambda x: F.exp(x - F.array_max("logs"))))
     names = F.array(*map(F.lit, (*languages, UNKNOWN)))
