@@ -20,6 +20,8 @@ from tessera.llm.common import shuffle_parts, stored, table
 CHUNK_BYTES = 64 * 1024
 #: Smaller payloads are never replaced by a reference.
 LEAST_REVISIT_BYTES = 0
+#: Revisits (a digest and two numbers each) up to which their list is sent to all tasks; a longer one is joined by shuffle.
+SENT_ROWS = 200_000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CHUNKS = "record_no long, chunk_no int, n_chunks int, digest_so_far string, data binary"
@@ -31,18 +33,21 @@ def base32_sha1(digest: bytes) -> str:
 
 
 def classified(pages: DataFrame, least: int = LEAST_REVISIT_BYTES) -> DataFrame:
-    """page_id, url, html, refers_to: null for responses, the response's page_id for revisits.
+    """page_id, url, html (binary), digest (of the html), refers_to: null for responses, the response's page_id for revisits.
 
     Of equal payloads that with the largest page_id is the response. Null html counts as empty. Ids may repeat: all rows
     of the largest id are responses; rows without an id refer to it too, or are all responses if none has an id.
     """
-    pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    pages = pages.withColumn("digest", F.sha1(F.col("html").cast("binary")))
+    pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("html"))
+    pages = pages.withColumn("digest", F.sha1("html"))
     keys = pages.select("page_id", "digest", F.octet_length("html").alias("n"))
     groups = keys.where(F.col("n") >= least).groupBy("digest").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("digest", "response")
     revisits = keys.join(groups, "digest").where(~F.col("page_id").eqNullSafe(F.col("response")))
     revisits = revisits.groupBy("page_id", "digest").agg(F.max("response").alias("refers_to")).withColumnsRenamed({"page_id": "r_id", "digest": "r_digest"})
-    return pages.join(revisits, (pages.digest == F.col("r_digest")) & pages.page_id.eqNullSafe(F.col("r_id")), "left").select("page_id", "url", "html", "refers_to")
+    revisits = stored(revisits, "revisits")
+    if revisits.count() <= SENT_ROWS:
+        revisits = F.broadcast(revisits)
+    return pages.join(revisits, (pages.digest == F.col("r_digest")) & pages.page_id.eqNullSafe(F.col("r_id")), "left").select("page_id", "url", "html", "digest", "refers_to")
 
 
 def record_head(page_id: int | None, record_no: int, url: str | None, payload_bytes: int, sha1: bytes, refers_to: int | None) -> bytes:
@@ -68,7 +73,7 @@ def record_chunks(head: bytes, payload: memoryview, size: int = CHUNK_BYTES) ->
 
 
 def write(records: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
-    """The chunk table of classified() pages. Rows leave a task as they are made; no record is joined up again."""
+    """The chunk table of classified() pages. Payloads are sliced where Arrow holds them, and rows leave a task as they are made: no record is copied whole."""
 
     def run(batches):
         names = ["record_no", "chunk_no", "n_chunks", "digest_so_far", "data"]
@@ -79,10 +84,10 @@ def write(records: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
 
         for b in batches:
             rows, held = [], 0
-            for no, page, url, html, refers in zip(*(b.column(c) for c in ("record_no", "page_id", "url", "html", "refers_to")), strict=True):
-                no, refers, payload = no.as_py(), refers.as_py(), html.as_py().encode()
-                head = record_head(page.as_py(), no, url.as_py(), len(payload), hashlib.sha1(payload).digest(), refers)
-                for chunk in record_chunks(head, memoryview(payload if refers is None else b""), size):
+            for no, page, url, html, digest, refers in zip(*(b.column(c) for c in ("record_no", "page_id", "url", "html", "digest", "refers_to")), strict=True):
+                no, refers, payload = no.as_py(), refers.as_py(), memoryview(html.as_buffer())
+                head = record_head(page.as_py(), no, url.as_py(), len(payload), bytes.fromhex(digest.as_py()), refers)
+                for chunk in record_chunks(head, payload if refers is None else memoryview(b""), size):
                     rows.append((no, *chunk))
                     held += len(chunk[3])
                     if held > 4_000_000:
