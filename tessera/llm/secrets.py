@@ -125,19 +125,16 @@ def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, text_key, kinds: the rules whose query the postings meet."""
-    number = {t: i for i, t in enumerate(_names(rules))}
-    per_row = index.groupBy("doc_id", "text_key").agg(F.collect_set("trigram").alias("held"))
-    asked = [(r.kind, [[number[r.ignore_case, t] for t in x] for x in q]) for r in rules if (q := trigram_query(r)) is not None]
-    met = [F.when(_any([F.size(F.array_except(F.array(*map(F.lit, x)), "held")) == 0 for x in q]), F.lit(kind)) for kind, q in asked]
-    return per_row.select("doc_id", "text_key", F.array_compact(F.array(*met)).alias("kinds")).where(F.size("kinds") > 0)
-
+    """doc_id, text_key, kinds: the rules whose query the postings meet.
 
-def _any(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out | c
-    return out
+    The rules' alternatives, a table of fixed size, meet the postings at their trigrams; a text in the postings of all
+    trigrams of an alternative is in their intersection.
+    """
+    number = {t: i for i, t in enumerate(_names(rules))}
+    asked = [(number[r.ignore_case, t], r.kind, k, len(x)) for r in rules for k, x in enumerate(trigram_query(r) or []) for t in x]
+    terms = index.sparkSession.createDataFrame(asked, "trigram int, kind string, alternative int, needed int")
+    met = index.join(F.broadcast(terms), "trigram").groupBy("doc_id", "text_key", "kind", "alternative", "needed").agg(F.size(F.collect_set("trigram")).alias("held"))
+    return met.where("held = needed").groupBy("doc_id", "text_key").agg(F.collect_set("kind").alias("kinds"))
 
 
 def _spans(rule: Rule, number: int) -> Column:
@@ -192,15 +189,24 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
 
 
 def mask(text: Column, spans: Column, by: str = "*") -> Column:
-    """The text with each span's characters replaced, its length kept; spans may overlap."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with each span's characters replaced, its length kept; spans are in order and may overlap.
+
+    The text is taken apart into characters once, and the pieces between spans are joined once.
+    """
+
+    def masked(letters: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+        def step(acc, s):
+            low = F.greatest(s.at, acc.at)
+            n = F.greatest(s.upto - low, F.lit(0))
+            pieces = F.array(F.array_join(F.slice(letters, acc.at + 1, low - acc.at), ""), F.repeat(F.lit(by), n))
+            return F.struct(F.greatest(s.upto, acc.at).alias("at"), F.when(n > 0, F.concat(acc.out, pieces)).otherwise(acc.out).alias("out"))
 
-    def step(acc, s):
-        low = F.greatest(s.at, acc.at)
-        n = F.greatest(s.upto - low, F.lit(0))
-        return F.struct(F.greatest(s.upto, acc.at).alias("at"), F.when(n > 0, F.concat(acc.out, F.substring(text, acc.at + 1, low - acc.at), F.repeat(F.lit(by), n))).otherwise(acc.out).alias("out"))
+        rest = lambda acc: F.array_join(F.slice(letters, acc.at + 1, F.greatest(F.size(letters) - acc.at, F.lit(0))), "")
+        return F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc.out, ""), rest(acc)))
 
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc.out, F.substring(text, acc.at + 1, F.lit(2**31 - 1))))
+    return F.when(F.size(spans) == 0, text).otherwise(F.get(F.transform(F.array(F.split(text, "")), masked), F.lit(0)))
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

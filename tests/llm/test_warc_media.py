@@ -19,6 +19,30 @@ def test_every_page_of_a_table(spark, sf):
         assert (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.intact) == (len(h), base64.b32encode(hashlib.sha1(h).digest()).decode(), "response" if first else "revisit", None if first else last[h], True)
 
 
+def test_same_rows_as_sql(spark, sf):
+    import oracle
+
+    from tessera.llm import registry
+
+    for name, sql in registry.ORACLE_SQL.items():
+        assert oracle.differences(registry.QUERIES[name](spark, sf), oracle.connect(sf), sql) == ""
+
+
+def test_features_of_a_table(spark, sf):
+    """op3_media's digests against the texts themselves, and the stored form's against a stream made alone."""
+    import zlib
+
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r.doc_id: r for r in media.op3_media(spark, sf).collect()}
+    assert set(got) == set(docs)
+    for i, raw in docs.items():
+        whole = raw + b"\0" * (-len(raw) % 64 or 64 * (not raw))
+        stream = bytes(media.mux_bytes(whole))
+        r = got[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(stream), hashlib.sha256(stream).hexdigest()) and r.feature
+
+
 def test_odd_pages_in_small_chunks(spark):
     big = "é" * 5000
     rows = [(1, "u\r\nx", big, "a"), (2, None, big, "a"), (None, "a", "x", "a"), (3, "a", "x", None), (3, "a", "x", None), (None, None, None, ""), (5, "", "", ""), (6, "z\n", None, "q")]
