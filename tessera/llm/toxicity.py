@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import table, texts
 
 #: Words of a window; one starts at every word.
-WINDOW = 8
+WINDOW = 6
 HIDDEN, WORD_DIM, CHAR_DIM, CHAR_BUCKETS = 8, 8, 8, 4096
 #: Labelled documents of each class that the network is trained on: those with the smallest hash of their id.
 SAMPLE_PER_CLASS = 1500
@@ -109,13 +109,13 @@ class Network:
     def projected(self, inputs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return tuple(inputs @ self.parts[f"in_{d}"] + self.parts[f"bias_{d}"] for d in "fb")
 
-    def states(self, proj: np.ndarray, ids: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
-        """Hidden states (step, window, unit) over word rows `ids` (window, step)."""
-        re, h = self.parts[f"re_{d}"], np.zeros((len(ids), HIDDEN), dtype=np.float32)
-        out = np.empty((ids.shape[1], len(ids), HIDDEN), dtype=np.float32)
+    def states(self, word, n: int, d: str, keep: list | None = None) -> np.ndarray:
+        """Hidden states (step, window, unit) of n windows; word(t): the projected words at step t."""
+        re, h = self.parts[f"re_{d}"], np.zeros((n, HIDDEN), dtype=np.float32)
+        out = np.empty((WINDOW, n, HIDDEN), dtype=np.float32)
         k = 2 * HIDDEN
-        for t in range(ids.shape[1]) if d == "f" else range(ids.shape[1] - 1, -1, -1):
-            x, u = proj[ids[:, t]], h @ re
+        for t in range(WINDOW) if d == "f" else range(WINDOW - 1, -1, -1):
+            x, u = word(t), h @ re
             gates = _sigmoid(x[:, :k] + u[:, :k])
             r, z = gates[:, :HIDDEN], gates[:, HIDDEN:]
             new = np.tanh(x[:, k:] + r * u[:, k:])
@@ -134,16 +134,24 @@ class Network:
         return a, np.einsum("tb,tbk->bk", a, both)
 
     def logits(self, proj: tuple[np.ndarray, np.ndarray], ids: np.ndarray) -> np.ndarray:
-        """A logit for each window; word row 0 is padding."""
-        both = np.concatenate([self.states(p, ids, d) for p, d in zip(proj, "fb", strict=True)], axis=2)
+        """A logit for each window of word rows; row 0 is padding."""
+        both = np.concatenate([self.states(lambda t, p=p: p[ids[:, t]], len(ids), d) for p, d in zip(proj, "fb", strict=True)], axis=2)
         return self.pooled(both, ids.T > 0)[1] @ self.parts["out"] + self.parts["level"][0]
 
+    def logits_along(self, proj: tuple[np.ndarray, np.ndarray], rows: np.ndarray) -> np.ndarray:
+        """A logit for the window that starts at each of the word rows but the last WINDOW - 1; each word is looked up once."""
+        n = len(rows) - WINDOW + 1
+        own = [p[rows] for p in proj]
+        both = np.concatenate([self.states(lambda t, p=p: p[t : t + n], n, d) for p, d in zip(own, "fb", strict=True)], axis=2)
+        mask = np.lib.stride_tricks.sliding_window_view(rows > 0, n)
+        return self.pooled(both, mask)[1] @ self.parts["out"] + self.parts["level"][0]
+
     def gradients(self, rows: np.ndarray, ids: np.ndarray, target: np.ndarray, word_of: np.ndarray, chars: tuple[np.ndarray, np.ndarray]) -> dict[str, np.ndarray]:
         """Of the mean cross entropy. rows: inputs of the word rows; word_of, chars: what those are made of."""
         p, g = self.parts, {}
         kept = {d: [] for d in "fb"}
         proj = self.projected(rows)
-        both = np.concatenate([self.states(q, ids, d, kept[d]) for q, d in zip(proj, "fb", strict=True)], axis=2)
+        both = np.concatenate([self.states(lambda t, q=q: q[ids[:, t]], len(ids), d, kept[d]) for q, d in zip(proj, "fb", strict=True)], axis=2)
         mask = ids.T > 0
         a, pool = self.pooled(both, mask)
         err = ((_sigmoid(pool @ p["out"] + p["level"][0]) - target) / len(target)).astype(np.float32)
@@ -213,29 +221,26 @@ class Scorer:
         self.size += len(fresh)
         self.done = len(self.rows)
 
-    def window_logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Logits of all windows of the texts, the number of windows of each, and the word rows."""
+    def window_logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Logits of all windows of the texts, and the number of windows of each."""
         found = [np.fromiter(map(self.rows.__getitem__, w), dtype=np.int64, count=len(w)) for w in map(tokens, texts)]
         self._fill()
-        counts, parts = [], []
-        for x in found:
-            starts = _windows(len(x))
-            if len(x) < WINDOW:
-                x = np.pad(x, (0, WINDOW - len(x)))
-            counts.append(len(starts))
-            parts.append(np.lib.stride_tricks.sliding_window_view(x, WINDOW)[starts])
-        ids = np.concatenate(parts) if parts else np.empty((0, WINDOW), dtype=np.int64)
-        n = len(ids)
-        ids = np.pad(ids, ((0, -n % _STEP), (0, 0)))
-        out = [self.net.logits(self.proj, ids[i : i + _STEP]) for i in range(0, len(ids), _STEP)]
-        return np.concatenate(out)[:n] if out else np.empty(0, dtype=np.float32), np.array(counts, dtype=np.int64), parts
+        padded = [np.pad(x, (0, max(0, WINDOW - len(x)))) for x in found]
+        sizes = np.fromiter(map(len, padded), dtype=np.int64, count=len(padded))
+        rows = np.concatenate([*padded, np.zeros(-(int(sizes.sum()) - WINDOW + 1) % _STEP, dtype=np.int64)]) if padded else np.empty(0, dtype=np.int64)
+        out = [self.net.logits_along(self.proj, rows[i : i + _STEP + WINDOW - 1]) for i in range(0, len(rows) - WINDOW + 1, _STEP)]
+        # windows that reach into the next text are left out
+        keep = np.ones(int(sizes.sum()), dtype=bool)
+        for k in range(1, WINDOW):
+            keep[np.cumsum(sizes) - k] = False
+        return np.concatenate(out)[: len(keep) - WINDOW + 1][keep[: len(keep) - WINDOW + 1]] if out else np.empty(0, dtype=np.float32), sizes - WINDOW + 1
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if not texts:
             return np.empty(0)
         if len(self.rows) > _HELD_WORDS:
             self.reset()
-        logits, counts, _ = self.window_logits(texts)
+        logits, counts = self.window_logits(texts)
         return np.round(_sigmoid(np.maximum.reduceat(logits, np.cumsum(counts) - counts).astype(np.float64)), 7)
 
 
@@ -302,7 +307,7 @@ def fit(docs: list[str], toxic: list[int]) -> Network:
         if epoch + 1 < epochs:
             scorer, score = Scorer(net), []
             for i in range(0, len(docs), 500):
-                logits, counts, _ = scorer.window_logits(docs[i : i + 500])
+                logits, counts = scorer.window_logits(docs[i : i + 500])
                 score += np.split(logits, np.cumsum(counts)[:-1])
     return net
 
