@@ -122,3 +122,23 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     batch.repartition(3).write.parquet(str(src))
     live = events.run_available(events.windowed(events.stream(spark, str(src), batch.schema), "1 day"), "live_windows", str(tmp_path / "cp"))
     assert rows(live) == rows(events.windowed(events.timed(batch), "1 day"))
+
+
+def test_similar_pairs_in_every_partitioning(spark):
+    """The same rows as brute force, whatever the number of partitions and blocks, without adaptive plans."""
+
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal((120, 8))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, v array<double>")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = np.round(np.clip(unit @ unit.T, 0, 1), 6)
+    want = {(i, int(j)) for i in range(120) for j in sorted((j for j in range(120) if j != i and s[i, j] >= 0.3), key=lambda j: (-s[i, j], j))[:4]}
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for parts in ("1", "8", "200"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            assert {(r.source, r.target) for r in vectors.similar_pairs(df, 4, 0.3, held=25).collect()} == want
+    finally:
+        for k, x in old.items():
+            spark.conf.set(k, x)
