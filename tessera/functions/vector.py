@@ -42,10 +42,14 @@ def relevance(similarity: Column) -> Column:
     return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (similarity + 1) / 2)), F.lit(0.5))
 
 
+def word_bucket(word: Column, size: int = 64) -> Column:
+    """The place in a bag of hashed words: by the first 4 hex digits of the word's md5."""
+    return F.conv(F.substring(F.md5(word.cast("binary")), 1, 4), 16, 10).cast("int") % size
+
+
 def hashed_words(words: Column, size: int = 64) -> Column:
-    """A bag of words as a vector: each word counts in the bucket of its md5's first 4 hex digits."""
-    bucket = lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 4), 16, 10).cast("int") % size
-    runs = F.array_sort(F.transform(words, bucket))
+    """A bag of words as a vector: each word counts in its bucket. For short texts: operators.vectors.hashed_counts() counts over rows."""
+    runs = F.sort_array(F.transform(words, lambda w: word_bucket(w, size)))
     # one pass over the sorted buckets: the counts so far, and the bucket that is being counted
     start = F.struct(F.array().cast("array<double>").alias("done"), F.lit(0).alias("at"), F.lit(0.0).alias("n"))
 

@@ -27,6 +27,16 @@ def scored(index: DataFrame, queries: DataFrame, similarity: Callable[..., Colum
     return index.join(F.broadcast(queries)).withColumn("score", F.round(similarity("v", "q"), 6))
 
 
+def hashed_counts(rows: DataFrame, word: str, size: int = 64) -> DataFrame:
+    """The other columns of `rows` (a word of a text each), bucket and n: the hashed bag of words of each key as sparse rows. Null words count nowhere; texts without words have no row.
+
+    Words are hashed in generated code and counted before the shuffle, so at most `size` rows of a key and task move.
+    """
+    keys = [c for c in rows.columns if c != word]
+    each = rows.where(F.col(word).isNotNull()).select(*keys, vector.word_bucket(F.col(word), size).alias("bucket"))
+    return each.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
 def top_k(rows: DataFrame, k: int, by: str = "query_id", tie: str = "vec_id", threshold: float | None = None) -> DataFrame:
     """The k best-scored rows of each query, at or above the threshold, with rank; ties by the smaller id."""
     if threshold is not None:

@@ -96,9 +96,14 @@ def mmr(spark: SparkSession, sf: str) -> DataFrame:
 def hashed_embed_topk(spark: SparkSession, sf: str) -> DataFrame:
     """Documents by cosine of hashed word vectors to a query text's."""
     docs = table(spark, sf, "documents")
-    words = F.filter(F.split(F.lower(F.trim("text")), r"\s+"), lambda w: w != "")
-    query = F.array(*map(F.lit, "the and of to that in".split()))
-    rows = docs.select("doc_id", vector.hashed_words(words).alias("v"), vector.hashed_words(query).alias("q")).select("doc_id", F.round(vector.cosine("v", "q"), 6).alias("score"))
+    # words as rows of their own, so that the key beside them is the id and not the text
+    words = docs.select("doc_id", F.explode(F.split(F.lower(F.trim("text")), r"\s+")).alias("word")).where("word != ''")
+    query = spark.createDataFrame([(w,) for w in "the and of to that in".split()], "word string")
+    q = op.hashed_counts(query, "word").select("bucket", F.col("n").alias("q"))
+    length = F.sqrt(F.lit(q.agg(F.sum(F.col("q") * F.col("q"))).first()[0]).cast("double"))
+    bags = op.hashed_counts(words, "word").join(F.broadcast(q), "bucket", "left")
+    n = F.col("n").cast("double")
+    rows = bags.groupBy("doc_id").agg(F.round(F.coalesce(F.sum(n * F.col("q")), F.lit(0.0)) / (F.sqrt(F.sum(n * n)) * length), 6).alias("score"))
     return rows.where("score is not null").orderBy(F.desc("score"), "doc_id").limit(20)
 
 
