@@ -91,3 +91,9 @@ ARABIC_STOP_WORDS = ["في", "من", "على", "إلى", "عن", "مع", "هذا
 PAGE_NOISE = ["nav", "menu", "sidebar", "footer", "header", "ad", "advertisement", "banner", "popup", "cookie", "social", "share"]
 # Key fragments that a JSON field is left out for.
 JSON_SKIP = ["id", "uuid", "created", "updated", "timestamp", "count", "url", "link", "token", "hash", "version"]
+
+#: Fixed values of the answer score: words that tell nothing of a question, and marks of a specific answer.
+QUESTION_STOP_WORDS = ["ما", "هي", "هو", "من", "في", "على", "إلى", "عن", "مع", "أو", "و", "what", "is", "the", "are", "how", "does", "do", "a", "an", "of", "to", "in"]
+SPECIFIC_MARKS = ["2030", "2024", "2025", "%", "٪", "مليون", "مليار", "million", "billion"]
+#: The Unicode blocks of Arabic letters, as a regular expression's class.
+ARABIC_BLOCKS = r"[\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}]"

@@ -42,3 +42,13 @@ def summary(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Mean, population deviation, least, greatest and count."""
     v = F.col(value)
     return rows.groupBy(*by).agg(F.round(F.avg(v), 9).alias("mean"), F.round(F.stddev_pop(v), 6).alias("std"), F.min(v).alias("least"), F.max(v).alias("greatest"), F.count(v).alias("n"))
+
+
+def of_retrieved(rows: DataFrame, k: int = 10) -> DataFrame:
+    """Precision over what was retrieved (k at most, not k itself), recall and NDCG with relevance 0 or 1. Nothing relevant: 0."""
+    hit = (F.col("relevance") > 0).cast("int")
+    per = rows.where(F.col("rank") <= k).groupBy("query_id").agg(F.sum(hit).alias("hits"), F.count(F.lit(1)).alias("found"), F.max("n_relevant").alias("n"), F.sum(hit / F.log2(F.col("rank") + 1.0)).alias("gain"))
+    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.col("n"), F.lit(k))).cast("int"))
+    ideal = F.aggregate(places, F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
+    some = lambda x: F.round(F.when(F.col("n") > 0, x).otherwise(0.0), 6)
+    return per.select("query_id", F.round(F.col("hits") / F.col("found"), 6).alias("precision"), some(F.col("hits") / F.col("n")).alias("recall"), some(F.col("gain") / ideal).alias("ndcg"))

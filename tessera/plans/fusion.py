@@ -170,7 +170,12 @@ def first_relevant(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("query_id").agg(F.min(F.when(F.col("relevance") > 0, F.col("rank"))).alias("first"), F.round(F.avg((F.col("relevance") > 0).cast("double")), 6).alias("coverage"))
 
 
-QUERIES = {f.__name__: f for f in (rrf_two_lists, rrf_weighted, weighted_fusion, interleave, mix_union, dual_fuse, unified_fuse, dedupe_max, source_round_robin, fused_responses, term_boost, keyword_rerank, rerank_change, hybrid_entity_rank, validation_ratio, score_threshold, combined_subresults, prf_hit_at_k, mrr_map, ndcg10, metric_summary, mode_pivot, best_mode, grouped_modes, hop_buckets, first_relevant)}
+def binary_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Precision over the retrieved, recall and NDCG at 10 with relevance 0 or 1."""
+    return metrics.of_retrieved(_judged(spark, sf)[2])
+
+
+QUERIES = {f.__name__: f for f in (rrf_two_lists, rrf_weighted, weighted_fusion, interleave, mix_union, dual_fuse, unified_fuse, dedupe_max, source_round_robin, fused_responses, term_boost, keyword_rerank, rerank_change, hybrid_entity_rank, validation_ratio, score_threshold, combined_subresults, prf_hit_at_k, mrr_map, ndcg10, metric_summary, mode_pivot, best_mode, grouped_modes, hop_buckets, first_relevant, binary_metrics)}
 
 _TOTAL = sum(WEIGHTS.values())
 _IN = ", ".join(f"'{w}'" for w in WEIGHTS)
@@ -187,6 +192,7 @@ _PER = f"""{_BEST}, {_RESULTS}, per AS (SELECT query_id, max(n) AS n, coalesce(m
 ) + " FROM per)"
 
 ORACLE_SQL = {
+    "binary_metrics": f"{_BEST}, {_RESULTS}, h AS (SELECT query_id, sum(hit) AS hits, count(*) AS found, max(n) AS n, sum(hit / log2(rank + 1)) AS gain FROM seen WHERE rank <= 10 GROUP BY query_id) SELECT query_id, round(hits / found, 6) AS precision, round(CASE WHEN n > 0 THEN hits / n ELSE 0 END, 6) AS recall, round(CASE WHEN n > 0 THEN gain / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1))) ELSE 0 END, 6) AS ndcg FROM h",
     "rrf_two_lists": f"{_RANKED} SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS fused, max(score) AS best FROM ranked WHERE list IN ('view', 'click') GROUP BY ALL",
     "rrf_weighted": f"{_RANKED} SELECT query_id, chunk_id, round(sum({_weight({k: v / _TOTAL for k, v in WEIGHTS.items()})} / (60 + rank)), 9) AS fused, max(score) AS best, count(*) AS lists FROM ranked WHERE list IN ({_IN}) GROUP BY query_id, chunk_id",
     "weighted_fusion": f"{_L} SELECT query_id, chunk_id, round(sum({_weight(WEIGHTS)} * score) * (1 + 0.1 * (count(*) - 1)), 6) AS fused, count(*) AS lists FROM ranked_lists WHERE list IN ({_IN}) GROUP BY query_id, chunk_id",

@@ -8,7 +8,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.operators import chunking, fusion, graph, vectors
+from tessera.operators import chunking, fusion, graph, modes, vectors
 from tessera.sources import html
 from tessera.streaming import events
 
@@ -142,3 +142,28 @@ def test_similar_pairs_in_every_partitioning(spark):
     finally:
         for k, x in old.items():
             spark.conf.set(k, x)
+
+
+def test_dispatch_gives_way_to_the_alternative_and_to_vector(spark):
+    ids = lambda n: spark.range(n).select(F.col("id").alias("chunk_id"))
+    known = {"vector": lambda k: ids(k), "broken": lambda k: ids(k).select("no_such_column"), "local": lambda k: ids(2)}
+    used = lambda *a: [r.used for r in modes.dispatch(known, *a).select("used").distinct().collect()]
+    assert used("local") == ["local"]
+    assert used("broken") == ["vector"]
+    assert used("drift") == ["vector"]
+    assert used("broken", None, ("local", "vector")) == ["local"]
+    assert used("bypass") == []
+    assert modes.dispatch(known, "vector", 500).count() == modes.MOST_K
+    assert modes.dispatch(known, "vector").count() == modes.DEFAULT_K
+
+
+def test_two_levels_keep_the_surest(spark):
+    names = spark.createDataFrame([(1, "red bolt", 0.9), (2, "red nut", 0.8), (3, "Red red pin", 0.7), (4, "red cap", 0.1), (5, "blue cap", 0.5)], "entity long, name string, confidence double")
+    said = spark.createDataFrame([(c, e, 0.1 * c) for e in range(1, 6) for c in range(1, 6)], "chunk_id long, entity long, confidence double")
+    terms = spark.createDataFrame([("q", "red"), ("none", "green")], "query_id string, term string")
+    low = {(r.query_id, r.chunk_id): r.score for r in modes.low_level(terms, names, said).collect()}
+    assert set(low) == {("q", 3), ("q", 4), ("q", 5)}
+    relevance = spark.createDataFrame([("q", c, 0.1 * c) for c in range(1, 10)], "query_id string, community long, relevance double")
+    chunks = spark.createDataFrame([(c, 10 * c + i, i) for c in range(1, 10) for i in range(5)], "community long, chunk_id long, weight long")
+    high = modes.high_level(relevance, chunks).collect()
+    assert {r.chunk_id for r in high} == {10 * c + i for c in range(5, 10) for i in (2, 3, 4)}
