@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -61,3 +62,18 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def byte_pieces(data: bytes, size: int = 1 << 22):
+    """data in pieces of about `size` bytes, cut at ASCII white space; a longer run without any stays whole."""
+    at = 0
+    while len(data) - at > size:
+        cut = _SPACE.search(data, at + size)
+        if not cut:
+            break
+        yield data[at : cut.start()]
+        at = cut.end()
+    yield data[at:] if at else data
