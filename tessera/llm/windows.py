@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -73,6 +74,16 @@ def _runs(sorted_values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]])) if len(sorted_values) else np.empty(0, dtype=np.int64)
 
 
+def parts_of(doc: np.ndarray, parts: int) -> np.ndarray:
+    """The part that each document's text is dealt to; _part() is the same as a column."""
+    each, at = np.unique(doc, return_inverse=True)
+    return np.fromiter((zlib.crc32(b"%d" % x) % parts for x in each.tolist()), dtype=np.int64, count=len(each))[at]
+
+
+def _part(key: str, parts: int) -> Column:
+    return F.crc32(F.col(key).cast("string").cast("binary")) % parts
+
+
 def _packed(bucket: np.ndarray, doc: np.ndarray, name: np.ndarray) -> pa.RecordBatch:
     """A row for each bucket: its documents, how many windows each has there, and the windows, document by document."""
     order = np.lexsort((doc, bucket))
@@ -86,8 +97,12 @@ def _packed(bucket: np.ndarray, doc: np.ndarray, name: np.ndarray) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "docs", "counts", "names"])
 
 
-def _dealt(buckets: int, parts: int):
-    """Windows to buckets. Of a window that several of the task's documents have only the least document's goes there; for the others it is decided (buckets below 0)."""
+def _unpacked(docs: list, counts: list, names: list) -> tuple[np.ndarray, np.ndarray]:
+    return np.repeat(np.concatenate(docs), np.concatenate(counts)), np.concatenate(names)
+
+
+def _dealt(buckets: int):
+    """Windows to buckets. Of a window that several of the task's documents have only the least document's goes there; for the others it is decided (buckets below 0, by the document's part)."""
 
     def flush(docs, names, places):
         doc = np.repeat(np.array(docs, dtype=np.int64), [len(x) for x in names])
@@ -100,7 +115,7 @@ def _dealt(buckets: int, parts: int):
         later = (doc > least) & ~again
         yield _packed(bucket[first], doc[first], name[first])
         if later.any():
-            yield _packed(-1 - doc[later] % parts, doc[later], name[later])
+            yield _packed(-1 - parts_of(doc[later], buckets), doc[later], name[later])
 
     def run(batches):
         docs, names, places, held = [], [], [], 0
@@ -120,48 +135,57 @@ def _dealt(buckets: int, parts: int):
     return run
 
 
-def _judged(batches):
-    """Of each bucket, the windows that a document shares with one of a smaller id, as (doc_key, names)."""
-
-    def told(docs, counts, names, decided):
-        doc = np.repeat(np.concatenate(docs), np.concatenate(counts))
-        name = np.concatenate(names)
-        if not decided:
-            order = np.argsort(name, kind="stable")
-            starts = _runs(name[order])
-            least = np.empty(len(doc), dtype=np.int64)
-            least[order] = np.repeat(np.minimum.reduceat(doc[order], starts), np.diff(np.append(starts, len(doc))))
-            doc, name = doc[doc > least], name[doc > least]
-        order = np.argsort(doc, kind="stable")
-        doc, name = doc[order], name[order]
-        at = np.append(_runs(doc), len(doc))
-        return pa.RecordBatch.from_arrays([pa.array(doc[at[:-1]]), pa.array([name[lo:hi].tobytes() for lo, hi in zip(at, at[1:], strict=False)], pa.binary())], names=["gone_key", "names"])
-
-    at, held = None, ([], [], [])
-    for b in batches:
-        for bucket, *row in zip(*(b.column(c) for c in ("bucket", "docs", "counts", "names")), strict=True):
-            bucket = bucket.as_py()
-            if held[0] and (bucket != at or at < 0):  # decided rows go on one by one
-                yield told(*held, at < 0)
-                held = ([], [], [])
-            at = bucket
-            for to, x, kind in zip(held, row, (np.int64, np.int32, np.uint64), strict=True):
-                to.append(np.frombuffer(x.as_py(), dtype=kind))
-    if held[0]:
-        yield told(*held, at < 0)
-
-
-def repeated_windows(docs: DataFrame) -> DataFrame:
-    """gone_key, names: for each document (doc_key, data) the windows that a document with a smaller key has too, in one or more rows.
-
-    A window is counted in its bucket; buckets are as many as the bytes ask for, and met one at a time within a task. A task sends one
-    row's worth of a window however many of its documents have it, so a passage of very many documents is no hot key.
+def _judged(buckets: int):
+    """Of each bucket, the windows that a document shares with one of a smaller id, packed by the document's part."""
+
+    def later(docs, counts, names):
+        doc, name = _unpacked(docs, counts, names)
+        order = np.argsort(name, kind="stable")
+        starts = _runs(name[order])
+        least = np.empty(len(doc), dtype=np.int64)
+        least[order] = np.repeat(np.minimum.reduceat(doc[order], starts), np.diff(np.append(starts, len(doc))))
+        return doc[doc > least], name[doc > least]
+
+    def told(found):
+        doc, name = (np.concatenate(x) for x in zip(*found, strict=True))
+        return _packed(parts_of(doc, buckets), doc, name)
+
+    def run(batches):
+        at, held, found, size = None, ([], [], []), [], 0
+        for b in batches:
+            for bucket, *row in zip(*(b.column(c) for c in ("bucket", "docs", "counts", "names")), strict=True):
+                bucket, row = bucket.as_py(), [np.frombuffer(x.as_py(), dtype=kind) for x, kind in zip(row, (np.int64, np.int32, np.uint64), strict=True)]
+                if bucket != at and held[0]:
+                    found.append(later(*held))
+                    size += len(found[-1][0])
+                    held = ([], [], [])
+                at = bucket
+                if bucket < 0:  # decided by a task before
+                    found.append(_unpacked(*([x] for x in row)))
+                    size += len(found[-1][0])
+                else:
+                    for to, x in zip(held, row, strict=True):
+                        to.append(x)
+                if size >= HELD_WINDOWS:
+                    yield told(found)
+                    found, size = [], 0
+        if held[0]:
+            found.append(later(*held))
+        if any(len(d) for d, _ in found):
+            yield told(found)
+
+    return run
+
+
+def repeated_windows(docs: DataFrame, buckets: int) -> DataFrame:
+    """part, docs, counts, names: the windows that a document (doc_key, data) shares with one of a smaller key, packed by the documents' parts.
+
+    A window is counted in its bucket; buckets are met one at a time within a task. A task sends one row's worth of a window however
+    many of its documents have it, so a passage of very many documents is no hot key.
     """
-    n = shuffle_parts(docs.sparkSession)
-    size = docs.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    buckets = max(4 * n, -(-size // (5 * BUCKET_WINDOWS)))
-    dealt = docs.mapInArrow(_dealt(buckets, n), "bucket long, docs binary, counts binary, names binary")
-    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_judged, "gone_key long, names binary")
+    dealt = docs.mapInArrow(_dealt(buckets), "bucket long, docs binary, counts binary, names binary")
+    judged = dealt.repartition(shuffle_parts(docs.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(_judged(buckets), "bucket long, docs binary, counts binary, names binary")
+    return judged.withColumnRenamed("bucket", "part")
 
 
 def intervals(data: bytes, names: np.ndarray) -> list[tuple[int, int]]:
@@ -207,19 +231,32 @@ _OUT = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, kep
 
 
 def _removed(batches):
+    """Texts of a part behind the windows that its documents lose."""
     kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
 
     def told(rows):
         cols = [pa.array(c, type=k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
         return pa.RecordBatch.from_arrays([*cols[:3], cols[3].cast(pa.string())], names=["doc_id", "n_words", "spans", "kept"])
 
+    at, held, doc, name = None, ([], [], []), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
     for b in batches:
         rows, size = [], 0
-        for i, data, names in zip(b.column("doc_id").to_pylist(), b.column("data"), b.column("names"), strict=True):
+        for part, i, key, data, *row in zip(*(b.column(c) for c in ("part", "doc_id", "doc_key", "data", "docs", "counts", "names")), strict=True):
+            if part.as_py() != at:
+                at, held, doc, name = part.as_py(), ([], [], []), doc[:0], name[:0]
+            if not key.is_valid:
+                for to, x, kind in zip(held, row, (np.int64, np.int32, np.uint64), strict=True):
+                    to.append(np.frombuffer(x.as_py(), dtype=kind))
+                continue
+            if held[0]:
+                doc, name = _unpacked(*held)
+                order = np.argsort(doc, kind="stable")
+                doc, name, held = doc[order], name[order], ([], [], [])
+            lo, hi = np.searchsorted(doc, key.as_py()), np.searchsorted(doc, key.as_py(), side="right")
             data = data.as_py()
-            spans = intervals(data, np.frombuffer(b"".join(names.as_py()), dtype=np.uint64)) if names.is_valid else []
+            spans = intervals(data, name[lo:hi]) if hi > lo else []
             n, kept = kept_words(data, spans)
-            rows.append((i, n, [{"start": lo, "end": hi} for lo, hi in spans], kept))
+            rows.append((i.as_py(), n, [{"start": lo, "end": hi} for lo, hi in spans], kept))
             size += len(kept)
             if size > 1 << 26:
                 yield told(rows)
@@ -239,9 +276,13 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("data"))
     rows = rows.withColumn("doc_key", F.coalesce("doc_id", F.lit(LAST)))
-    gone = repeated_windows(rows.select("doc_key", "data")).groupBy("gone_key").agg(F.collect_list("names").alias("names"))
-    found = rows.join(gone, F.col("doc_key") == F.col("gone_key"), "left").select("doc_id", "data", "names")
-    return found.mapInArrow(_removed, _OUT)
+    n = shuffle_parts(docs.sparkSession)
+    size = rows.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    buckets = max(4 * n, -(-size // (5 * BUCKET_WINDOWS)))
+    null = lambda kind, *names: [F.lit(None).cast(kind).alias(c) for c in names]
+    texts = rows.select(_part("doc_key", buckets).alias("part"), F.lit(1).alias("turn"), "doc_id", "doc_key", "data", *null("binary", "docs", "counts", "names"))
+    gone = repeated_windows(rows.select("doc_key", "data"), buckets).select("part", F.lit(0).alias("turn"), *null("long", "doc_id", "doc_key"), *null("binary", "data"), "docs", "counts", "names")
+    return texts.unionByName(gone).repartition(n, "part").sortWithinPartitions("part", "turn").mapInArrow(_removed, _OUT)
 
 
 def removed_words(spans: Column | str) -> Column:
