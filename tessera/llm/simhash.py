@@ -1,4 +1,4 @@
-"""Document fingerprints: SimHash, and searches for near fingerprints: all pairs by their bits, or permuted block tables for small radii."""
+"""Document fingerprints: SimHash, and searches for near fingerprints through permuted block tables."""
 
 from __future__ import annotations
 
@@ -19,8 +19,10 @@ BITS = 128
 RADIUS = 20
 #: Ids divisible by this are the search's queries.
 QUERY_EVERY = 20
-#: Queries (16 bytes each) that a task of the search holds; more are dealt over several.
-MOST_HELD = 500_000
+#: Queries (16 bytes each) and fingerprints (60 bytes each, with their tables) that a task of the search holds; more are dealt over several.
+MOST_HELD, MOST_INDEXED = 500_000, 250_000
+#: Blocks that a fingerprint is cut into, each with its own table; queries and candidates looked at side by side.
+BLOCKS, ASKED, CANDIDATES = 7, 256, 2_000_000
 
 
 class _Words(dict):
@@ -72,8 +74,8 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) dealt out in runs of falling id: columns run, edge, rank_id. The row behind a run's last comes once more with it, edge true.
+def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
+    """docs (doc_id, text) dealt out in runs of falling id: columns run, edge, rank_id; and the number of runs. The row behind a run's last comes once more with it, edge true.
 
     The runs' bounds are quantiles of the ids, as many as there are shuffle partitions; only one id for each run reaches the driver.
     Null ids come last. Rows of one id follow each other by text.
@@ -130,84 +132,104 @@ def compare_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def block_tables(fingerprints: DataFrame, radius: int = 3, blocks: int = 5) -> DataFrame:
-    """fingerprint, table_no, block_key: a row for each choice of blocks - radius blocks to come first.
-
-    Fingerprints that differ in at most `radius` bits agree in at least that many blocks, so they meet in some table.
-    """
-    at = [round(i * BITS / 4 / blocks) for i in range(blocks + 1)]
-    keys = [F.struct(F.lit(k).alias("table_no"), F.concat(*(F.substring("fingerprint", at[i] + 1, at[i + 1] - at[i]) for i in chosen)).alias("block_key")) for k, chosen in enumerate(combinations(range(blocks), blocks - radius))]
-    return fingerprints.select("fingerprint", F.inline(F.array(*keys)))
+_CUTS = [round(i * BITS / BLOCKS) for i in range(BLOCKS + 1)]
 
 
-def _distance(a: str, b: str):
-    parts = [F.bit_count(F.conv(F.substring(a, i, 15), 16, 10).cast("long").bitwiseXOR(F.conv(F.substring(b, i, 15), 16, 10).cast("long"))) for i in range(1, BITS // 4 + 1, 15)]
-    return sum(parts[1:], parts[0])
+def _block(x: np.ndarray, b: int) -> np.ndarray:
+    """The bits of block b, as a number. Fingerprints are rows of two 64-bit halves."""
+    lo, hi = _CUTS[b], _CUTS[b + 1]
+    if hi <= 64:
+        bits = x[:, 0] >> np.uint64(64 - hi)
+    elif lo >= 64:
+        bits = x[:, 1] >> np.uint64(BITS - hi)
+    else:
+        bits = x[:, 0] << np.uint64(hi - 64) | x[:, 1] >> np.uint64(BITS - hi)
+    return (bits & np.uint64(2 ** (hi - lo) - 1)).astype(np.int64)
 
 
-def near(fingerprints: DataFrame, queries: DataFrame, radius: int = 3, blocks: int = 5) -> DataFrame:
-    """query, fingerprint, distance: every pair of distinct fingerprints within the radius. Both inputs have distinct `fingerprint`s."""
-    left = block_tables(queries, radius, blocks).withColumnRenamed("fingerprint", "query")
-    right = block_tables(fingerprints, radius, blocks)
-    far = _distance("query", "fingerprint")
-    pairs = left.join(right, (left.table_no == right.table_no) & (left.block_key == right.block_key) & (far <= radius) & (F.col("query") != F.col("fingerprint")))
-    return pairs.select("query", "fingerprint", far.cast("int").alias("distance")).distinct()
+class BlockTables:
+    """Fingerprints in BLOCKS tables, each in the order of the block that its permutation puts first.
 
+    Of fingerprints that differ in at most `radius` bits some block differs in at most radius // BLOCKS bits (else all would differ in more
+    than radius in sum). So a query looks up its block with each choice of so few bits changed, in every table, and finds all.
+    """
 
-def others_within(x: np.ndarray, copies: np.ndarray, asked: np.ndarray, radius: int) -> np.ndarray:
-    """For each of `asked`, the copies of all of x that differ in 1 to `radius` bits. Fingerprints are rows of two 64-bit halves."""
-    out = np.zeros(len(asked), dtype=np.int64)
-    for j in range(0, len(asked), 8192):
-        q = np.ascontiguousarray(asked[j : j + 8192].T)
-        for i in range(0, len(x), 32):
-            part = x[i : i + 32]
-            half = np.bitwise_count(part[:, :1] ^ q[0])
-            row, col = np.nonzero(half <= radius)
-            far = half[row, col] + np.bitwise_count(part[row, 1] ^ q[1][col])
-            hit = (far <= radius) & (far > 0)
-            np.add.at(out, j + col[hit], copies[i + row[hit]])
-    return out
+    def __init__(self, x: np.ndarray, copies: np.ndarray, radius: int):
+        self.x, self.copies, self.radius, self.least = x, copies, radius, radius // BLOCKS
+        self.blocks = [_block(x, b) for b in range(BLOCKS)]
+        self.order = [np.argsort(k, kind="stable") for k in self.blocks]
+        widths = [_CUTS[b + 1] - _CUTS[b] for b in range(BLOCKS)]
+        self.places = [np.searchsorted(k[o], np.arange(2**w + 1)) for k, o, w in zip(self.blocks, self.order, widths, strict=True)]
+        self.changes = [np.array([sum(1 << i for i in bits) for n in range(self.least + 1) for bits in combinations(range(w), n)]) for w in widths]
+
+    def others(self, asked: np.ndarray) -> np.ndarray:
+        """For each query the copies of the fingerprints that differ in 1 to `radius` bits."""
+        out = np.zeros(len(asked), dtype=np.int64)
+        for j in range(0, len(asked), ASKED):
+            q = asked[j : j + ASKED]
+            own = [_block(q, b) for b in range(BLOCKS)]
+            for b in range(BLOCKS):
+                key = own[b][:, None] ^ self.changes[b]
+                first = self.places[b][key].ravel()
+                n = self.places[b][key + 1].ravel() - first
+                some = np.flatnonzero(n)
+                first, n, who = first[some], n[some], some // len(self.changes[b])
+                ends = np.cumsum(n)
+                cuts = np.unique(np.append(np.searchsorted(ends, np.arange(CANDIDATES, ends[-1], CANDIDATES)), len(n))) if len(n) else []
+                at = 0
+                for cut in cuts:
+                    f, m = first[at:cut], n[at:cut]
+                    w = np.repeat(who[at:cut], m)
+                    i = self.order[b][np.arange(len(w)) + np.repeat(f - (np.cumsum(m) - m), m)]
+                    far = np.bitwise_count(self.x[i, 0] ^ q[w, 0]) + np.bitwise_count(self.x[i, 1] ^ q[w, 1])
+                    hit = (far <= self.radius) & (far > 0)
+                    i, w = i[hit], w[hit]
+                    for e in range(b):  # a pair counts in the first table that it is found in
+                        new = np.bitwise_count(self.blocks[e][i] ^ own[e][w]) > self.least
+                        i, w = i[new], w[new]
+                    np.add.at(out, j + w, self.copies[i])
+                    at = cut
+        return out
 
 
-def near_counts(counted: DataFrame, radius: int = RADIUS, most_held: int = MOST_HELD) -> DataFrame:
+def near_counts(counted: DataFrame, radius: int = RADIUS, most_held: int = MOST_HELD, most_indexed: int = MOST_INDEXED) -> DataFrame:
     """query, others: for each asked fingerprint the copies of others within the radius, where there are any. counted: fingerprint (distinct), copies, asked.
 
-    Parts of all fingerprints meet parts of the queries in a grid, and every pair's bits are compared. No row is made for a pair, and none of a group meet in one task.
+    Parts of all fingerprints meet parts of the queries in a grid; a meeting puts its fingerprints into block tables and looks up its queries. No
+    row is made for a pair, and none of a group meet in one task.
     """
-    n, k = shuffle_parts(counted.sparkSession), max(1, -(-counted.where("asked").count() // most_held))
+    told = counted.agg(F.count(F.lit(1)).alias("n"), F.count_if("asked").alias("asked")).first()
+    n, k = max(-(-told.n // most_indexed), min(16, shuffle_parts(counted.sparkSession))), max(1, -(-told.asked // most_held))
     rows = counted.select(F.unhex("fingerprint").alias("bits"), "copies", "asked", F.xxhash64("fingerprint").alias("h"))
     grid = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     queries = rows.where("asked").select("bits", F.lit(0).cast("long").alias("copies"), F.pmod("h", F.lit(k)).cast("int").alias("part"), grid(n).alias("i")).select("bits", "copies", (F.col("i") * k + F.col("part")).alias("cell"))
     index = rows.select("bits", "copies", F.pmod(F.shiftright("h", 20), F.lit(n)).cast("int").alias("part"), grid(k).alias("i")).select("bits", "copies", (F.col("part") * k + F.col("i")).alias("cell"))
 
     def run(batches):
-        def told():
+        def told(held):
+            x, copies = (np.concatenate(c) for c in zip(*held, strict=True))
+            asked, known = x[copies == 0], copies > 0
+            found = BlockTables(x[known], copies[known], radius).others(asked) if len(asked) else np.empty(0, dtype=np.int64)
             hit = np.flatnonzero(found)
             return pa.RecordBatch.from_arrays([pa.array([asked[i].astype(">u8").tobytes().hex() for i in hit], pa.string()), pa.array(found[hit])], names=["query", "others"])
 
-        at, held, asked, found = None, [], None, None  # the cell, its queries as they come, and all of them with what was found
+        at, held = None, []  # the cell, and its rows
         for b in batches:
             bits = np.frombuffer(b"".join(b.column("bits").to_pylist()), dtype=">u8").astype(np.uint64).reshape(-1, 2)
             copies, cell = b.column("copies").to_numpy(), b.column("cell").to_numpy()
-            cuts = np.flatnonzero((np.diff(cell) != 0) | (np.diff(copies > 0) != 0)) + 1
+            cuts = np.flatnonzero(np.diff(cell) != 0) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(cell)], strict=True):
                 if lo == hi:
                     continue
-                if cell[lo] != at:
-                    if found is not None:
-                        yield told()
-                    at, held, asked, found = cell[lo], [], None, None
-                if not copies[lo]:
-                    held.append(bits[lo:hi])
-                elif held:
-                    if found is None:
-                        asked = np.concatenate(held)
-                        found = np.zeros(len(asked), dtype=np.int64)
-                    found += others_within(bits[lo:hi], copies[lo:hi], asked, radius)
-        if found is not None:
-            yield told()
-
-    dealt = queries.unionByName(index).repartition(n * k, "cell").sortWithinPartitions("cell", F.col("copies") > 0)
+                if cell[lo] != at and held:
+                    yield told(held)
+                    held = []
+                at = cell[lo]
+                held.append((bits[lo:hi], copies[lo:hi]))
+        if held:
+            yield told(held)
+
+    dealt = queries.unionByName(index).repartition(n * k, "cell").sortWithinPartitions("cell")
     return dealt.mapInArrow(run, "query string, others long").groupBy("query").agg(F.sum("others").alias("others"))
 
 
@@ -215,6 +237,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """compare_next() of all documents, and for ids divisible by QUERY_EVERY how many other rows have a fingerprint within the radius (n_near; else null)."""
     rows = stored(compare_next(table(spark, sf_dir, "documents")), "fingerprints")
     per = rows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("copies"), F.max(F.coalesce(F.col("doc_id") % QUERY_EVERY == 0, F.lit(False))).alias("asked"))
-    counts = per.where("asked").join(near_counts(per), F.col("query") == F.col("fingerprint"), "left").select(F.col("fingerprint").alias("found"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("count"))
-    out = rows.join(counts, F.col("found") == F.col("fingerprint"), "left")
-    return out.select(*rows.columns, F.when(F.col("doc_id") % QUERY_EVERY == 0, F.col("count")).alias("n_near"))
+    counts = per.where("asked").join(near_counts(per), F.col("query") == F.col("fingerprint"), "left").select(F.col("fingerprint").alias("found"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"))
+    asks = F.coalesce(F.col("doc_id") % QUERY_EVERY == 0, F.lit(False))
+    asked = rows.where(asks).join(counts, F.col("found") == F.col("fingerprint"), "left").select(*rows.columns, "n_near")
+    return asked.unionByName(rows.where(~asks).withColumn("n_near", F.lit(None).cast("long")))

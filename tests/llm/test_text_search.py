@@ -5,6 +5,9 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
+import pytest
+
 from tessera.llm import jaccard, secrets, simhash, suffixes
 
 KINDS = [("assign", r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8), ("access", r"AKIA[A-Z0-9]+", 0, 16), ("hex", r"[0-9a-f]+", 0, 32)]
@@ -116,8 +119,6 @@ def test_large_families_in_several_blocks(spark):
 def test_links_hold_no_more_rows_than_sets():
     rng = random.Random(4)
     base = rng.sample(range(10**6), 100)
-    import numpy as np
-
     sets = [np.array(sorted({*rng.sample(base, 90 + k % 11), *rng.sample(range(10**6, 10**7), k % 9)}), dtype=np.uint64) for k in range(300)]
     rows = np.arange(len(sets))
     assert len(jaccard.links_of(sets, rows, rows, 80)) < len(sets)
@@ -168,8 +169,6 @@ def test_odd_suffixes(spark):
 
 
 def test_difference_cover_and_ranks():
-    import numpy as np
-
     for period in (7, 32, 64):
         cover, shift = suffixes.difference_cover(period)
         assert {(a - b) % period for a in cover for b in cover} == set(range(period)) and len(cover) < period / 2
@@ -180,8 +179,6 @@ def test_difference_cover_and_ranks():
 
 def test_repeats_equal_brute_force():
     """Texts with long ties, in small buckets of leading bytes and large ones."""
-    import numpy as np
-
     rng = random.Random(6)
     for width in (40, 100, 128):
         base = bytes(rng.choice(b"ab") for _ in range(500))
@@ -205,16 +202,25 @@ def test_simhash_of_a_table(spark, sf):
         changed = t[: len(t) - n] + (docs[j] or "")[:n]
         near = sum(far(prints[i], prints[k]) <= simhash.RADIUS for k in ids) - 1 if i % 20 == 0 else None
         r = got[i]
+        other = simhash.fingerprint(changed)
         assert (r.n_chars, r.edited_sha256, r.fingerprint, r.near_next, r.n_near) == (len(t), hashlib.sha256(changed.encode()).hexdigest(), prints[i].hex(), 1 - far(prints[i], prints[j]) / 128, near)
+        assert (r.edited_fingerprint, r.near_edited) == (other.hex(), 1 - far(prints[i], other) / 128)
 
 
-def test_block_tables_find_all_within_the_radius(spark):
-    rng = random.Random(9)
-    base = [rng.getrandbits(128) for _ in range(10)]
-    prints = {f"{b ^ sum(1 << x for x in rng.sample(range(128), rng.randint(0, 5))):032x}" for b in base for _ in range(12)}
-    df = spark.createDataFrame([(p,) for p in prints], "fingerprint string")
-    want = {(a, b) for a in prints for b in prints if a != b and (int(a, 16) ^ int(b, 16)).bit_count() <= 3}
-    assert {(r.query, r.fingerprint) for r in simhash.near(df, df).collect()} == want
+@pytest.mark.parametrize("radius,candidates", [(20, 2_000_000), (20, 50), (3, 7), (0, 100), (27, 100)])
+def test_block_tables_find_all_within_the_radius(monkeypatch, radius, candidates):
+    """Against a comparison of all bits: groups of near prints, many that share whole blocks, and pairs at the radius spread evenly over the blocks."""
+    monkeypatch.setattr(simhash, "CANDIDATES", candidates)
+    rng = random.Random(radius)
+    base = [rng.getrandbits(128) for _ in range(12)]
+    prints = {b ^ sum(1 << x for x in rng.sample(range(128), rng.randint(0, radius + 3))) for b in base for _ in range(25)}
+    prints |= {base[0] ^ sum(1 << 128 * i // (radius + more) for i in range(radius + more)) for more in (1, 2)} | {base[1] ^ sum(1 << 128 * i // max(1, radius) for i in range(radius))}
+    prints |= {base[2] >> 60 << 60 | rng.getrandbits(60) for _ in range(150)}  # one hot block
+    x = np.array([(p >> 64, p & 2**64 - 1) for p in sorted(prints)], dtype=np.uint64)
+    copies = np.arange(1, len(x) + 1)
+    far = np.bitwise_count(x[:, None] ^ x[None]).sum(axis=2)
+    want = np.where((far <= radius) & (far > 0), copies, 0).sum(axis=1)
+    assert simhash.BlockTables(x, copies, radius).others(x).tolist() == want.tolist()
 
 
 def test_simhash_finds_near_copies(spark, sf):
@@ -246,8 +252,8 @@ def test_near_counts_are_exact_in_every_grid(spark):
     rows = [(f"{p:032x}", rng.randint(1, 3), rng.random() < 0.3) for p in prints]
     want = {a: c for a, _, asked in rows if asked and (c := sum(k for b, k, _ in rows if 0 < (int(a, 16) ^ int(b, 16)).bit_count() <= simhash.RADIUS))}
     df = spark.createDataFrame(rows, "fingerprint string, copies long, asked boolean")
-    for most in (simhash.MOST_HELD, 20):
-        assert {r.query: r.others for r in simhash.near_counts(df, most_held=most).collect()} == want
+    for held, indexed in ((simhash.MOST_HELD, simhash.MOST_INDEXED), (20, simhash.MOST_INDEXED), (30, 9)):
+        assert {r.query: r.others for r in simhash.near_counts(df, most_held=held, most_indexed=indexed).collect()} == want
     assert simhash.near_counts(df.where("not asked")).count() == simhash.near_counts(df.limit(0)).count() == 0
 
 
