@@ -89,6 +89,8 @@ STOP_WORDS = ["the", "a", "an", "is", "are", "was", "were", "in", "on", "at", "t
 ARABIC_STOP_WORDS = ["في", "من", "على", "إلى", "عن", "مع", "هذا", "هذه", "التي", "الذي", "ما", "هو", "هي", "أن", "كان", "كيف", "لماذا", "متى", "أين"]
 # Class and id fragments of page furniture.
 PAGE_NOISE = ["nav", "menu", "sidebar", "footer", "header", "ad", "advertisement", "banner", "popup", "cookie", "social", "share"]
+# Class and id fragments of elements that are no content.
+ELEMENT_NOISE = ["nav", "navigation", "menu", "sidebar", "ad", "advertisement", "footer", "header", "cookie", "popup", "modal", "banner"]
 # Key fragments that a JSON field is left out for.
 JSON_SKIP = ["id", "uuid", "created", "updated", "timestamp", "count", "url", "link", "token", "hash", "version"]
 

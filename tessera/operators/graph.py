@@ -18,8 +18,14 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return rows.unionByName(rows.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
 
 
+def _arcs(adj: DataFrame) -> DataFrame:
+    """src, dst, each once and by src: written before the rounds, which would else derive them anew each."""
+    return cut(adj.select("src", "dst").distinct().repartition("src"))
+
+
 def traverse(adj: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """seed, node, distance: all nodes within `hops` of each seed (column seed), by breadth-first rounds; the seed itself at 0."""
+    adj = _arcs(adj)
     reached = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).cast("long").alias("distance"))
     frontier = reached
     for h in range(1, hops + 1):
@@ -33,6 +39,7 @@ def traverse(adj: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
 
 def shortest_paths(adj: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """a, b, length, path for each pair of seeds a < b within `hops`; of several shortest paths the least, node by node."""
+    adj = _arcs(adj)
     reached = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).cast("long").alias("length"), F.array("seed").alias("path"))
     frontier = reached
     for h in range(1, hops + 1):
@@ -56,9 +63,10 @@ def pagerank(adj: DataFrame, start: DataFrame, rounds: int, damping: float = 0.8
 
     With a tolerance it ends, at a cut of the lineage, when the last round changed the ranks by no more than that in sum.
     """
+    adj = cut(adj.select("src", "dst", "weight").repartition("src"))
     degree = adj.groupBy("src").agg(F.sum("weight").alias("out"))
     moves = cut(adj.join(degree, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")))
-    nodes = adj.select(F.col("src").alias("node")).distinct()
+    nodes = degree.select(F.col("src").alias("node"))
     n = nodes.count()
     ranks = nodes.withColumn("rank", F.lit(1.0 / max(1, n)))
     restart = cut(nodes.join(start, "node", "left").select("node", F.coalesce("p", F.lit(0.0)).alias("p")))
@@ -113,8 +121,8 @@ def contracted(edges: DataFrame, members: DataFrame, loops: bool = False) -> Dat
 
 def louvain_level(edges: DataFrame, resolution: float = 1.0, rounds: int = 8) -> DataFrame:
     """node, community by synchronous local moving: in turn, half of the nodes (by hash) go to the neighbouring community of the greatest gain, ties to the least name."""
-    adj = adjacency(edges).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
-    degree = adj.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("degree"))
+    adj = cut(adjacency(edges).repartition("src").groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
+    degree = cut(adj.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("degree")))
     two_m = adj.agg(F.sum("weight")).first()[0] or 1
     members = degree.select("node", F.col("node").alias("community"), "degree")
     for i in range(rounds):

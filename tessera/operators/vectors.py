@@ -2,31 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vector
 
-#: Rows of the query side that a broadcast may hold; larger query sets are dealt over blocks, by top_k_blocks.
-MOST_QUERIES = 10_000
 #: Vectors of one block of a grid.
 HELD = 20_000
 
 
-def scored(index: DataFrame, queries: DataFrame, similarity: Callable[..., Column] = vector.cosine) -> DataFrame:
-    """Every row of the index (vec_id, v, ...) beside every query (query_id, q), with score rounded to 6 places.
-
-    The query side is a stated set: it is counted, and must not exceed MOST_QUERIES, so its broadcast is bounded.
-    """
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries; use top_k_blocks")
-    return index.join(F.broadcast(queries)).withColumn("score", F.round(similarity("v", "q"), 6))
-
-
 def hashed_counts(rows: DataFrame, word: str, size: int = 64) -> DataFrame:
     """The other columns of `rows` (a word of a text each), bucket and n: the hashed bag of words of each key as sparse rows. Null words count nowhere; texts without words have no row.
 
@@ -45,39 +31,102 @@ def top_k(rows: DataFrame, k: int, by: str = "query_id", tie: str = "vec_id", th
     return rows.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
-def top_k_blocks(queries: DataFrame, index: DataFrame, k: int, threshold: float, held: int = HELD) -> DataFrame:
-    """source, target, score, rank: for each query vector (vec_id, v) the k most similar others of the index at or above the threshold, cosines clipped to [0, 1].
+def _alike(measure: str, x: np.ndarray, y: np.ndarray):
+    """A function of a slice of x's rows: their scores with all of y, rounded to 6 places, -inf where there is none."""
+    if measure == "dot":
+        return lambda part: np.round(x[part] @ y.T, 6)
+    if measure == "euclid":
+        squares = (y * y).sum(axis=1)
+
+        def distances(part):
+            s = np.round(-np.sqrt(np.maximum((x[part] ** 2).sum(axis=1)[:, None] + squares - 2 * (x[part] @ y.T), 0)), 6)
+            # small distances are taken anew from the differences, as those of squares lose their last places
+            row, col = np.nonzero(s * s < 1e-4 * ((x[part] ** 2).sum(axis=1)[:, None] + squares))
+            for i in range(0, len(row), 50_000):
+                r, c = row[i : i + 50_000], col[i : i + 50_000]
+                s[r, c] = np.round(-np.sqrt(((x[part][r] - y[c]) ** 2).sum(axis=1)), 6)
+            return s
+
+        return distances
+    lengths = [np.linalg.norm(m, axis=1) for m in (x, y)]
+    x, y = (m / np.maximum(n, 1e-300)[:, None] for m, n in zip((x, y), lengths, strict=True))
+    sign = -1.0 if measure == "opposite" else 1.0
+
+    def cosines(part):
+        s = np.round(sign * (x[part] @ y.T), 6) + 0.0
+        s = np.clip(s, 0, 1) if measure == "clipped" else s
+        s[lengths[0][part] == 0] = -np.inf
+        s[:, lengths[1] == 0] = -np.inf
+        return s
+
+    return cosines
+
+
+#: How two vectors are compared: cosine, cosine cut to [0, 1], its negative (the farthest first), inner product, negative distance.
+MEASURES = ("cosine", "clipped", "opposite", "dot", "euclid")
+
+
+def _best(k: int, threshold: float | None, measure: str, same_label: bool):
+    """A function of two blocks (vec_id, v, and label): each row's k best of the other block, as (source, target, score)."""
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        source, target, score = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)], [np.empty(0)]
+        if len(a) and len(b):
+            b = b.sort_values("vec_id")
+            ids, others = a["vec_id"].to_numpy(), b["vec_id"].to_numpy()
+            alike = _alike(measure, np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy()))
+            step = max(1, 4_000_000 // len(others))
+            for i in range(0, len(ids), step):
+                part = slice(i, i + step)
+                s = alike(part)
+                s[ids[part, None] == others] = -np.inf
+                if threshold is not None:
+                    s[s < threshold] = -np.inf
+                if same_label:
+                    s[a["label"].to_numpy()[part, None] != b["label"].to_numpy()] = -np.inf
+                if s.shape[1] > k:  # what is below a query's kth score goes; of those at it the smallest ids stay
+                    s[s < np.partition(s, -k, axis=1)[:, -k, None]] = -np.inf
+                row, col = np.nonzero(s > -np.inf)
+                order = np.lexsort((col, -s[row, col], row))
+                row, col = row[order], col[order]
+                first = np.searchsorted(row, row)
+                stay = np.arange(len(row)) - first < k
+                row, col = row[stay], col[stay]
+                source.append(ids[i + row])
+                target.append(others[col])
+                score.append(s[row, col])
+        return pd.DataFrame({"source": np.concatenate(source), "target": np.concatenate(target), "score": np.concatenate(score)})
+
+    return best
+
+
+def top_k_blocks(queries: DataFrame, index: DataFrame, k: int, threshold: float | None, held: int = HELD, measure: str = "clipped", same_label: bool = False) -> DataFrame:
+    """source, target, score, rank: for each query vector (vec_id, v) the k best others of the index at or above the threshold; with `same_label` (label on both sides) of its own label only.
 
     Blocks of about `held` vectors of either side meet pair by pair in a grid and are multiplied as matrices, a bounded part at a
-    time, so no row is made for a pair that falls short; each meeting keeps its k best, and these meet in one window.
+    time, so no row is made for a pair that falls short; each meeting keeps its k best, ties by the smaller id, and these meet in one
+    window. Any number of queries is dealt alike. Cosines of vectors without length are none.
     """
+    if measure not in MEASURES:
+        raise ValueError(f"measure {measure} is none of {MEASURES}")
     rows, cols = (max(4, -(-side.count() // held)) for side in (queries, index))
     # both sides' keys have one type: else equal keys would hash to different partitions
     own = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select("vec_id", "v", own(rows).alias("block"), every(cols).alias("other"))
-    right = index.select("vec_id", "v", own(cols).alias("other"), every(rows).alias("block"))
+    columns = ["vec_id", "v", *(["label"] if same_label else [])]
+    left = queries.select(*columns, own(rows).alias("block"), every(cols).alias("other"))
+    right = index.select(*columns, own(cols).alias("other"), every(rows).alias("block"))
 
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(a) and len(b):
-            x, y = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
-            x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (x, y))
-            ids, others = a["vec_id"].to_numpy(), b["vec_id"].to_numpy()
-            step = max(1, 4_000_000 // len(y))
-            for i in range(0, len(x), step):
-                s = np.round(np.clip(x[i : i + step] @ y.T, 0, 1), 6)
-                s[ids[i : i + step, None] == others[None, :]] = -1
-                row, col = np.nonzero(s >= threshold)
-                found = pd.DataFrame({"source": ids[i + row], "target": others[col], "score": s[row, col]})
-                out.append(found.sort_values(["source", "score", "target"], ascending=[True, False, True]).groupby("source").head(k))
-        return pd.concat(out) if out else pd.DataFrame({"source": [], "target": [], "score": []})
-
-    pairs = left.groupBy("block", "other").cogroup(right.groupBy("block", "other")).applyInPandas(best, "source long, target long, score double")
+    pairs = left.groupBy("block", "other").cogroup(right.groupBy("block", "other")).applyInPandas(_best(k, threshold, measure, same_label), "source long, target long, score double")
     w = Window.partitionBy("source").orderBy(F.desc("score"), "target")
     return pairs.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
+def nearest(queries: DataFrame, index: DataFrame, k: int, measure: str = "cosine", threshold: float | None = None, same_label: bool = False, held: int = HELD) -> DataFrame:
+    """query_id, vec_id, score, rank: top_k_blocks() under the names of a search."""
+    return top_k_blocks(queries, index, k, threshold, held, measure, same_label).withColumnsRenamed({"source": "query_id", "target": "vec_id"})
+
+
 def similar_pairs(index: DataFrame, k: int, threshold: float, held: int = HELD) -> DataFrame:
     """top_k_blocks() of an index with itself."""
     return top_k_blocks(index, index, k, threshold, held)

@@ -7,11 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import fixed, vector
+from tessera.functions import fixed
 from tessera.operators import fusion, graph, modes
 from tessera.operators import vectors as vec
 from tessera.plans.texts import _list
 from tessera.plans.vectors import _COS, QUERIES_ARE, _queries, _top_sql
+from tessera.sources.shared import cut
 from tessera.sources.tables import chunk_documents, edges, entities, mentions, ranked_lists, table, vectors, with_
 
 ASKED = ["vector", "semantic", "drift", "bypass"]
@@ -21,8 +22,7 @@ LOW, HIGH = 0.8, 0.2
 
 def _near(spark, sf, k):
     index = vectors(spark, sf)
-    rows = vec.scored(index, _queries(index), vector.cosine).where("vec_id != query_id")
-    return vec.top_k(rows, k).select("query_id", F.col("vec_id").alias("chunk_id"), "score")
+    return vec.nearest(_queries(index), index, k).select("query_id", F.col("vec_id").alias("chunk_id"), "score")
 
 
 def _semantic(spark, sf, k):
@@ -85,7 +85,7 @@ def unified_pipeline(spark: SparkSession, sf: str) -> DataFrame:
 
 def community_levels(spark: SparkSession, sf: str) -> DataFrame:
     """Communities at four resolutions, from subtopics to the broadest: their sizes, and the least member."""
-    e = edges(spark, sf)
+    e = cut(edges(spark, sf))
     parts = [graph.louvain_level(e, r).groupBy("community").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("first")).withColumn("resolution", F.lit(r)) for r in RESOLUTIONS]
     return reduce(DataFrame.unionByName, parts)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.operators import chunking
-from tessera.sources import html
+from tessera.sources import html, html_tree
 from tessera.sources.tables import table
 
 
@@ -62,7 +62,12 @@ def html_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", F.length(out).cast("long").alias("length"), F.md5(out.cast("binary")).alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (chunk_token, chunk_sentences, chunk_stride, sections, splitters, chunk_stats, html_meta, html_structure, html_text)} | {f"chunk_{s}": _cut(s) for s in ("blanks", "recursive", "packed", "semantic", "late")}
+def html_markdown(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page through its tree of elements: what its head says of it, the elements left after cleaning, and its main content as Markdown."""
+    return html_tree.pages(table(spark, sf, "pages")).withColumn("digest", F.md5(F.col("text").cast("binary")))
+
+
+QUERIES = {f.__name__: f for f in (chunk_token, chunk_sentences, chunk_stride, sections, splitters, chunk_stats, html_meta, html_structure, html_text, html_markdown)} | {f"chunk_{s}": _cut(s) for s in ("blanks", "recursive", "packed", "semantic", "late")}
 
 _WORDS = "list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda w: w <> '')"
 _SENT = "list_filter(string_split(regexp_replace(text, '([.!?؟])\\s+', '\\1\u241e', 'g'), '\u241e'), lambda s: trim(s, e' \\t\\n') <> '')"

@@ -6,19 +6,26 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import entities as ent
-from tessera.operators import graph
+from tessera.operators import expansion, graph, matching, modes
 from tessera.operators import vectors as vec
 from tessera.sources.shared import cut
-from tessera.sources.tables import chunk_documents, edges, entities, mentions, table, vectors, with_
+from tessera.sources.tables import chunk_documents, edges, entities, gazetteer, mentions, table, texts_asked, vectors, with_
 
-#: Seeds of traversals and ranking: a stated set of entities.
-SEEDS = [0, 1, 2, 3, 4]
-_SEEDS = "(VALUES " + ", ".join(f"({s})" for s in SEEDS) + ")"
+#: The stated set of queries: these rows' vectors.
+QUERIES_ARE = "vec_id % 20 = 0"
+#: Seeds of traversals and ranking: suppliers whose number is divisible by 20, and parts by 1,000.
+_SEEDS = "(SELECT -s_suppkey - 1 AS seed FROM supplier WHERE s_suppkey % 20 = 0 UNION ALL SELECT p_partkey FROM part WHERE p_partkey % 1000 = 0)"
 HOPS, ROUNDS = 3, 5
 
 
-def _seeds(spark):
-    return spark.createDataFrame([(s,) for s in SEEDS], "seed long")
+def _seeds(spark, sf):
+    suppliers = table(spark, sf, "supplier").where("s_suppkey % 20 = 0").select((-F.col("s_suppkey") - 1).alias("seed"))
+    return suppliers.union(table(spark, sf, "part").where("p_partkey % 1000 = 0").select("p_partkey"))
+
+
+def _start(spark, sf):
+    seeds = _seeds(spark, sf)
+    return seeds.select(F.col("seed").alias("node"), F.lit(1.0 / max(1, seeds.count())).alias("p"))
 
 
 def entity_search(spark: SparkSession, sf: str) -> DataFrame:
@@ -44,7 +51,7 @@ def four_field_search(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def keyword_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").where(F.contains(F.lower("text"), F.lit("password"))).orderBy("doc_id").limit(20).select("doc_id", "source")
+    return table(spark, sf, "documents").where(F.contains(F.lower("text"), F.lit("license"))).orderBy("doc_id").limit(20).select("doc_id", "source")
 
 
 def keyword_batch(spark: SparkSession, sf: str) -> DataFrame:
@@ -117,29 +124,39 @@ def community_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("r_name", "n_name", "o_orderkey").distinct().groupBy("r_name", "n_name").agg(F.count(F.lit(1)).alias("chunks"))
 
 
+def _related(spark, sf):
+    """a, b, strength of the edges between entities that may be followed: extracted ones (an entity and the next), common mentions, alike vectors."""
+    m = mentions(spark, sf)
+    none = lambda c: F.lit(None).cast("double").alias(c)
+    e = entities(spark, sf)
+    extracted = e.join(e.select((F.col("entity") - 1).alias("entity"), F.col("entity").alias("b")), "entity").select(F.col("entity").alias("a"), "b", F.lit("llm").alias("kind"), "confidence", none("frequency"), none("score"))
+    common = ent.cooccurrence(m).select("a", "b", F.lit("cooccurrence"), none("c"), F.col("frequency").cast("double"), none("s"))
+    alike = vec.similar_pairs(vectors(spark, sf), 5, 0.75).select("source", "target", F.lit("semantic"), none("c"), none("f"), "score")
+    rows = extracted.union(common).union(alike).where(expansion.gate(F.col("kind"), F.col("confidence"), F.col("frequency"), F.col("score")))
+    strength = F.round(F.coalesce("confidence", F.least(F.lit(1.0), F.col("frequency") / 10), "score"), 6)
+    return rows.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max(strength).alias("strength"))
+
+
 def chunk_expansion(spark: SparkSession, sf: str) -> DataFrame:
-    """Chunks that share an entity with the anchors, the anchors left out: 0.7 a hop, 0.6 vector + 0.4 graph."""
+    """Around every chunk whose number is divisible by 20: chunks of the same entities, and of related ones, with the path to each."""
     m = mentions(spark, sf)
-    anchors = m.select("chunk_id").where("chunk_id < 20").distinct()
-    ents = m.join(anchors, "chunk_id", "left_semi").select("entity").distinct()
-    found = m.join(ents, "entity").join(anchors, "chunk_id", "left_anti").groupBy("chunk_id").agg(F.count(F.lit(1)).alias("shared"), F.max("confidence").alias("vector"))
-    rows = found.withColumn("combined", F.round(0.6 * F.col("vector") + 0.4 * 0.7, 6))
-    return rows.orderBy(F.desc("combined"), F.desc("shared"), "chunk_id").limit(15)
+    anchors = m.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "chunk_id").distinct()
+    return expansion.expanded(anchors, m, _related(spark, sf))
 
 
 def traversal(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.traverse(graph.adjacency(edges(spark, sf)).select("src", "dst").distinct(), _seeds(spark), HOPS)
+    return graph.traverse(graph.adjacency(edges(spark, sf)), _seeds(spark, sf), HOPS)
 
 
 def subgraph(spark: SparkSession, sf: str) -> DataFrame:
     """Nodes within two hops of the seeds and the edges among them."""
     e = edges(spark, sf)
-    nodes = graph.traverse(graph.adjacency(e).select("src", "dst").distinct(), _seeds(spark), 2).select("node").distinct()
+    nodes = graph.traverse(graph.adjacency(e), _seeds(spark, sf), 2).select("node").distinct()
     return graph.induced(e, nodes).select("a", "b", "weight")
 
 
 def shortest_paths(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.shortest_paths(graph.adjacency(edges(spark, sf)).select("src", "dst").distinct(), _seeds(spark), 4).select("a", "b", "length")
+    return graph.shortest_paths(graph.adjacency(edges(spark, sf)), _seeds(spark, sf), 4).select("a", "b", "length")
 
 
 def cooccurrence(spark: SparkSession, sf: str) -> DataFrame:
@@ -161,16 +178,13 @@ def type_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def mention_linking(spark: SparkSession, sf: str) -> DataFrame:
-    """Entity names as delimited words of the documents: names and words meet by equality, not text by text."""
-    names = spark.createDataFrame([("the",), ("und",), ("idiot",), ("password",), ("que",)], "name string")
-    docs = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))).alias("name"))
-    return docs.join(F.broadcast(names), "name").groupBy("name").agg(F.count(F.lit(1)).alias("documents"))
+    """Every name of the gazetteer as delimited words in every document, turn and benchmark item."""
+    return matching.linked(texts_asked(spark, sf), gazetteer(spark, sf))
 
 
 def entities_in_query(spark: SparkSession, sf: str) -> DataFrame:
-    """The longest entity names in a query, three at most."""
-    names = entities(spark, sf).select("name").distinct().where(F.contains(F.lit("where is the small red widget and the ring").alias("q"), F.lower("name")))
-    return names.orderBy(F.desc(F.length("name")), "name").limit(3)
+    """Of every text as a query the longest names of one to four words in it, three at most."""
+    return matching.longest(matching.linked(texts_asked(spark, sf), gazetteer(spark, sf), 4)).select("kind", "text_id", "name", "rank")
 
 
 def document_rollup(spark: SparkSession, sf: str) -> DataFrame:
@@ -183,8 +197,11 @@ def document_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def top_degree_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """The 60 nodes of highest degree among suppliers and among parts, and the strongest edges between them."""
     e = edges(spark, sf)
-    top = graph.adjacency(e).groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree")).orderBy(F.desc("degree"), "node").limit(60)
+    degree = graph.adjacency(e).groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
+    w = Window.partitionBy(F.col("node") < 0).orderBy(F.desc("degree"), "node")
+    top = degree.withColumn("n", F.row_number().over(w)).where("n <= 60")
     return graph.induced(e, top).orderBy(F.desc("weight"), "a", "b").limit(180).select("a", "b", "weight")
 
 
@@ -205,8 +222,7 @@ def adjacency(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pagerank(spark: SparkSession, sf: str) -> DataFrame:
-    start = _seeds(spark).select(F.col("seed").alias("node"), F.lit(1.0 / len(SEEDS)).alias("p"))
-    return graph.pagerank(graph.adjacency(edges(spark, sf)), start, ROUNDS).select("node", F.round("rank", 9).alias("rank"))
+    return graph.pagerank(graph.adjacency(edges(spark, sf)), _start(spark, sf), ROUNDS).select("node", F.round("rank", 9).alias("rank"))
 
 
 def _nations(spark, sf):
@@ -361,8 +377,7 @@ def claims_ranked(spark: SparkSession, sf: str) -> DataFrame:
 
 def graph_retrieval(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks by the sum of their entities' ranks, after personalised PageRank from the seeds."""
-    start = _seeds(spark).select(F.col("seed").alias("node"), F.lit(1.0 / len(SEEDS)).alias("p"))
-    ranks = graph.pagerank(graph.adjacency(edges(spark, sf)), start, ROUNDS).where("rank > 0.001").withColumnRenamed("node", "entity")
+    ranks = graph.pagerank(graph.adjacency(edges(spark, sf)), _start(spark, sf), ROUNDS).where("rank > 0.001").withColumnRenamed("node", "entity")
     score = mentions(spark, sf).join(ranks, "entity").groupBy("chunk_id").agg(F.round(F.sum("rank"), 8).alias("score"))
     return score.orderBy(F.desc("score"), "chunk_id").limit(10)
 
@@ -371,17 +386,22 @@ def communities(spark: SparkSession, sf: str) -> DataFrame:
     return graph.louvain(edges(spark, sf))
 
 
+def query_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """query_id, term: a query is a vector whose id is divisible by 20; its terms are the words of the entity of the same number."""
+    queries = vectors(spark, sf).where(QUERIES_ARE).join(entities(spark, sf), F.col("entity") == F.col("vec_id"))
+    return queries.select(F.col("vec_id").alias("query_id"), F.explode(F.array_distinct(F.split(F.lower("name"), r"\s+"))).alias("term"))
+
+
+def near_chunks(spark: SparkSession, sf: str, k: int) -> DataFrame:
+    """query_id, chunk_id, score: each query's k nearest vectors."""
+    index = vectors(spark, sf)
+    return vec.nearest(index.where(QUERIES_ARE), index, k).select("query_id", F.col("vec_id").alias("chunk_id"), "score")
+
+
 def local_mode(spark: SparkSession, sf: str) -> DataFrame:
-    """Local retrieval: the query's entities, their chunks by best confidence, filled up with vector neighbours."""
-    e = entities(spark, sf).where(F.contains("name", F.lit("widget"))).select("entity")
-    graph_part = mentions(spark, sf).join(e, "entity").groupBy("chunk_id").agg(F.max("confidence").alias("c"), F.count(F.lit(1)).alias("n"))
-    graph_part = graph_part.select("chunk_id", F.round(F.least(F.lit(0.95), 0.92 * F.col("c")), 6).alias("score"), F.lit("entity").alias("via"))
-    q = vectors(spark, sf).where("vec_id = 0").select(F.col("v").alias("q"), F.lit(0).alias("query_id"))
-    near = vec.scored(vectors(spark, sf), q).where("vec_id != 0").select(F.col("vec_id").alias("chunk_id"), "score", F.lit("vector").alias("via"))
-    w = Window.partitionBy("via").orderBy(F.desc("score"), "chunk_id")
-    both = graph_part.unionByName(near).withColumn("n", F.row_number().over(w)).where("n <= 10")
-    best = both.groupBy("chunk_id").agg(F.max("score").alias("score"), F.min("via").alias("via"))
-    return best.orderBy(F.desc("score"), "chunk_id").limit(15)
+    """Local retrieval of every query: the chunks of its entities by best confidence, filled up with vector neighbours."""
+    low = modes.low_level(query_terms(spark, sf), entities(spark, sf), mentions(spark, sf), chunks=10)
+    return modes.local(low, near_chunks(spark, sf, 10))
 
 
 QUERIES = {f.__name__: f for f in (entity_search, entity_types, multi_term_search, four_field_search, keyword_scan, keyword_batch, generic_entities, referential_filter, time_window, recent_confident, page_of_documents, entity_chunks, entity_rels, chunks_entities, induced_edges, entity_context, community_chunks, chunk_expansion, traversal, subgraph, shortest_paths, cooccurrence, interval_join, type_pairs, mention_linking, entities_in_query, document_rollup, top_degree_graph, merge_nodes, best_parent, adjacency, pagerank, modularity, contracted, degree_stats, graph_stats, entity_clusters, tree_selection, community_context, entity_dedupe, relation_dedupe, ensemble_merge, counts_by_source, community_stats, distinct_documents, duplicate_names, key_entities, extraction_metrics, edge_scan, upsert_entities, delete_document, point_lookup, graph_document, bio_spans, claims_ranked, graph_retrieval, communities, local_mode)}
@@ -403,22 +423,32 @@ def _ranks(n: int) -> str:
     out = f"{_E}, deg AS (SELECT src, sum(weight) AS out FROM adj GROUP BY src), nodes AS (SELECT DISTINCT src AS node FROM adj), p0 AS (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS rank FROM nodes)"
     for i in range(1, n + 1):
         out += f""", f{i} AS (SELECT dst AS node, sum(rank * (weight / out)) AS flow FROM p{i - 1} JOIN adj ON node = src JOIN deg USING (src) GROUP BY dst),
-          p{i} AS (SELECT n.node, 0.15 * CASE WHEN n.node IN (FROM {_SEEDS}) THEN {1 / len(SEEDS)} ELSE 0 END + 0.85 * coalesce(flow, 0) AS rank FROM nodes n LEFT JOIN f{i} USING (node))"""
+          p{i} AS (SELECT n.node, 0.15 * CASE WHEN n.node IN (FROM {_SEEDS}) THEN (SELECT 1.0::DOUBLE / count(*) FROM {_SEEDS}) ELSE 0 END + 0.85 * coalesce(flow, 0) AS rank FROM nodes n LEFT JOIN f{i} USING (node))"""
     return out
 
 
 _M = with_("mentions")
 _CO = "co AS (SELECT x.entity AS a, y.entity AS b, count(*) AS frequency FROM mentions x JOIN mentions y ON x.chunk_id = y.chunk_id AND x.entity < y.entity GROUP BY ALL)"
+#: Low-level chunks of each query's terms, see operators.modes.low_level().
+_QUERY = f"q AS (SELECT vec_id AS query_id, v AS q FROM vectors WHERE {QUERIES_ARE})"
+NEAR_SQL = "v AS (SELECT query_id, vec_id AS chunk_id, round(list_cosine_similarity(v, q), 6) AS score FROM vectors, q WHERE vec_id != query_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= {k})"
+LOW_SQL = """lt AS (SELECT DISTINCT query_id, unnest(string_split(lower(name), ' ')) AS term FROM q JOIN entities ON entity = query_id), lw AS (SELECT entity, confidence, unnest(list_distinct(string_split(lower(name), ' '))) AS term FROM entities), lf AS (SELECT query_id, entity FROM lw JOIN lt USING (term) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, entity) <= 3),
+      lo AS (SELECT entity, chunk_id, confidence FROM mentions WHERE entity IN (SELECT entity FROM lf) QUALIFY row_number() OVER (PARTITION BY entity ORDER BY confidence DESC, chunk_id) <= {chunks}), low AS (SELECT query_id, chunk_id, max(confidence) AS score FROM lf JOIN lo USING (entity) GROUP BY ALL)"""
 _NATIONS = "m AS (SELECT -s_suppkey - 1 AS node, CAST(s_nationkey AS BIGINT) AS community FROM supplier UNION ALL SELECT p_partkey, p_partkey % 25 FROM part)"
 _FOUND = "f AS (SELECT event_id % 500 AS key, CASE event_type WHEN 'view' THEN 'llm' WHEN 'click' THEN 'ner' ELSE 'pattern' END AS source, round(value / 1000, 6) AS confidence FROM events)"
 _PART = "p_name AS name, round(p_retailprice / 2100, 6) AS confidence, concat_ws(' ', p_brand, p_type) AS description, ['d' || (p_partkey % 2), 'b' || (p_partkey % 5)] AS documents, CASE WHEN p_size > 40 THEN 'high' WHEN p_size > 20 THEN 'medium' ELSE 'low' END AS importance"
 
+# texts are laid out as one row for each word; a run of n words is joined from n neighbours
+_LINKED = with_("gazetteer", "texts_asked") + """, k AS (SELECT name, list_filter(regexp_extract_all(lower(name), '[\\p{L}\\p{N}_]+'), lambda x: x <> '') AS w FROM gazetteer), t AS (SELECT kind, text_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM texts_asked),
+  p AS (SELECT kind, text_id, w, unnest(range(len(w))) AS i FROM t), r AS (SELECT kind, text_id, i, unnest(range(1, 5)) AS n, w FROM p), g AS (SELECT kind, text_id, i, array_to_string(w[i + 1:i + n], ' ') AS run FROM r WHERE i + n <= len(w)),
+  l AS (SELECT kind, text_id, name, count(*) AS n, min(i) AS first FROM g JOIN (SELECT name, array_to_string(w, ' ') AS run FROM k WHERE len(w) BETWEEN 1 AND 4) USING (run) GROUP BY ALL)"""
+
 ORACLE_SQL = {
     "entity_search": f"{with_('entities')} SELECT entity, name, confidence FROM entities WHERE contains(lower(name), 'red') AND type = 'ECONOMY' ORDER BY confidence DESC, entity LIMIT 25",
     "entity_types": f"{with_('entities')} SELECT type, importance, count(*) AS n FROM entities WHERE type IN ('ECONOMY', 'PROMO') GROUP BY ALL",
     "multi_term_search": f"{with_('entities')}, m AS (SELECT entity, confidence, len(list_filter(['red', 'ring', 'small'], lambda t: contains(lower(name), t))) AS matches FROM entities) SELECT entity, matches, confidence FROM m WHERE matches > 0 ORDER BY matches DESC, confidence DESC, entity LIMIT 40",
     "four_field_search": "SELECT p_partkey, p_brand FROM part WHERE p_size > 10 AND (contains(lower(p_name), '1') OR contains(lower(p_brand), '1') OR contains(lower(p_type), '1') OR contains(CAST(p_partkey AS VARCHAR), '1'))",
-    "keyword_scan": "SELECT doc_id, source FROM documents WHERE contains(lower(text), 'password') ORDER BY doc_id LIMIT 20",
+    "keyword_scan": "SELECT doc_id, source FROM documents WHERE contains(lower(text), 'license') ORDER BY doc_id LIMIT 20",
     "keyword_batch": "WITH k AS (SELECT doc_id, unnest(list_filter(['secret', 'token', 'password', 'idiot', 'akia'], lambda w: contains(lower(text), w))) AS keyword FROM documents) SELECT keyword, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY keyword ORDER BY doc_id) AS n FROM k) WHERE n <= 3",
     "generic_entities": f"{with_('entities')}, w AS (SELECT *, len(string_split(name, ' ')) AS words FROM entities) SELECT type, count(*) AS kept FROM w WHERE NOT (length(name) < 2 OR length(name) > 150 OR (type = 'PROMO' AND words <= 2) OR (type = 'ECONOMY' AND words <= 1)) GROUP BY type",
     "referential_filter": f"{with_('mentions', 'entities')}, {_CO} SELECT a, b, frequency FROM co WHERE a IN (SELECT entity FROM entities WHERE importance = 'high') AND b IN (SELECT entity FROM entities WHERE importance = 'high')",
@@ -431,7 +461,13 @@ ORACLE_SQL = {
     "induced_edges": f"{with_('edges', 'entities')} SELECT a, b, weight FROM edges WHERE a IN (SELECT -s_suppkey - 1 FROM supplier WHERE s_acctbal > 0) AND b IN (SELECT entity FROM entities WHERE importance = 'high')",
     "entity_context": f"{_E}, {with_('entities')[5:]}, r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS n FROM adj), t AS (SELECT src AS entity, string_agg(dst || ':' || weight, ',' ORDER BY n) AS rels FROM r WHERE n <= 3 GROUP BY src) SELECT entity, coalesce(rels, '') AS rels FROM entities LEFT JOIN t USING (entity)",
     "community_chunks": "SELECT r_name, n_name, count(DISTINCT o_orderkey) AS chunks FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey GROUP BY ALL",
-    "chunk_expansion": f"{_M}, e AS (SELECT DISTINCT entity FROM mentions WHERE chunk_id < 20), f AS (SELECT chunk_id, count(*) AS shared, max(confidence) AS vector FROM mentions JOIN e USING (entity) WHERE chunk_id >= 20 GROUP BY chunk_id) SELECT *, round(0.6 * vector + 0.4 * 0.7, 6) AS combined FROM f ORDER BY combined DESC, shared DESC, chunk_id LIMIT 15",
+    "chunk_expansion": f"""{with_("mentions", "entities", "vectors")}, {_CO}, n AS (SELECT x.entity AS a, y.entity AS b, x.confidence AS strength FROM entities x JOIN entities y ON y.entity = x.entity + 1 WHERE x.confidence >= 0.7 UNION ALL SELECT a, b, least(1, frequency / 10) FROM co WHERE frequency >= 2
+      UNION ALL SELECT least(x.vec_id, y.vec_id), greatest(x.vec_id, y.vec_id), round(list_cosine_similarity(x.v, y.v), 6) AS s FROM vectors x JOIN vectors y ON x.vec_id != y.vec_id WHERE round(list_cosine_similarity(x.v, y.v), 6) >= 0.75 QUALIFY row_number() OVER (PARTITION BY x.vec_id ORDER BY s DESC, y.vec_id) <= 5),
+      e AS (SELECT a, b, round(max(strength), 6) AS strength FROM n GROUP BY ALL), t AS (SELECT * FROM e UNION ALL SELECT b, a, strength FROM e), o AS (SELECT DISTINCT chunk_id AS query_id, entity FROM mentions WHERE chunk_id % 20 = 0),
+      f AS (SELECT o.query_id, t.a AS origin, t.b AS entity, strength FROM o JOIN t ON o.entity = t.a WHERE NOT EXISTS (SELECT 1 FROM o p WHERE p.query_id = o.query_id AND p.entity = t.b) QUALIFY row_number() OVER (PARTITION BY o.query_id, t.b ORDER BY strength DESC, t.a) = 1),
+      r AS (SELECT query_id, entity, 1 AS hop, CAST(entity AS VARCHAR) AS via FROM o UNION ALL SELECT query_id, entity, 2, origin || '>' || entity FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY strength DESC, entity) <= 5)),
+      p AS (SELECT query_id, chunk_id, CAST(hop AS BIGINT) AS hop, confidence AS vector, round(0.7 ** hop, 6) AS graph, round(0.6 * confidence + 0.4 * round(0.7 ** hop, 6), 6) AS combined, via FROM r JOIN mentions USING (entity) WHERE chunk_id != query_id),
+      b AS (SELECT * FROM p WHERE combined >= 0.4 QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY combined DESC, graph DESC, vector DESC, via) = 1) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY combined DESC, graph DESC, vector DESC, chunk_id) AS rank FROM b QUALIFY rank <= 15""",
     "traversal": f"{_hops(HOPS)} SELECT seed, node, distance FROM r{HOPS}",
     "subgraph": f"{_hops(2)} SELECT a, b, weight FROM edges WHERE a IN (SELECT node FROM r2) AND b IN (SELECT node FROM r2)",
     "shortest_paths": f"{_hops(4)} SELECT seed AS a, node AS b, distance AS length FROM r4 WHERE seed < node AND node IN (FROM {_SEEDS})",
@@ -439,10 +475,10 @@ ORACLE_SQL = {
     "interval_join": """WITH s AS (SELECT user_id AS doc_id, event_id AS entity, CAST(floor(floor(epoch(ts)) / 60 - 28401120) AS BIGINT) AS start FROM events), p AS (SELECT a.doc_id, a.entity AS source, b.entity AS target, b.start - a.start - 5 AS gap FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.entity != b.entity AND b.start - a.start - 5 BETWEEN 0 AND 100)
       SELECT doc_id, source, target, gap, round(greatest(0.3, 1 - gap / 100), 6) AS confidence FROM p""",
     "type_pairs": f"{with_('mentions', 'entities')}, t AS (SELECT chunk_id, entity, type FROM mentions JOIN entities USING (entity)), k(l, r, kind) AS (VALUES ('ECONOMY', 'PROMO', 'promotes'), ('STANDARD', 'ECONOMY', 'varies')) SELECT kind, count(*) AS n, count(DISTINCT (x.entity, y.entity)) AS pairs, 0.5::DOUBLE AS confidence FROM t x JOIN t y ON x.chunk_id = y.chunk_id AND x.entity != y.entity JOIN k ON x.type = l AND y.type = r GROUP BY kind",
-    "mention_linking": "WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))) AS name FROM documents) SELECT name, count(*) AS documents FROM w WHERE name IN ('the', 'und', 'idiot', 'password', 'que') GROUP BY name",
-    "entities_in_query": f"{with_('entities')} SELECT DISTINCT name FROM entities WHERE contains('where is the small red widget and the ring', lower(name)) ORDER BY length(name) DESC, name LIMIT 3",
+    "mention_linking": f"{_LINKED} SELECT * FROM l",
+    "entities_in_query": f"{_LINKED} SELECT kind, text_id, name, row_number() OVER (PARTITION BY kind, text_id ORDER BY length(name) DESC, name) AS rank FROM l QUALIFY rank <= 3",
     "document_rollup": f"{with_('mentions', 'chunk_documents')}, c AS (SELECT document_id, count(*) AS chunks FROM chunk_documents GROUP BY 1), m AS (SELECT document_id, count(*) AS mentions, count(DISTINCT entity) AS entities FROM mentions JOIN chunk_documents USING (chunk_id) GROUP BY 1) SELECT c_custkey AS document_id, coalesce(chunks, 0) AS chunks, coalesce(mentions, 0) AS mentions, coalesce(entities, 0) AS entities FROM customer LEFT JOIN c ON c.document_id = c_custkey LEFT JOIN m ON m.document_id = c_custkey",
-    "top_degree_graph": f"{_E}, t AS (SELECT src, count(*) AS d FROM adj GROUP BY src ORDER BY d DESC, src LIMIT 60) SELECT a, b, weight FROM edges WHERE a IN (SELECT src FROM t) AND b IN (SELECT src FROM t) ORDER BY weight DESC, a, b LIMIT 180",
+    "top_degree_graph": f"{_E}, t AS (SELECT src, count(*) AS d FROM adj GROUP BY src QUALIFY row_number() OVER (PARTITION BY src < 0 ORDER BY d DESC, src) <= 60) SELECT a, b, weight FROM edges WHERE a IN (SELECT src FROM t) AND b IN (SELECT src FROM t) ORDER BY weight DESC, a, b LIMIT 180",
     "merge_nodes": f"{with_('edges')} SELECT a, b - b % 2 AS b, CAST(sum(weight) AS BIGINT) AS weight FROM edges GROUP BY 1, 2",
     "best_parent": "WITH s AS (SELECT CAST(c_nationkey AS BIGINT) AS child, c_mktsegment AS parent, count(*) AS shared FROM customer GROUP BY ALL) SELECT child, parent, shared FROM (SELECT *, row_number() OVER (PARTITION BY child ORDER BY shared DESC, parent) AS n FROM s) WHERE n = 1",
     "adjacency": f"{_E} SELECT src, count(*) AS n, CAST(sum(weight) AS BIGINT) AS weight FROM adj GROUP BY src",
@@ -474,7 +510,7 @@ ORACLE_SQL = {
     "bio_spans": "WITH t AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'B' WHEN 'assistant' THEN 'I' ELSE 'O' END AS tag FROM conversations), s AS (SELECT *, sum(CAST(tag != 'I' AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY turn) AS span FROM t) SELECT conv_id, min(turn) AS start, max(turn) AS upto FROM s GROUP BY conv_id, span HAVING arg_min(tag, turn) = 'B'",
     "claims_ranked": "SELECT o_orderkey AS claim, CAST(CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0 WHEN o_orderstatus = 'P' THEN 0.95 WHEN contains(o_orderpriority, 'HIGH') THEN 0.8 ELSE 0.7 END AS DOUBLE) AS match, round(o_totalprice / 1000000, 8) AS confidence FROM orders ORDER BY match DESC, confidence DESC, claim LIMIT 100",
     "graph_retrieval": f"{_ranks(ROUNDS)}, {with_('mentions')[5:]} SELECT chunk_id, round(sum(rank), 8) AS score FROM mentions JOIN p{ROUNDS} ON node = entity WHERE rank > 0.001 GROUP BY chunk_id ORDER BY score DESC, chunk_id LIMIT 10",
-    "local_mode": f"""{with_("mentions", "entities", "vectors")}, g AS (SELECT chunk_id, round(least(0.95, 0.92 * max(confidence)), 6) AS score, 'entity' AS via FROM mentions WHERE entity IN (SELECT entity FROM entities WHERE contains(name, 'widget')) GROUP BY chunk_id),
-      v AS (SELECT vec_id AS chunk_id, round(list_cosine_similarity(v, (SELECT v FROM vectors WHERE vec_id = 0)), 6) AS score, 'vector' AS via FROM vectors WHERE vec_id != 0), u AS (SELECT * FROM g UNION ALL SELECT * FROM v), r AS (SELECT *, row_number() OVER (PARTITION BY via ORDER BY score DESC, chunk_id) AS n FROM u)
-      SELECT chunk_id, max(score) AS score, min(via) AS via FROM r WHERE n <= 10 GROUP BY chunk_id ORDER BY score DESC, chunk_id LIMIT 15""",
+    "local_mode": f"""{with_("mentions", "entities", "vectors")}, {_QUERY}, {LOW_SQL.format(chunks=10)}, {NEAR_SQL.format(k=10)},
+      u AS (SELECT query_id, chunk_id, round(least(0.95, 0.92 * score), 6) AS score, 'entity' AS via FROM low QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 10 UNION ALL SELECT *, 'vector' FROM v),
+      b AS (SELECT query_id, chunk_id, max(score) AS score, min(via) AS via FROM u GROUP BY ALL) SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 15""",
 }

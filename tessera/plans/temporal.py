@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import temporal
 from tessera.sources.tables import table
 from tessera.streaming import events as stream
+from tessera.streaming import jobs
 
 REFERENCE = "2001-08-05 12:00:00"
 #: Cost of a thousand tokens by operation.
@@ -87,7 +88,18 @@ def session_windows(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("upto").alias("upto"), "n")
 
 
-QUERIES = {f.__name__: f for f in (temporal_decay, freshness, validity, temporal_rank, window_metrics, window_counts, last_hundred, slow_traces, trace_durations, costs, job_states, session_windows)}
+def job_expiry(spark: SparkSession, sf: str) -> DataFrame:
+    """Each job's runs that have ended as a day went by without a change."""
+    rows = jobs.expired(_events(spark, sf))
+    return rows.select("job", F.unix_micros("start").alias("start"), F.unix_micros("last").alias("last"), "state", "changes")
+
+
+def active_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    """Jobs heard of within the last day of events whose state is one of work."""
+    return jobs.active(_events(spark, sf)).select("job", "state", F.unix_micros("last").alias("last"))
+
+
+QUERIES = {f.__name__: f for f in (job_expiry, active_jobs, temporal_decay, freshness, validity, temporal_rank, window_metrics, window_counts, last_hundred, slow_traces, trace_durations, costs, job_states, session_windows)}
 
 _F = f"WITH f AS (SELECT o_orderkey, o_orderdate, round(o_totalprice / 1000000, 8) AS c, CAST(floor((epoch(TIMESTAMP '{REFERENCE}') - epoch(o_orderdate)) / 86400) AS BIGINT) AS days FROM orders)"
 _FACTOR = {"exponential": "0.5 ** (days / 180)", "linear": "greatest(0, 1 - days / 360)", "step": "CASE WHEN days <= 180 THEN 1.0 WHEN days <= 360 THEN 0.5 ELSE 0.25 END", "logarithmic": "greatest(0, 1 - ln(1 + days) / ln(361))"}
@@ -107,6 +119,10 @@ ORACLE_SQL = {
     "trace_durations": "SELECT user_id, day(ts) AS day, count(*) AS steps, round(sum(value), 4) AS total, datediff('microsecond', min(ts), max(ts)) // 1000000 AS seconds FROM events GROUP BY ALL",
     "costs": "SELECT event_type, CAST(sum(floor(value)) AS BIGINT) AS tokens, round(CAST(sum(floor(value)) AS DOUBLE) / 1000 * CASE event_type WHEN 'view' THEN 0.0001::DOUBLE WHEN 'click' THEN 0.002 ELSE 0.0005 END, 6) AS cost FROM events WHERE event_type IN ('view', 'click', 'purchase') GROUP BY event_type",
     "job_states": "SELECT user_id, arg_max(event_type, (ts, event_id)) AS state, count(*) AS changes FROM events GROUP BY user_id",
+    "job_expiry": f"""WITH e AS (SELECT user_id AS job, epoch_us(ts) AS moment, event_id, event_type, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) > {jobs.TTL * 1000000}, true) AS new FROM events),
+      r AS (SELECT *, sum(CAST(new AS BIGINT)) OVER (PARTITION BY job ORDER BY moment, event_id) AS run FROM e), g AS (SELECT job, run, min(moment) AS start, max(moment) AS last, arg_max(event_type, (moment, event_id)) AS state, count(*) AS changes FROM r GROUP BY ALL),
+      f AS (SELECT *, lead(start) OVER (PARTITION BY job ORDER BY run) AS following FROM g) SELECT job, start, last, state, changes FROM f WHERE following IS NOT NULL OR last + {jobs.TTL * 1000000} <= (SELECT max(epoch_us(ts)) - 600000000 FROM events)""",
+    "active_jobs": f"SELECT user_id AS job, arg_max(event_type, (ts, event_id)) AS state, epoch_us(max(ts)) AS last FROM events GROUP BY user_id HAVING (SELECT max(epoch_us(ts)) FROM events) - epoch_us(max(ts)) <= {jobs.TTL * 1000000} AND arg_max(event_type, (ts, event_id)) IN ('view', 'signup', 'click')",
     "session_windows": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
       SELECT user_id, epoch_us(min(ts)) AS start, epoch_us(max(ts) + INTERVAL 30 MINUTES) AS upto, count(*) AS n FROM s GROUP BY user_id, s""",
 }

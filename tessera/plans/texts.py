@@ -1,4 +1,8 @@
-"""Queries of scalar functions, over documents, pages, events, conversations and literal fixtures."""
+"""Queries of scalar functions, over documents, pages, events and conversations.
+
+The tables hold no questions, names with titles, Arabic words or replies of models; such rows are derived from theirs by setting fixed
+openings before them in turn, so that every branch is met and the work grows with the tables.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import fixed, text
+from tessera.functions.json_repair import repair
 from tessera.sources.tables import table
 
 ARABIC_WORDS = ["مُحَمَّد", "المدرسة", "إنجازات", "أحمـــد", "مستشفى", "آثار", "مكتبه", "في", "قرآن", "hello"]
@@ -16,47 +21,69 @@ QUERY_TEXTS = [
     "Who is the president of the company?", "compare A and B", "relationship between X and Y", "overview of the project", "why did sales fall last year",
     "summarize all documents", "ما هي الموضوعات الرئيسية", "العلاقة بين المدير والشركة", "short query", "list the products sold in March", "من هو الفائز بالجائزة", "how does this differ from that",
 ]
-ANSWERS = [
-    (1, "The plant opened in 1990 [1]. It makes cars [2].", "The plant opened in 1990 and makes cars.", 3), (2, "No source is given here.", "Sources are missing from this text.", 3), (3, "Wrong number [9] and right [1].", "Right and wrong numbers appear.", 2), (4, "", "Something", 1),
-]
-MAP_ANSWERS = ['{"score": 75, "answer": "Cars are made.", "points": ["a", "b"]}', '{"score": 250, "answer": "Too much"}', "Relevance: 40\nAnswer: plain text\nPoints: x", "nothing here"]
-LOG_LINES = ["2024-01-01 ERROR failed to connect", "WARNING: slow", "info started", "DEBUG x=1", "plain line"]
-URLS = ["https://www.youtube.com/watch?v=dQw4w9WgXcQ&t=1", "https://youtu.be/abcdefghijk", "https://example.org/x", "https://www.youtube.com/embed/ABCDEFGHIJK"]
-NAMES = ["  dr. john   smith ", "Smith, Jane", "acme CORP.", '"quoted name"', "prof. Émile ZOLA", "single"]
-
 MENTION_PATTERNS = {"Email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[a-z]{2,}", "Phone": r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}", "Money": r"\$[0-9]+(?:\.[0-9]+)?", "Date": "[0-9]{4}-[0-9]{2}-[0-9]{2}"}
 
 
-def values(spark: SparkSession, rows: list, names: str) -> DataFrame:
-    """A literal fixture; a list of single values gets its places as id."""
-    rows = [r if isinstance(r, tuple) else (i, r) for i, r in enumerate(rows)]
-    return spark.createDataFrame(rows, names)
+def turn_of(items: list[str], key: str):
+    """The item whose turn it is for an id."""
+    return F.get(F.array(*map(F.lit, items)), (F.col(key) % len(items)).cast("int"))
+
+
+def _turns(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", "turn", "text")
+
+
+def questions(spark: SparkSession, sf: str) -> DataFrame:
+    """id, query: every turn, two of three behind a fixed question's opening, one of those cut at its first full stop."""
+    short = F.concat(turn_of(QUERY_TEXTS, "id"), F.lit(" "), F.get(F.split("text", "[.]"), F.lit(0)))
+    return _turns(spark, sf).select("id", F.when(F.col("id") % 3 == 0, short).when(F.col("id") % 3 == 1, F.concat(turn_of(QUERY_TEXTS, "id"), F.lit(" "), "text")).otherwise(F.col("text")).alias("query"))
+
+
+def arabic_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """id, word: every turn behind an Arabic word, or the word alone."""
+    return _turns(spark, sf).select("id", F.when(F.col("id") % 2 == 0, turn_of(ARABIC_WORDS, "id")).otherwise(F.concat(turn_of(ARABIC_WORDS, "id"), F.lit(" "), "text")).alias("word"))
 
 
-def sql_values(rows: list, names: str) -> str:
-    rows = [r if isinstance(r, tuple) else (i, r) for i, r in enumerate(rows)]
-    quote = lambda v: str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
-    kinds = dict(x.split() for x in names.split(", "))
-    body = ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in rows)
-    cast = ", ".join(f"CAST({n} AS {'BIGINT' if t == 'long' else 'VARCHAR' if t == 'string' else 'DOUBLE'}) AS {n}" for n, t in kinds.items())
-    return f"(SELECT {cast} FROM (VALUES {body}) t({', '.join(kinds)}))"
+def answers(spark: SparkSession, sf: str) -> DataFrame:
+    """id, answer, truth, sources: every turn as the answer to the one before, with a citation of source 0 to 3 of three, or none."""
+    t = _turns(spark, sf)
+    after = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    cited = F.when(F.col("id") % 5 == 4, F.col("answer")).otherwise(F.concat("answer", F.lit(" ["), (F.col("id") % 4).cast("string"), F.lit("] .")))
+    return t.join(after, ["conv_id", "turn"]).select("id", cited.alias("answer"), F.col("text").alias("truth"), F.lit(3).cast("long").alias("sources"))
+
+
+def replies(spark: SparkSession, sf: str) -> DataFrame:
+    """id, reply: what a model would say of every turn: JSON, JSON cut off, marked lines, or the text."""
+    word = F.regexp_extract("text", "([A-Za-z]+)", 1)
+    whole = F.concat(F.lit('{"score": '), (F.length("text") % 300).cast("string"), F.lit(', "answer": "'), word, F.lit('", "points": ["a", "b", "c", "d"]'))
+    marked = F.concat(F.lit("Relevance: "), (F.length("text") % 100).cast("string"), F.lit("\nAnswer: "), word, F.lit("\nPoints: x"))
+    kind = F.col("id") % 4
+    return _turns(spark, sf).select("id", F.when(kind == 0, F.concat(whole, F.lit("}"))).when(kind == 1, whole).when(kind == 2, marked).otherwise(F.col("text")).alias("reply"))
+
+
+def names(spark: SparkSession, sf: str) -> DataFrame:
+    """id, name: every part's name, as it is, with a title, turned round, as a company, or quoted."""
+    n = F.col("p_name")
+    first, last = F.substring_index(n, " ", 1), F.substring_index(n, " ", -1)
+    kind = F.col("p_partkey") % 5
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.when(kind == 0, F.concat(F.lit("  dr. "), n, F.lit(" "))).when(kind == 1, F.concat_ws(", ", last, first)).when(kind == 2, F.concat(F.upper(n), F.lit(" CORP."))).when(kind == 3, F.concat(F.lit('"'), n, F.lit('"'))).otherwise(n).alias("name"))
 
 
 def arabic_norm(spark: SparkSession, sf: str) -> DataFrame:
-    return values(spark, ARABIC_WORDS, "id long, word string").select("id", text.arabic_normalized("word").alias("normalized"), text.arabic_configured("word").alias("configured"))
+    return arabic_texts(spark, sf).select("id", text.arabic_normalized("word").alias("normalized"), text.arabic_configured("word").alias("configured"))
 
 
 def arabic_variants(spark: SparkSession, sf: str) -> DataFrame:
-    return values(spark, ARABIC_WORDS, "id long, word string").select("id", F.array_join(text.arabic_variants("word"), "|").alias("variants"))
+    return arabic_texts(spark, sf).select("id", F.array_join(text.arabic_variants("word"), "|").alias("variants"))
 
 
 def arabic_keywords(spark: SparkSession, sf: str) -> DataFrame:
-    return values(spark, [" ".join(ARABIC_WORDS), *QUERY_TEXTS], "id long, query string").select("id", F.array_join(text.arabic_keywords("query"), "|").alias("keywords"))
+    return questions(spark, sf).unionByName(arabic_texts(spark, sf).select((-F.col("id") - 1).alias("id"), F.col("word").alias("query"))).select("id", F.array_join(text.arabic_keywords("query"), "|").alias("keywords"))
 
 
 def lang_detect(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("word"))
-    return docs.unionByName(values(spark, ARABIC_WORDS, "id long, word string").withColumn("id", -F.col("id") - 1)).select("id", *text.languages("word"))
+    return docs.unionByName(arabic_texts(spark, sf).withColumn("id", -F.col("id") - 1)).select("id", *text.languages("word"))
 
 
 def clean_text(spark: SparkSession, sf: str) -> DataFrame:
@@ -70,11 +97,12 @@ def punct_density(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def entity_names(spark: SparkSession, sf: str) -> DataFrame:
-    return values(spark, NAMES, "id long, name string").select("id", text.entity_name("name").alias("normalized"), text.ensemble_key("name").alias("key"))
+    return names(spark, sf).select("id", text.entity_name("name").alias("normalized"), text.ensemble_key("name").alias("key"))
 
 
 def rel_type_norm(spark: SparkSession, sf: str) -> DataFrame:
-    return values(spark, RELATIONS, "id long, type string").select("id", *text.relation("type"))
+    kinds = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 13 == 12, F.col("event_type")).otherwise(turn_of(RELATIONS, "event_id")).alias("type"))
+    return kinds.select("id", *text.relation("type"))
 
 
 def character_jaccard(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,7 +135,7 @@ def _typed(kind: str):
 def citations(spark: SparkSession, sf: str) -> DataFrame:
     """Numbers in brackets, how many of them exist, and the share (0.5 without any); completeness by citation and length."""
     cited = F.transform(F.regexp_extract_all("answer", F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: x.cast("long"))
-    rows = values(spark, ANSWERS, "id long, answer string, truth string, sources long").withColumn("cited", cited)
+    rows = answers(spark, sf).withColumn("cited", cited)
     good = F.size(F.filter("cited", lambda x: (x >= 1) & (x <= F.col("sources"))))
     complete = 0.5 * F.when(F.size("cited") > 0, 1.0).otherwise(0.3) + 0.5 * F.least(F.size(text.words("answer")) / 50.0, F.lit(1.0))
     return rows.select("id", F.size("cited").cast("long").alias("n"), F.round(F.when(F.size("cited") > 0, good / F.size("cited")).otherwise(0.5), 6).alias("accuracy"), F.round(complete, 6).alias("completeness"))
@@ -146,7 +174,7 @@ def relevance_grade(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def route_queries(spark: SparkSession, sf: str) -> DataFrame:
-    return values(spark, QUERY_TEXTS, "id long, query string").select("id", text.query_class("query").alias("class"), text.retrieval_mode("query").alias("mode"))
+    return questions(spark, sf).select("id", text.query_class("query").alias("class"), text.retrieval_mode("query").alias("mode"))
 
 
 def route_conversations(spark: SparkSession, sf: str) -> DataFrame:
@@ -160,7 +188,7 @@ def intent_complexity(spark: SparkSession, sf: str) -> DataFrame:
     n = F.size(text.words("query"))
     hits = lambda terms: F.size(F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(q, t)))
     local, broad = hits(["who", "when", "where", "which"]), hits(["all", "overview", "themes", "summar", "compare"])
-    return values(spark, QUERY_TEXTS, "id long, query string").select(
+    return questions(spark, sf).select(
         "id", n.cast("long").alias("words"), F.when(n > 12, "complex").when(n > 5, "medium").otherwise("simple").alias("complexity"), F.when(local > broad, "local").when(broad > local, "global").otherwise("hybrid").alias("router"),
         F.when(local > broad, 0.8).when(broad > local, 0.2).otherwise(0.5).alias("low_weight"), F.array_join(text.key_terms("query"), "|").alias("terms"),
     )
@@ -169,14 +197,14 @@ def intent_complexity(spark: SparkSession, sf: str) -> DataFrame:
 def decompose_queries(spark: SparkSession, sf: str) -> DataFrame:
     """Sub-queries: comparisons into their two sides, others at and, و and ;."""
     parts = F.when(F.lower("query").rlike("^compare "), F.split(F.regexp_replace("query", "(?i)^compare ", ""), " and ")).otherwise(F.split("query", " and | و |;"))
-    rows = values(spark, QUERY_TEXTS, "id long, query string").select("id", F.posexplode(parts).alias("part", "sub_query"))
+    rows = questions(spark, sf).select("id", F.posexplode(parts).alias("part", "sub_query"))
     return rows.select("id", F.col("part").cast("long").alias("part"), F.trim("sub_query").alias("sub_query"))
 
 
 def map_responses(spark: SparkSession, sf: str) -> DataFrame:
-    """Score over 100 brought to [0, 1], answer, number of points (3 at most); plain text by its marks; else 0.1."""
+    """Replies, mended where they are cut off: score over 100 brought to [0, 1], answer, number of points (3 at most); plain text by its marks; else 0.1."""
     parsed = F.from_json("reply", "score double, answer string, points array<string>")
-    rows = values(spark, MAP_ANSWERS, "id long, reply string").withColumn("p", F.when(F.col("reply").startswith("{"), parsed))
+    rows = replies(spark, sf).select("id", F.when(F.col("reply").startswith("{"), repair("reply")).otherwise(F.col("reply")).alias("reply")).withColumn("p", F.when(F.col("reply").startswith("{"), parsed))
     said = F.regexp_extract("reply", r"Relevance: *(\d+)", 1)
     score = F.when(F.col("p.score").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("p.score") / 100))).when(said != "", F.try_divide(said.try_cast("double"), F.lit(100.0))).otherwise(0.1)
     return rows.select("id", F.round(score, 6).alias("score"), F.coalesce("p.answer", F.nullif(F.regexp_extract("reply", r"Answer: *([^\n]*)", 1), F.lit("")), F.lit("")).alias("answer"), F.least(F.coalesce(F.size("p.points"), F.lit(0)), F.lit(3)).cast("long").alias("points"))
@@ -184,7 +212,7 @@ def map_responses(spark: SparkSession, sf: str) -> DataFrame:
 
 def cleaned_answers(spark: SparkSession, sf: str) -> DataFrame:
     out = F.trim(F.regexp_replace(F.regexp_replace("answer", r"\[\d+\]", ""), r"\s+([.,])", "$1"))
-    return values(spark, ANSWERS, "id long, answer string, truth string, sources long").select("id", out.alias("clean"), (out == "").alias("empty"))
+    return answers(spark, sf).select("id", out.alias("clean"), (out == "").alias("empty"))
 
 
 def themes(spark: SparkSession, sf: str) -> DataFrame:
@@ -209,12 +237,15 @@ def context_budget(spark: SparkSession, sf: str) -> DataFrame:
 def log_levels(spark: SparkSession, sf: str) -> DataFrame:
     u = F.upper("line")
     level = F.when(u.rlike("ERROR|CRITICAL"), "error").when(u.rlike("WARN"), "warning").when(u.rlike("DEBUG"), "debug").otherwise("info")
-    return values(spark, LOG_LINES, "id long, line string").select("id", level.alias("level"))
+    line = F.concat_ws(" ", F.when(F.col("value") > 450, "WARNING: slow").when(F.col("event_id") % 7 == 0, "debug"), "event_type", "props")
+    return table(spark, sf, "events").select(F.col("event_id").alias("id"), line.alias("line")).select("id", level.alias("level"))
 
 
 def url_ids(spark: SparkSession, sf: str) -> DataFrame:
     found = F.coalesce(F.nullif(F.regexp_extract("url", r"(?:v=|embed/)([A-Za-z0-9_-]{11})", 1), F.lit("")), F.nullif(F.regexp_extract("url", r"youtu\.be/([A-Za-z0-9_-]{11})", 1), F.lit("")))
-    return values(spark, URLS, "id long, url string").select("id", found.alias("video"))
+    code, kind = F.substring(F.md5(F.col("url").cast("binary")), 1, 11), F.col("page_id") % 4
+    url = F.when(kind == 0, F.concat(F.lit("https://www.youtube.com/watch?v="), code, F.lit("&t=1"))).when(kind == 1, F.concat(F.lit("https://youtu.be/"), code)).when(kind == 2, F.concat(F.lit("https://www.youtube.com/embed/"), code)).otherwise(F.col("url"))
+    return table(spark, sf, "pages").select(F.col("page_id").alias("id"), url.alias("url")).select("id", found.alias("video"))
 
 
 def json_flatten(spark: SparkSession, sf: str) -> DataFrame:
@@ -226,7 +257,7 @@ def json_flatten(spark: SparkSession, sf: str) -> DataFrame:
 
 def summary_validation(spark: SparkSession, sf: str) -> DataFrame:
     """0.5 faithfulness + 0.3 citation + 0.2 coverage of each answer against its source."""
-    rows = values(spark, ANSWERS, "id long, answer string, truth string, sources long")
+    rows = answers(spark, sf)
     a, t = text.key_terms("answer", 2), text.key_terms("truth", 2)
     faith = text.share(text.overlap(a, t), F.size(a))
     cited = F.when(F.col("answer").rlike(r"\[\d+\]"), 1.0).otherwise(0.0)
@@ -236,7 +267,7 @@ def summary_validation(spark: SparkSession, sf: str) -> DataFrame:
 
 def context_pr(spark: SparkSession, sf: str) -> DataFrame:
     """Token precision and recall of answers against the truth, and the blended script score."""
-    rows = values(spark, ANSWERS, "id long, answer string, truth string, sources long")
+    rows = answers(spark, sf)
     a, t = (F.array_distinct(text.words(F.lower(c))) for c in ("answer", "truth"))
     p, r = text.share(text.overlap(a, t), F.size(a)), text.share(text.overlap(a, t), F.size(t))
     return rows.select("id", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(F.least(F.lit(1.0), r * 1.5), 6).alias("relevancy"), F.round(0.4 * r + 0.3 * p + 0.3 * F.least(F.length("answer") / 100.0, F.lit(1.0)), 6).alias("score"))
@@ -281,8 +312,21 @@ _clean = f"trim(regexp_replace({_clean}, '\\s+', ' ', 'g'))"
 _CLASS = "CASE " + " ".join(f"WHEN regexp_matches(lower({{0}}), '{'|'.join(f'(?:{p})' for p in ps)}') THEN '{n}'" for n, ps in fixed.QUERY_CLASSES.items()) + " ELSE 'factual' END"
 _MODE = f"CASE WHEN len({_words('{0}')}) <= 2 THEN 'vector' ELSE CASE {{1}} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fixed.CLASS_MODES.items()) + " END END"
 _PAIRS = "FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"
-_Q = sql_values(QUERY_TEXTS, "id long, query string")
-_A = sql_values(ANSWERS, "id long, answer string, truth string, sources long")
+
+
+def _turn_of(items: list[str], key: str) -> str:
+    return f"({_list(items)})[{key} % {len(items)} + 1]"
+
+
+_ID = "conv_id * 1000 + turn"
+_T = f"(SELECT {_ID} AS id, conv_id, turn, text FROM conversations)"
+_Q = f"(SELECT id, CASE id % 3 WHEN 0 THEN {_turn_of(QUERY_TEXTS, 'id')} || ' ' || split_part(text, '.', 1) WHEN 1 THEN {_turn_of(QUERY_TEXTS, 'id')} || ' ' || text ELSE text END AS query FROM {_T})"
+_W = f"(SELECT id, CASE id % 2 WHEN 0 THEN {_turn_of(ARABIC_WORDS, 'id')} ELSE {_turn_of(ARABIC_WORDS, 'id')} || ' ' || text END AS word FROM {_T})"
+_A = f"(SELECT {_ID.replace('conv_id', 'a.conv_id').replace('turn', 'a.turn')} AS id, CASE WHEN ({_ID.replace('conv_id', 'a.conv_id').replace('turn', 'a.turn')}) % 5 = 4 THEN b.text ELSE b.text || ' [' || (({_ID.replace('conv_id', 'a.conv_id').replace('turn', 'a.turn')}) % 4) || '] .' END AS answer, a.text AS truth, 3::BIGINT AS sources {_PAIRS})"
+_REPLY = f"""(SELECT id, CASE id % 4 WHEN 0 THEN w || '}}' WHEN 1 THEN w || '}}' WHEN 2 THEN 'Relevance: ' || (length(text) % 100) || chr(10) || 'Answer: ' || regexp_extract(text, '([A-Za-z]+)', 1) || chr(10) || 'Points: x' ELSE text END AS reply
+      FROM (SELECT id, text, '{{"score": ' || (length(text) % 300) || ', "answer": "' || regexp_extract(text, '([A-Za-z]+)', 1) || '", "points": ["a", "b", "c", "d"]' AS w FROM {_T}))"""
+_FIRST, _LAST = "split_part(p_name, ' ', 1)", "split_part(p_name, ' ', -1)"
+NAMES_SQL = f"(SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN '  dr. ' || p_name || ' ' WHEN 1 THEN {_LAST} || ', ' || {_FIRST} WHEN 2 THEN upper(p_name) || ' CORP.' WHEN 3 THEN '\"' || p_name || '\"' ELSE p_name END AS name FROM part)"
 
 
 def _case(key: str, values_: dict, other: str) -> str:
@@ -298,16 +342,16 @@ _CHARS = "list_distinct(list_filter(string_split(lower({0}), ''), lambda c: c <>
 _GRADE = "CASE WHEN hits / n > 0.8 THEN 1.0 WHEN hits / n < 0.2 THEN 0.2 ELSE hits / n END"
 
 ORACLE_SQL = {
-    "arabic_norm": f"SELECT id, {_NORM.format('word')} AS normalized, {_CONF.format('word')} AS configured FROM {sql_values(ARABIC_WORDS, 'id long, word string')}",
-    "arabic_variants": f"SELECT id, array_to_string(list_sort(list_distinct([word, {_NORM.format('word')}, CASE WHEN suffix(word, 'ة') THEN regexp_replace(word, 'ة$', 'ه') WHEN suffix(word, 'ه') THEN regexp_replace(word, 'ه$', 'ة') ELSE word END])), '|') AS variants FROM {sql_values(ARABIC_WORDS, 'id long, word string')}",
+    "arabic_norm": f"SELECT id, {_NORM.format('word')} AS normalized, {_CONF.format('word')} AS configured FROM {_W}",
+    "arabic_variants": f"SELECT id, array_to_string(list_sort(list_distinct([word, {_NORM.format('word')}, CASE WHEN suffix(word, 'ة') THEN regexp_replace(word, 'ة$', 'ه') WHEN suffix(word, 'ه') THEN regexp_replace(word, 'ه$', 'ة') ELSE word END])), '|') AS variants FROM {_W}",
     "arabic_keywords": f"""SELECT id, array_to_string(list_transform(list_filter(list_transform({_words("query")}, lambda w: regexp_replace(w, '^[؟?!.,،؛:"''()]+|[؟?!.,،؛:"''()]+$', '', 'g')), lambda w: length(w) >= 3 AND NOT list_contains({_list(fixed.ARABIC_STOP_WORDS)}, w)),
-      lambda w: CASE WHEN starts_with(w, 'ال') AND length(w) > 4 THEN substr(w, 3) ELSE w END), '|') AS keywords FROM {sql_values([" ".join(ARABIC_WORDS), *QUERY_TEXTS], "id long, query string")}""",
-    "lang_detect": f"""WITH t AS (SELECT doc_id AS id, text AS word FROM documents UNION ALL SELECT -id - 1, word FROM {sql_values(ARABIC_WORDS, "id long, word string")}), c AS (SELECT id, {_AR} AS ar, {_LATIN} AS la, length(word) AS n FROM t)
+      lambda w: CASE WHEN starts_with(w, 'ال') AND length(w) > 4 THEN substr(w, 3) ELSE w END), '|') AS keywords FROM (SELECT * FROM {_Q} UNION ALL SELECT -id - 1, word FROM {_W})""",
+    "lang_detect": f"""WITH t AS (SELECT doc_id AS id, text AS word FROM documents UNION ALL SELECT -id - 1, word FROM {_W}), c AS (SELECT id, {_AR} AS ar, {_LATIN} AS la, length(word) AS n FROM t)
       SELECT id, CASE WHEN ar > la THEN 'ar' ELSE 'en' END AS by_letters, CASE WHEN {_share("ar", "n")} > 0.3 THEN 'ar' ELSE 'en' END AS by_ratio, CASE WHEN {_share("ar", "(ar + la)")} > 0.8 THEN 'ar' WHEN {_share("ar", "(ar + la)")} < 0.2 THEN 'en' ELSE 'mixed' END AS by_bands, {_share("ar", "(ar + la)")} > 0.5 AS is_arabic FROM c""",
     "clean_text": f"WITH c AS (SELECT doc_id, text, {_clean} AS c FROM documents) SELECT doc_id, length(c) AS length, md5(c) AS digest, round(1 - length(c) / length(text), 6) AS noise FROM c",
     "punct_density": f"SELECT doc_id, {_DENSITY} AS density, {_DENSITY} < 0.02 AND length(text) >= 100 AS unpunctuated FROM documents",
-    "entity_names": f"SELECT id, array_to_string(list_transform(string_split({_NAME}, ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ') AS normalized, trim(regexp_replace(lower(name), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS key FROM {sql_values(NAMES, 'id long, name string')}",
-    "rel_type_norm": f"""WITH c AS (SELECT id, trim(type) AS o, regexp_replace(lower(trim(type)), '[ -]', '_', 'g') AS c FROM {sql_values(RELATIONS, "id long, type string")}),
+    "entity_names": f"SELECT id, array_to_string(list_transform(string_split({_NAME}, ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ') AS normalized, trim(regexp_replace(lower(name), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS key FROM {NAMES_SQL}",
+    "rel_type_norm": f"""WITH c AS (SELECT id, trim(type) AS o, regexp_replace(lower(trim(type)), '[ -]', '_', 'g') AS c FROM (SELECT event_id AS id, CASE WHEN event_id % 13 = 12 THEN event_type ELSE {_turn_of(RELATIONS, 'event_id')} END AS type FROM events)),
       f AS (SELECT id, CASE WHEN regexp_matches(o, '[{text.ARABIC}]') THEN {_case("c", fixed.ARABIC_RELATIONS, "c")} ELSE {_case("c", fixed.ENGLISH_RELATIONS, "c")} END AS f FROM c), k AS (SELECT id, {_case("f", fixed.ENGLISH_RELATIONS, "f")} AS kind FROM f),
       l AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(upper(kind), '[^A-Z0-9_]+', '_', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g') AS l FROM k)
       SELECT id, kind, {_case("kind", {t: c for c, ts in fixed.RELATION_CATEGORIES.items() for t in ts}, "'other'")} AS category, CAST({_case("kind", fixed.RELATION_CONFIDENCE, "0.6")} AS DOUBLE) AS confidence, list_contains({_list(fixed.BOTH_WAYS)}, kind) AS both_ways, CASE l WHEN '' THEN 'RELATED_TO' ELSE l END AS label FROM l""",
@@ -329,15 +373,15 @@ ORACLE_SQL = {
       CAST(CASE WHEN {_LOCAL} > {_BROAD} THEN 0.8 WHEN {_BROAD} > {_LOCAL} THEN 0.2 ELSE 0.5 END AS DOUBLE) AS low_weight, array_to_string({_terms("query")}, '|') AS terms FROM {_Q}""",
     "decompose_queries": f"""WITH p AS (SELECT id, CASE WHEN regexp_matches(lower(query), '^compare ') THEN string_split(regexp_replace(query, '(?i)^compare ', ''), ' and ') ELSE regexp_split_to_array(query, ' and | و |;') END AS parts FROM {_Q})
       SELECT id, CAST(unnest(range(len(parts))) AS BIGINT) AS part, trim(unnest(parts)) AS sub_query FROM p""",
-    "map_responses": f"""WITH p AS (SELECT id, reply, CASE WHEN starts_with(reply, '{{') THEN reply END AS j FROM {sql_values(MAP_ANSWERS, "id long, reply string")})
+    "map_responses": f"""WITH p AS (SELECT id, reply, CASE WHEN starts_with(reply, '{{') THEN reply END AS j FROM {_REPLY})
       SELECT id, round(CASE WHEN j IS NOT NULL THEN greatest(0, least(1, CAST(j ->> 'score' AS DOUBLE) / 100)) WHEN regexp_extract(reply, 'Relevance: *(\\d+)', 1) <> '' THEN CAST(regexp_extract(reply, 'Relevance: *(\\d+)', 1) AS DOUBLE) / 100 ELSE 0.1 END, 6) AS score,
       coalesce(j ->> 'answer', regexp_extract(reply, 'Answer: *([^\\n]*)', 1)) AS answer, CAST(least(coalesce(json_array_length(j, 'points'), 0), 3) AS BIGINT) AS points FROM p""",
     "cleaned_answers": f"WITH c AS (SELECT id, trim(regexp_replace(regexp_replace(answer, '\\[\\d+\\]', '', 'g'), '\\s+([.,])', '\\1', 'g')) AS clean FROM {_A}) SELECT id, clean, clean = '' AS empty FROM c",
     "themes": f"SELECT doc_id, array_to_string(({_THEMES})[1:5], '|') AS themes, len(({_THEMES})[1:5]) AS n FROM documents",
     "token_counts": "SELECT doc_id, CAST(floor(length(text) / 4) AS BIGINT) AS tokens FROM documents",
     "context_budget": "WITH j AS (SELECT conv_id, string_agg('[' || (turn + 1) || '] ' || text, chr(10) ORDER BY turn, text) AS c FROM conversations GROUP BY conv_id), o AS (SELECT conv_id, CASE WHEN length(c) > 4000 THEN substr(c, 1, 4000) || '...' ELSE c END AS c FROM j) SELECT conv_id, length(c) AS length, md5(c) AS digest FROM o",
-    "log_levels": f"SELECT id, CASE WHEN regexp_matches(upper(line), 'ERROR|CRITICAL') THEN 'error' WHEN regexp_matches(upper(line), 'WARN') THEN 'warning' WHEN regexp_matches(upper(line), 'DEBUG') THEN 'debug' ELSE 'info' END AS level FROM {sql_values(LOG_LINES, 'id long, line string')}",
-    "url_ids": f"SELECT id, coalesce(nullif(regexp_extract(url, '(?:v=|embed/)([A-Za-z0-9_-]{{11}})', 1), ''), nullif(regexp_extract(url, 'youtu\\.be/([A-Za-z0-9_-]{{11}})', 1), '')) AS video FROM {sql_values(URLS, 'id long, url string')}",
+    "log_levels": f"SELECT id, CASE WHEN regexp_matches(upper(line), 'ERROR|CRITICAL') THEN 'error' WHEN regexp_matches(upper(line), 'WARN') THEN 'warning' WHEN regexp_matches(upper(line), 'DEBUG') THEN 'debug' ELSE 'info' END AS level FROM (SELECT event_id AS id, concat_ws(' ', CASE WHEN value > 450 THEN 'WARNING: slow' WHEN event_id % 7 = 0 THEN 'debug' END, event_type, props) AS line FROM events)",
+    "url_ids": f"SELECT id, coalesce(nullif(regexp_extract(url, '(?:v=|embed/)([A-Za-z0-9_-]{{11}})', 1), ''), nullif(regexp_extract(url, 'youtu\\.be/([A-Za-z0-9_-]{{11}})', 1), '')) AS video FROM (SELECT page_id AS id, CASE page_id % 4 WHEN 0 THEN 'https://www.youtube.com/watch?v=' || substr(md5(url), 1, 11) || '&t=1' WHEN 1 THEN 'https://youtu.be/' || substr(md5(url), 1, 11) WHEN 2 THEN 'https://www.youtube.com/embed/' || substr(md5(url), 1, 11) ELSE url END AS url FROM pages)",
     "json_flatten": f"WITH e AS (SELECT event_id, unnest(json_keys(props)) AS path, props FROM events) SELECT event_id, path || ': ' || (props ->> path) AS line FROM e WHERE len(list_filter({_list(fixed.JSON_SKIP)}, lambda s: contains(lower(path), s))) = 0",
     "summary_validation": f"""WITH c AS (SELECT id, answer, {_terms("answer", 2)} AS a, {_terms("truth", 2)} AS t FROM {_A}), f AS (SELECT id, answer, {_share(_inter("a", "t"), "len(a)")} AS faith, least(1, 2 * {_share(_inter("a", "t"), "len(t)")}) AS coverage FROM c)
       SELECT id, round(faith, 6) AS faithfulness, round(coverage, 6) AS coverage, round(0.5 * faith + 0.3 * CASE WHEN regexp_matches(answer, '\\[\\d+\\]') THEN 1 ELSE 0 END + 0.2 * coverage, 6) AS overall FROM f""",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vector
 from tessera.operators import vectors as op
+from tessera.operators.vector_index import VectorIndex
 from tessera.sources.tables import table, vectors, with_
 
 #: The stated query set: these rows' vectors are asked of all rows.
@@ -17,13 +18,16 @@ _V = with_("vectors") + ", " + _Q
 
 
 def _queries(index: DataFrame) -> DataFrame:
-    return index.where(QUERIES_ARE).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("label").alias("q_label"))
+    return index.where(QUERIES_ARE)
 
 
-def _top(spark, sf, similarity, where="vec_id != query_id", threshold=None, k=K):
+def _top(spark, sf, measure, threshold=None, k=K, same_label=False):
     index = vectors(spark, sf)
-    rows = op.scored(index, _queries(index), similarity).where(where)
-    return op.top_k(rows, k, threshold=threshold)
+    return op.nearest(_queries(index), index, k, measure, threshold, same_label)
+
+
+def _with_vectors(found: DataFrame, index: DataFrame) -> DataFrame:
+    return found.join(index.select("vec_id", "v"), "vec_id")
 
 
 def _top_sql(score: str, where: str = "vec_id != query_id", threshold: float | None = None, k: int = K) -> str:
@@ -38,24 +42,24 @@ _PICK = "SELECT query_id, vec_id, score, rank FROM ("
 
 
 def vec_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return _top(spark, sf, vector.cosine).select(*_KEEP)
+    return _top(spark, sf, "cosine").select(*_KEEP)
 
 
 def vec_topk_filtered(spark: SparkSession, sf: str) -> DataFrame:
-    return _top(spark, sf, vector.cosine, "vec_id != query_id and label = q_label", 0.1).select(*_KEEP)
+    return _top(spark, sf, "cosine", 0.1, same_label=True).select(*_KEEP)
 
 
 def vec_dot_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return _top(spark, sf, vector.dot).select(*_KEEP)
+    return _top(spark, sf, "dot").select(*_KEEP)
 
 
 def vec_euclid_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return _top(spark, sf, vector.negative_distance).select(*_KEEP)
+    return _top(spark, sf, "euclid").select(*_KEEP)
 
 
 def entity_knn(spark: SparkSession, sf: str) -> DataFrame:
-    """Neighbours with explicit norms, a vector without length left out."""
-    return _top(spark, sf, lambda a, b: vector.dot(a, b) / F.nullif(vector.norm(a) * vector.norm(b), F.lit(0.0)), "vec_id != query_id", 0.2, 5).select(*_KEEP)
+    """Neighbours of 0.2 or more, a vector without length left out."""
+    return _top(spark, sf, "cosine", 0.2, 5).select(*_KEEP)
 
 
 def sim_join_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -80,17 +84,23 @@ def emb_mean(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def emb_diversity(spark: SparkSession, sf: str) -> DataFrame:
-    return op.diversity(_top(spark, sf, vector.cosine))
+    return op.diversity(_with_vectors(_top(spark, sf, "cosine"), vectors(spark, sf)))
 
 
 def relevance_rescaled(spark: SparkSession, sf: str) -> DataFrame:
-    index = vectors(spark, sf)
-    rows = op.scored(index, _queries(index)).where("vec_id != query_id")
-    return rows.groupBy("query_id").agg(F.round(F.max(vector.relevance(F.col("score"))), 6).alias("best"), F.round(F.min(vector.relevance(F.col("score"))), 6).alias("worst"))
+    """The most and the least relevant vector of each query: the nearest and the farthest."""
+    best, worst = (_top(spark, sf, m, k=1).select("query_id", F.col("score").alias(m)) for m in ("cosine", "opposite"))
+    return best.join(worst, "query_id").select("query_id", F.round(vector.relevance(F.col("cosine")), 6).alias("best"), F.round(vector.relevance(-F.col("opposite")), 6).alias("worst"))
 
 
 def mmr(spark: SparkSession, sf: str) -> DataFrame:
-    return op.mmr(_top(spark, sf, vector.cosine, k=30), 10)
+    return op.mmr(_with_vectors(_top(spark, sf, "cosine", k=30), vectors(spark, sf)), 10)
+
+
+def vec_index_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """vec_topk through the inverted lists, exactly."""
+    index = vectors(spark, sf)
+    return VectorIndex(index).search(_queries(index), K, exact=True).withColumnsRenamed({"source": "query_id", "target": "vec_id"}).select(*_KEEP)
 
 
 def hashed_embed_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -125,7 +135,7 @@ def collection_stats(spark: SparkSession, sf: str) -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("source").alias("documents"), F.round(F.avg("n_chars"), 4).alias("avg_size"))
 
 
-QUERIES = {f.__name__: f for f in (vec_topk, vec_topk_filtered, vec_dot_topk, vec_euclid_topk, entity_knn, sim_join_topk, emb_normalized, emb_combine, emb_mean, emb_diversity, relevance_rescaled, mmr, hashed_embed_topk, vector_scroll, vector_upsert, collection_stats)}
+QUERIES = {f.__name__: f for f in (vec_topk, vec_topk_filtered, vec_dot_topk, vec_euclid_topk, entity_knn, sim_join_topk, emb_normalized, emb_combine, emb_mean, emb_diversity, relevance_rescaled, mmr, vec_index_topk, hashed_embed_topk, vector_scroll, vector_upsert, collection_stats)}
 
 _NORM = "sqrt(list_sum(list_transform({0}, lambda x: x * x)))"
 _BLEND = "list_transform(list_zip(a.v, b.v), lambda p: p[1] * 0.7 + p[2] * 0.3)"
@@ -133,6 +143,7 @@ _HASHED = "list_transform(range(64), lambda i: CAST(len(list_filter({0}, lambda
 
 ORACLE_SQL = {
     "vec_topk": f"{_PICK}{_top_sql(_COS)})",
+    "vec_index_topk": f"{_PICK}{_top_sql(_COS)})",
     "vec_topk_filtered": f"{_PICK}{_top_sql(_COS, 'vec_id != query_id AND label = q_label', 0.1)})",
     "vec_dot_topk": f"{_PICK}{_top_sql('list_inner_product(v, q)')})",
     "vec_euclid_topk": f"{_PICK}{_top_sql('-list_distance(v, q)')})",

@@ -1,24 +1,34 @@
-"""Cutting the lineage of iterative plans in the folder that all executors share."""
+"""The folder that all executors share, where iterative plans cut their lineage."""
 
 from __future__ import annotations
 
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where that is unset, a local session gets one of its own; elsewhere it is an error."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, at, True)
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in spark.checkpoint.dir. Where that is unset, a local session gets a folder of its own; elsewhere it is an error."""
+    """df written to the shared folder and read back: its lineage ends, and a lost executor costs no recomputation.
+
+    A table rather than a checkpoint, as checkpoints hand on what the planner knew of the rows, which grows from round to round until
+    planning takes longer than the work; and the size of a table is known, so small ones are sent instead of shuffled.
+    """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        at = spark.conf.get("spark.checkpoint.dir", None)
-        if not at:
-            if not sc.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            at = tempfile.mkdtemp(prefix="tessera-")
-            atexit.register(shutil.rmtree, at, True)
-        sc.setCheckpointDir(at)
-    return df.checkpoint()
+    path = f"{shared_dir(spark)}/tessera/cut-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -47,6 +47,22 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("chunk_id"), F.col("o_custkey").alias("document_id"))
 
 
+def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """name: what pages call the pages they link to, of four letters or more, and the first three words of each sentence of the benchmark."""
+    label = table(spark, sf_dir, "pages").select(F.explode(F.regexp_extract_all("html", F.lit(LABEL), F.lit(1))).alias("name")).where("length(name) >= 4")
+    opening = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(OPENING), F.lit(1))).alias("name"))
+    return label.unionByName(opening).distinct()
+
+
+def texts_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """kind, text_id, text: all documents, turns of conversations (1,000 places each) and benchmark items."""
+    d, c, b = (table(spark, sf_dir, t) for t in ("documents", "conversations", "benchmark"))
+    rows = (d.select(F.lit("document").alias("kind"), F.col("doc_id").alias("text_id"), "text"), c.select(F.lit("turn"), F.col("conv_id") * 1000 + F.col("turn"), "text"), b.select(F.lit("item"), "item_id", "text"))
+    return rows[0].union(rows[1]).union(rows[2])
+
+
+LABEL = r'<a href="[^"]*">([^<]+)</a>'
+OPENING = r"(?:^|[.] )([A-Za-z]+ [a-z]+ [a-z]+)"
 #: The same derivations in SQL, as common table expressions by name.
 SQL = {
     "vectors": "SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, CAST(label AS BIGINT) AS label FROM embeddings",
@@ -54,6 +70,8 @@ SQL = {
     "mentions": "SELECT l_orderkey AS chunk_id, l_partkey AS entity, round(max(1 - l_discount), 6) AS confidence FROM lineitem GROUP BY ALL",
     "entities": "SELECT p_partkey AS entity, p_name AS name, p_type AS type, round(p_retailprice / 2100, 6) AS confidence, CASE WHEN p_size > 40 THEN 'high' WHEN p_size > 20 THEN 'medium' ELSE 'low' END AS importance FROM part",
     "edges": "SELECT -l_suppkey - 1 AS a, l_partkey AS b, count(*) AS weight FROM lineitem GROUP BY ALL",
+    "gazetteer": f"SELECT DISTINCT name FROM (SELECT unnest(regexp_extract_all(html, '{LABEL}', 1)) AS name FROM pages) WHERE length(name) >= 4 UNION SELECT unnest(regexp_extract_all(text, '{OPENING}', 1)) FROM benchmark",
+    "texts_asked": "SELECT 'document' AS kind, doc_id AS text_id, text FROM documents UNION ALL SELECT 'turn', conv_id * 1000 + turn, text FROM conversations UNION ALL SELECT 'item', item_id, text FROM benchmark",
     "chunk_documents": "SELECT o_orderkey AS chunk_id, o_custkey AS document_id FROM orders",
 }
 
