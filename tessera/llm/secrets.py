@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re._constants as node
 import re._parser as parser
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import product
 
@@ -137,6 +138,34 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return met.where("held = needed").groupBy("doc_id", "text_key").agg(F.collect_set("kind").alias("kinds"))
 
 
+#: Items of an array that are added up one by one; longer arrays are taken in pieces, as each step copies what it has so far.
+PIECE = 256
+
+
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _in_pieces(items: Column, first: Column, total: Callable[[Column], Column], add: Callable[[Column, Column], Column], run: Callable[[Column, Column], Column]) -> Column:
+    """run(piece, state before it) of each PIECE items of an array; states follow each other by add(state, total(piece)).
+
+    So nothing grows with the square of the array but the states, of which there are PIECE times fewer.
+    """
+
+    def worked(every: Column) -> Column:
+        pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(every) - 1) / PIECE).cast("int")), lambda i: F.slice(every, i * PIECE + 1, PIECE))
+
+        def stated(cut: Column) -> Column:
+            start = F.struct(first.alias("at"), F.array().cast("array<int>").alias("states"))
+            states = F.aggregate(F.transform(cut, total), start, lambda acc, t: F.struct(add(acc.at, t).alias("at"), F.concat(acc.states, F.array(acc.at)).alias("states")), lambda acc: acc.states)
+            return F.zip_with(cut, states, run)
+
+        return _with(pieces, stated)
+
+    return F.when(F.size(items) > 0, _with(items, worked))
+
+
 def _spans(rule: Rule, number: int) -> Column:
     """array<struct<at, kind, upto>> of the rule's leftmost non-overlapping matches in `text`, in code points.
 
@@ -147,7 +176,6 @@ def _spans(rule: Rule, number: int) -> Column:
     sizes = F.zip_with(match, part, lambda m, p: F.struct(F.length(m).alias("n"), F.length(p).alias("p")))
     pieces = F.zip_with(F.transform(F.split("text", rule.pattern, -1), lambda x: F.length(x)), sizes, lambda gap, m: F.struct(gap.alias("gap"), m.n.alias("n"), m.p.alias("p")))
     span = "array<struct<at:int,kind:int,upto:int>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("out"))
 
     def step(acc, x):
         at = acc.at + x.gap
@@ -155,7 +183,9 @@ def _spans(rule: Rule, number: int) -> Column:
         kept = F.when(x.p >= rule.least, F.concat(acc.out, F.array(F.struct(at.alias("at"), F.lit(number).alias("kind"), upto.alias("upto"))))).otherwise(acc.out)
         return F.struct(upto.alias("at"), kept.alias("out"))
 
-    return F.aggregate(pieces, start, step, lambda acc: acc.out)
+    length = lambda piece: F.aggregate(piece, F.lit(0), lambda n, x: n + x.gap + F.coalesce(x.n, F.lit(0)))
+    placed = lambda piece, at: F.aggregate(piece, F.struct(at.alias("at"), F.array().cast(span).alias("out")), step, lambda acc: acc.out)
+    return F.flatten(_in_pieces(pieces, F.lit(0), length, lambda at, n: at + n, placed))
 
 
 def _quick(rule: Rule) -> Column:
@@ -195,18 +225,18 @@ def mask(text: Column, spans: Column, by: str = "*") -> Column:
     """
 
     def masked(letters: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
         def step(acc, s):
             low = F.greatest(s.at, acc.at)
             n = F.greatest(s.upto - low, F.lit(0))
-            pieces = F.array(F.array_join(F.slice(letters, acc.at + 1, low - acc.at), ""), F.repeat(F.lit(by), n))
+            pieces = F.array(F.array_join(F.slice(letters, acc.at + 1, F.greatest(low - acc.at, F.lit(0))), ""), F.repeat(F.lit(by), n))
             return F.struct(F.greatest(s.upto, acc.at).alias("at"), F.when(n > 0, F.concat(acc.out, pieces)).otherwise(acc.out).alias("out"))
 
-        rest = lambda acc: F.array_join(F.slice(letters, acc.at + 1, F.greatest(F.size(letters) - acc.at, F.lit(0))), "")
-        return F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc.out, ""), rest(acc)))
+        start = lambda at: F.struct(at.alias("at"), F.array().cast("array<string>").alias("out"))
+        joined = _in_pieces(spans, F.lit(0), lambda piece: F.array_max(F.transform(piece, lambda s: s.upto)), F.greatest, lambda piece, at: F.aggregate(piece, start(at), step, lambda acc: F.array_join(acc.out, "")))
+        end = F.array_max(F.transform(spans, lambda s: s.upto))
+        return F.concat(F.array_join(joined, ""), F.array_join(F.slice(letters, end + 1, F.greatest(F.size(letters) - end, F.lit(0))), ""))
 
-    return F.when(F.size(spans) == 0, text).otherwise(F.get(F.transform(F.array(F.split(text, "")), masked), F.lit(0)))
+    return F.when(F.size(spans) == 0, text).otherwise(_with(F.split(text, ""), masked))
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
