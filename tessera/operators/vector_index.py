@@ -97,6 +97,8 @@ class VectorIndex:
         By probing, of the `probes` lists nearest to the query. Exact, in a second step also of all lists that by the triangle
         inequality can hold one as near as the kth found; the rest are not looked at. Any number of queries; those without length find nothing.
         """
+        if not np.isfinite(self.radius).any():  # an empty index
+            return queries.sparkSession.createDataFrame([], "source long, target long, score double, rank long")
         asked = queries.select("vec_id", "v").where("v is not null").where(F.exists("v", lambda x: x != 0))
         first = self._found(self._visits(asked, probes, False), k)
         if not exact:
