@@ -99,3 +99,27 @@ QUESTION_STOP_WORDS = ["ما", "هي", "هو", "من", "في", "على", "إلى
 SPECIFIC_MARKS = ["2030", "2024", "2025", "%", "٪", "مليون", "مليار", "million", "billion"]
 #: The Unicode blocks of Arabic letters, as a regular expression's class.
 ARABIC_BLOCKS = r"[\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}]"
+
+# Typed patterns of entities, by language and type; matched without regard to case. An Arabic head is followed by a run of
+# Arabic words (OPEN), by one word (ONE) or by two.
+OPEN, ONE = r"\s+[\x{0600}-\x{06FF}\s]+", r"\s+[\x{0600}-\x{06FF}]+"
+ARABIC_HEADS = {
+    "Organization": ["وزارة", "هيئة", "مؤسسة", "شركة", "جامعة", "بنك", "مركز", "معهد"],
+    "Program": ["برنامج", "مبادرة", "مشروع", "خطة", "استراتيجية"],
+    "Award": ["جائزة", "وسام", "تكريم"],
+    "Event": ["مؤتمر", "قمة", "منتدى", "ملتقى", "معرض"],
+    "Person": ["الأمير", "الشيخ", "الدكتور", "المهندس", "الأستاذ", "سمو", "معالي"],
+}
+ARABIC_PLACES = ["مدينة", "منطقة", "محافظة"]
+ARABIC_TECHNOLOGY = [r"الذكاء\s+الاصطناعي", r"التعلم\s+الآلي", r"البيانات\s+الضخمة", r"الحوسبة\s+السحابية", r"سلسلة\s+الكتل", r"إنترنت\s+الأشياء"]
+ENTITY_PATTERNS = {
+    "ar": {kind: [head + OPEN for head in heads] for kind, heads in ARABIC_HEADS.items()} | {"Location": [head + ONE for head in ARABIC_PLACES], "Technology": ARABIC_TECHNOLOGY},
+    "en": {
+        "Organization": [r"Ministry of \w+", r"Department of \w+", r"\w+ Authority", r"\w+ Corporation", r"\w+ Foundation", r"\w+ Institute", r"\w+ University", r"\w+ Center", r"\w+ Bank"],
+        "Program": [r"\w+ Program", r"\w+ Initiative", r"\w+ Project", r"\w+ Strategy", r"Vision \d{4}"],
+        "Event": [r"\w+ Conference", r"\w+ Summit", r"\w+ Forum", r"\w+ Exhibition"],
+        "Technology": ["Artificial Intelligence|AI", "Machine Learning|ML", "Big Data", "Cloud Computing", "Blockchain", "Internet of Things|IoT", "Digital Transformation"],
+    },
+}
+ENTITY_PATTERNS["ar"]["Organization"] += ["المركز" + ONE + ONE, "الهيئة" + ONE + ONE]
+ENTITY_PATTERNS["ar"]["Program"] += [r"رؤية\s+\d{4}"]

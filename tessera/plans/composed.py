@@ -100,7 +100,7 @@ def set_operations(spark: SparkSession, sf: str) -> DataFrame:
 
 def undirected_relations(spark: SparkSession, sf: str) -> DataFrame:
     """Relations by their two ends in either order and type: the first stays, as it was written."""
-    li = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 50).alias("source"), (F.col("l_partkey") % 50).alias("target"), F.col("l_returnflag").alias("type"), "l_orderkey", "l_linenumber")
+    li = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target"), F.col("l_returnflag").alias("type"), "l_orderkey", "l_linenumber")
     first = F.min(F.struct("l_orderkey", "l_linenumber", "source", "target")).alias("r")
     return li.groupBy(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), "type").agg(first, F.count(F.lit(1)).alias("n")).select("r.source", "r.target", "type", "n")
 
@@ -202,7 +202,7 @@ ORACLE_SQL = {
       SELECT *, round(avg(score) OVER (PARTITION BY query_id), 6) AS confidence FROM g""",
     "set_operations": f"""{with_("mentions")}, r AS (SELECT entity, o_orderstatus AS s FROM mentions JOIN orders ON o_orderkey = chunk_id), f AS (SELECT entity FROM r WHERE s = 'F'), o AS (SELECT entity FROM r WHERE s = 'O')
       SELECT 'intersect' AS kind, entity FROM (FROM f INTERSECT FROM o) UNION ALL SELECT 'except', entity FROM (FROM f EXCEPT FROM o) UNION ALL SELECT 'except_all', entity FROM (FROM f EXCEPT ALL FROM o)""",
-    "undirected_relations": "WITH r AS (SELECT l_suppkey % 50 AS source, l_partkey % 50 AS target, l_returnflag AS type, l_orderkey AS o, l_linenumber AS l FROM lineitem) SELECT arg_min(source, (o, l, source, target)) AS source, arg_min(target, (o, l, source, target)) AS target, type, count(*) AS n FROM r GROUP BY least(source, target), greatest(source, target), type",
+    "undirected_relations": "WITH r AS (SELECT l_suppkey AS source, l_partkey AS target, l_returnflag AS type, l_orderkey AS o, l_linenumber AS l FROM lineitem) SELECT arg_min(source, (o, l, source, target)) AS source, arg_min(target, (o, l, source, target)) AS target, type, count(*) AS n FROM r GROUP BY least(source, target), greatest(source, target), type",
     "benchmark_score": f"""WITH p AS (SELECT a.conv_id, a.turn, a.text AS question, b.text AS answer FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
       w AS (SELECT *, {_BENCH.format("question")} AS q, {_BENCH.format("answer")} AS a, list_distinct(regexp_extract_all(question, '[A-Z][a-z]+')) AS e, least(length(answer) / 500, 1) AS l FROM p),
       s AS (SELECT *, CASE WHEN len(q) > 0 THEN least(len(list_intersect(q, a)) / len(q) * 1.5, 1) ELSE 0 END AS o, CASE WHEN len(e) > 0 THEN len(list_filter(e, lambda x: contains(lower(answer), lower(x)))) / len(e) ELSE l END AS c, len(list_filter({_list(fixed.SPECIFIC_MARKS)}, lambda x: contains(answer, x))) / {len(fixed.SPECIFIC_MARKS)} AS i FROM w),

@@ -21,6 +21,7 @@ QUERY_TEXTS = [
     "Who is the president of the company?", "compare A and B", "relationship between X and Y", "overview of the project", "why did sales fall last year",
     "summarize all documents", "ما هي الموضوعات الرئيسية", "العلاقة بين المدير والشركة", "short query", "list the products sold in March", "من هو الفائز بالجائزة", "how does this differ from that",
 ]
+NAMINGS = ["وزارة المالية والاقتصاد", "Ministry of Health", "رؤية 2030", "the National Bank", "جائزة الملك فيصل", "a Tourism Strategy", "مدينة جدة الساحلية", "Vision 2030", "الذكاء  الاصطناعي", "the Davos forum", "الدكتور أحمد", "cloud computing and IoT", "المركز الوطني للبحوث"]
 MENTION_PATTERNS = {"Email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[a-z]{2,}", "Phone": r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}", "Money": r"\$[0-9]+(?:\.[0-9]+)?", "Date": "[0-9]{4}-[0-9]{2}-[0-9]{2}"}
 
 
@@ -132,6 +133,18 @@ def _typed(kind: str):
     return lambda m: F.struct(F.lit(kind).alias("type"), m.alias("mention"))
 
 
+def named(spark: SparkSession, sf: str) -> DataFrame:
+    """id, language, text: every turn behind a naming of an entity, in turn in Arabic and English."""
+    return _turns(spark, sf).select("id", F.when(F.col("id") % 2 == 0, "ar").otherwise("en").alias("language"), F.concat(turn_of(NAMINGS, "id"), F.lit(". "), "text").alias("text"))
+
+
+def typed_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """All typed patterns of the text's language over every turn: each distinct mention of two characters or more, confidence 0.65."""
+    found = {language: F.flatten(F.array(*(F.transform(F.regexp_extract_all("text", F.lit(f"(?i){p}"), F.lit(0)), _typed(kind)) for kind, ps in kinds.items() for p in ps))) for language, kinds in fixed.ENTITY_PATTERNS.items()}
+    rows = named(spark, sf).select("id", F.inline(F.when(F.col("language") == "ar", found["ar"]).otherwise(found["en"])))
+    return rows.select("id", "type", F.trim(F.regexp_replace("mention", r"\s+", " ")).alias("mention")).where("length(mention) >= 2").distinct().withColumn("confidence", F.lit(0.65))
+
+
 def citations(spark: SparkSession, sf: str) -> DataFrame:
     """Numbers in brackets, how many of them exist, and the share (0.5 without any); completeness by citation and length."""
     cited = F.transform(F.regexp_extract_all("answer", F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: x.cast("long"))
@@ -249,7 +262,7 @@ def url_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def json_flatten(spark: SparkSession, sf: str) -> DataFrame:
-    """Paths and values of each event's JSON; keys with a skipped fragment and short strings are left out."""
+    """Paths and values of each event's JSON; keys with a skipped fragment are left out."""
     rows = table(spark, sf, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("path", "value"))
     skip = F.exists(F.array(*map(F.lit, fixed.JSON_SKIP)), lambda s: F.contains(F.lower("path"), s))
     return rows.where(~skip).select("event_id", F.concat_ws(": ", "path", "value").alias("line"))
@@ -273,7 +286,7 @@ def context_pr(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("id", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(F.least(F.lit(1.0), r * 1.5), 6).alias("relevancy"), F.round(0.4 * r + 0.3 * p + 0.3 * F.least(F.length("answer") / 100.0, F.lit(1.0)), 6).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (arabic_norm, arabic_variants, arabic_keywords, lang_detect, clean_text, punct_density, entity_names, rel_type_norm, character_jaccard, key_terms, entity_phrases, pattern_ner, citations, semantic_overlap, faithfulness_rules, relevance_grade, route_queries, route_conversations, intent_complexity, decompose_queries, map_responses, cleaned_answers, themes, token_counts, context_budget, log_levels, url_ids, json_flatten, summary_validation, context_pr)}
+QUERIES = {f.__name__: f for f in (typed_entities, arabic_norm, arabic_variants, arabic_keywords, lang_detect, clean_text, punct_density, entity_names, rel_type_norm, character_jaccard, key_terms, entity_phrases, pattern_ner, citations, semantic_overlap, faithfulness_rules, relevance_grade, route_queries, route_conversations, intent_complexity, decompose_queries, map_responses, cleaned_answers, themes, token_counts, context_budget, log_levels, url_ids, json_flatten, summary_validation, context_pr)}
 
 
 def _list(xs: list[str]) -> str:
@@ -360,6 +373,9 @@ ORACLE_SQL = {
     "key_terms": f"WITH t AS (SELECT doc_id, {_terms('text')} AS t FROM documents) SELECT doc_id, len(t) AS n, array_to_string(t[1:5], '|') AS first FROM t",
     "entity_phrases": "SELECT item_id, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)+'), regexp_extract_all(text, '[A-Z]{2,}'), regexp_extract_all(text, '20[0-9]{2}')))), '|') AS phrases FROM benchmark",
     "pattern_ner": " UNION ALL ".join(f"SELECT DISTINCT doc_id, '{t}' AS type, unnest(regexp_extract_all(text, '{p}')) AS mention, 0.65::DOUBLE AS confidence FROM documents" for t, p in MENTION_PATTERNS.items()),
+    "typed_entities": f"WITH t AS (SELECT id, id % 2 AS odd, {_turn_of(NAMINGS, 'id')} || '. ' || text AS text FROM {_T}), m AS ("
+    + " UNION ALL ".join(f"SELECT id, '{kind}' AS type, unnest(regexp_extract_all(text, '(?i){p}')) AS mention FROM t WHERE odd = {i}" for i, kinds in enumerate(fixed.ENTITY_PATTERNS.values()) for kind, ps in kinds.items() for p in ps)
+    + "), d AS (SELECT DISTINCT id, type, trim(regexp_replace(mention, '\\s+', ' ', 'g')) AS mention FROM m) SELECT *, 0.65::DOUBLE AS confidence FROM d WHERE length(mention) >= 2",
     "citations": f"""WITH c AS (SELECT *, list_transform(regexp_extract_all(answer, '\\[(\\d+)\\]', 1), lambda x: CAST(x AS BIGINT)) AS cited FROM {_A})
       SELECT id, len(cited) AS n, round(CASE WHEN len(cited) > 0 THEN len(list_filter(cited, lambda x: x >= 1 AND x <= sources)) / len(cited) ELSE 0.5 END, 6) AS accuracy, round(0.5 * CASE WHEN len(cited) > 0 THEN 1.0 ELSE 0.3 END + 0.5 * least(len({_words("answer")}) / 50, 1), 6) AS completeness FROM c""",
     "semantic_overlap": f"WITH p AS (SELECT a.conv_id, a.turn, {_terms('a.text')} AS x, {_terms('b.text')} AS y {_PAIRS}) SELECT conv_id, turn, round_even(0.4 * {_share(_inter('x', 'y'), _union('x', 'y'))} + 0.6 * {_share(_inter('x', 'y'), 'len(x)')}, 3) AS score FROM p",

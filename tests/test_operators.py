@@ -6,6 +6,8 @@ import math
 import random
 
 import numpy as np
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tessera.operators import chunking, fusion, graph, modes, vectors
@@ -146,13 +148,19 @@ def test_similar_pairs_in_every_partitioning(spark):
 
 def test_dispatch_gives_way_to_the_alternative_and_to_vector(spark):
     ids = lambda n: spark.range(n).select(F.col("id").alias("chunk_id"))
-    known = {"vector": lambda k: ids(k), "broken": lambda k: ids(k).select("no_such_column"), "local": lambda k: ids(2)}
+
+    def broken(k):
+        raise modes.ModeUnavailable("no index")
+
+    known = {"vector": lambda k: ids(k), "broken": broken, "wrong": lambda k: ids(k).select("no_such_column"), "local": lambda k: ids(2)}
     used = lambda *a: [r.used for r in modes.dispatch(known, *a).select("used").distinct().collect()]
     assert used("local") == ["local"]
     assert used("broken") == ["vector"]
     assert used("drift") == ["vector"]
     assert used("broken", None, ("local", "vector")) == ["local"]
     assert used("bypass") == []
+    with pytest.raises(AnalysisException):  # a bug is no reason to answer in another mode
+        used("wrong")
     assert modes.dispatch(known, "vector", 500).count() == modes.MOST_K
     assert modes.dispatch(known, "vector").count() == modes.DEFAULT_K
 
