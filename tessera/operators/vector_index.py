@@ -58,7 +58,7 @@ class VectorIndex:
 
     def _found(self, visits: DataFrame, k: int) -> DataFrame:
         """source, target, score: each visit's (vec_id, v, list) k best in each piece of the list."""
-        asked = visits.withColumn("piece", F.explode(F.sequence(F.lit(0), self.pieces - 1)))
+        asked = visits.select(*(F.col(c).alias(c) for c in visits.columns)).withColumn("piece", F.explode(F.sequence(F.lit(0), self.pieces - 1)))
         return asked.groupBy("list", "piece").cogroup(self.rows.groupBy("list", "piece")).applyInPandas(_best(k, None, "cosine", False), "source long, target long, score double")
 
     @staticmethod

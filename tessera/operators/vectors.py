@@ -115,7 +115,8 @@ def top_k_blocks(queries: DataFrame, index: DataFrame, k: int, threshold: float
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     columns = ["vec_id", "v", *(["label"] if same_label else [])]
     left = queries.select(*columns, own(rows).alias("block"), every(cols).alias("other"))
-    right = index.select(*columns, own(cols).alias("other"), every(rows).alias("block"))
+    # aliases make the right side's columns its own where both sides come of one table
+    right = index.select(*(F.col(c).alias(c) for c in columns), own(cols).alias("other"), every(rows).alias("block"))
 
     pairs = left.groupBy("block", "other").cogroup(right.groupBy("block", "other")).applyInPandas(_best(k, threshold, measure, same_label), "source long, target long, score double")
     w = Window.partitionBy("source").orderBy(F.desc("score"), "target")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +51,15 @@ def _cut(strategy):
     return run
 
 
+def chunk_by_content(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document cut by the strategy of its content's type: sources stand in turn for videos, web pages, PDF files and policies."""
+    kinds = list(chunking.BY_CONTENT)
+    kind = F.get(F.array(*map(F.lit, kinds)), (F.pmod(F.xxhash64("source"), F.lit(len(kinds)))).cast("int"))
+    docs = table(spark, sf, "documents").select("doc_id", "text", kind.alias("kind"))
+    parts = [chunking.chunks(docs.where(F.col("kind") == k).select("doc_id", "text"), k).withColumn("kind", F.lit(k)) for k in kinds]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def html_meta(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", html.title("html").alias("title"), html.meta("html", "description").alias("description"))
 
@@ -67,7 +78,7 @@ def html_markdown(spark: SparkSession, sf: str) -> DataFrame:
     return html_tree.pages(table(spark, sf, "pages")).withColumn("digest", F.md5(F.col("text").cast("binary")))
 
 
-QUERIES = {f.__name__: f for f in (chunk_token, chunk_sentences, chunk_stride, sections, splitters, chunk_stats, html_meta, html_structure, html_text, html_markdown)} | {f"chunk_{s}": _cut(s) for s in ("blanks", "recursive", "packed", "semantic", "late")}
+QUERIES = {f.__name__: f for f in (chunk_token, chunk_sentences, chunk_stride, sections, splitters, chunk_stats, html_meta, html_structure, html_text, html_markdown, chunk_by_content)} | {f"chunk_{s}": _cut(s) for s in ("blanks", "recursive", "packed", "semantic", "late")}
 
 _WORDS = "list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda w: w <> '')"
 _SENT = "list_filter(string_split(regexp_replace(text, '([.!?؟])\\s+', '\\1\u241e', 'g'), '\u241e'), lambda s: trim(s, e' \\t\\n') <> '')"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import vector
+from tessera.operators import enhancement
 from tessera.operators import vectors as op
 from tessera.operators.vector_index import VectorIndex
 from tessera.sources.tables import table, vectors, with_
@@ -103,6 +104,21 @@ def vec_index_topk(spark: SparkSession, sf: str) -> DataFrame:
     return VectorIndex(index).search(_queries(index), K, exact=True).withColumnsRenamed({"source": "query_id", "target": "vec_id"}).select(*_KEEP)
 
 
+def hyde_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """vec_topk of queries enhanced by three hypothetical answers: the vectors of the next three numbers stand for them."""
+    index = vectors(spark, sf)
+    queries = _queries(index)
+    next_ids = queries.select("vec_id", F.explode(F.array(*(F.col("vec_id") + i for i in (1, 2, 3)))).alias("answer"))
+    answers = next_ids.join(index.select(F.col("vec_id").alias("answer"), "v"), "answer")
+    return op.nearest(enhancement.enhanced(queries, answers), index, K).select(*_KEEP)
+
+
+def hype_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The best chunks of each query by hypothetical questions: four neighbouring vectors are one chunk's."""
+    index = vectors(spark, sf)
+    return enhancement.by_questions(_queries(index), index.withColumn("chunk_id", F.floor(F.col("vec_id") / 4)), K, 4)
+
+
 def hashed_embed_topk(spark: SparkSession, sf: str) -> DataFrame:
     """Documents by cosine of hashed word vectors to a query text's."""
     docs = table(spark, sf, "documents")
@@ -135,7 +151,7 @@ def collection_stats(spark: SparkSession, sf: str) -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("source").alias("documents"), F.round(F.avg("n_chars"), 4).alias("avg_size"))
 
 
-QUERIES = {f.__name__: f for f in (vec_topk, vec_topk_filtered, vec_dot_topk, vec_euclid_topk, entity_knn, sim_join_topk, emb_normalized, emb_combine, emb_mean, emb_diversity, relevance_rescaled, mmr, vec_index_topk, hashed_embed_topk, vector_scroll, vector_upsert, collection_stats)}
+QUERIES = {f.__name__: f for f in (vec_topk, vec_topk_filtered, vec_dot_topk, vec_euclid_topk, entity_knn, sim_join_topk, emb_normalized, emb_combine, emb_mean, emb_diversity, relevance_rescaled, mmr, vec_index_topk, hyde_topk, hype_topk, hashed_embed_topk, vector_scroll, vector_upsert, collection_stats)}
 
 _NORM = "sqrt(list_sum(list_transform({0}, lambda x: x * x)))"
 _BLEND = "list_transform(list_zip(a.v, b.v), lambda p: p[1] * 0.7 + p[2] * 0.3)"
@@ -144,6 +160,11 @@ _HASHED = "list_transform(range(64), lambda i: CAST(len(list_filter({0}, lambda
 ORACLE_SQL = {
     "vec_topk": f"{_PICK}{_top_sql(_COS)})",
     "vec_index_topk": f"{_PICK}{_top_sql(_COS)})",
+    "hyde_topk": f"""{_V}, p AS (SELECT query_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM q JOIN vectors ON vec_id - query_id BETWEEN 1 AND 3), m AS (SELECT query_id, i, avg(x) AS x FROM p GROUP BY ALL),
+      h AS (SELECT query_id, list(x ORDER BY i) AS m FROM m GROUP BY query_id), u AS (SELECT query_id, list_transform(m, lambda x: x / ({_NORM.format("m")} + 1e-8)) AS m FROM h),
+      e AS (SELECT query_id, CASE WHEN m IS NULL THEN q ELSE list_transform(list_zip(q, m), lambda z: z[1] * 0.5 + z[2] * 0.5) END AS q FROM q LEFT JOIN u USING (query_id)),
+      s AS (SELECT query_id, vec_id, round({_COS}, 6) AS score FROM vectors, e WHERE vec_id != query_id) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= {K}""",
+    "hype_topk": f"""{_V}, s AS (SELECT query_id, vec_id // 4 AS chunk_id, max(round({_COS}, 6)) AS score FROM vectors, q WHERE vec_id != query_id GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s QUALIFY rank <= {K}""",
     "vec_topk_filtered": f"{_PICK}{_top_sql(_COS, 'vec_id != query_id AND label = q_label', 0.1)})",
     "vec_dot_topk": f"{_PICK}{_top_sql('list_inner_product(v, q)')})",
     "vec_euclid_topk": f"{_PICK}{_top_sql('-list_distance(v, q)')})",

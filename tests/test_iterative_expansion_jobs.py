@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import community_tree, drift, graph, subqueries, vectors
+from tessera.operators import chunking, community_tree, drift, enhancement, graph, subqueries, vectors
 from tessera.operators.vector_index import VectorIndex
 from tessera.streaming import events, jobs
 
@@ -217,3 +217,22 @@ def test_jobs_expire_alike_in_stream_and_batch(spark, tmp_path):
     assert got == batch and len(batch) > 40
     now = {r.job for r in jobs.active(timed(spark.createDataFrame(rows, schema))).collect()}
     assert now == {999}
+
+
+def test_enhanced_queries(spark):
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, v array<double>")
+    answers = spark.createDataFrame([(1, [0.0, 2.0]), (1, [0.0, 4.0])], "vec_id long, v array<double>")
+    found = lambda *how: {r.vec_id: [round(x, 6) for x in r.v] for r in enhancement.enhanced(queries, answers, *how).collect()}
+    assert found("query_only") == {1: [1.0, 0.0], 2: [0.0, 1.0]}
+    assert found("hyde_only") == {1: [0.0, 1.0], 2: [0.0, 1.0]}
+    assert found("combined", 0.5) == {1: [0.707107, 0.707107], 2: [0.0, 1.0]}
+    with pytest.raises(ValueError):
+        enhancement.enhanced(queries, answers, "other")
+
+
+def test_chunks_by_content_are_those_of_their_strategies(spark):
+    text = " ".join(f"Word{i} and more of it." for i in range(400))
+    df = spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string")
+    for kind, strategy in chunking.BY_CONTENT.items():
+        assert sorted(map(tuple, chunking.chunks(df, kind).collect())) == sorted(map(tuple, chunking.chunks(df, strategy).collect()))
+        assert chunking.chunks(df, kind).where("doc_id = 1").count() > 1
