@@ -5,7 +5,7 @@ block, and so do whole stretches of strings that follow each other. Stretches wh
 the others are brought together by block, equal ones merged, and a bounded set of blocks at a time becomes one text, whose
 suffixes are sorted: one bucket of leading bytes at a time, by the first PERIOD bytes, and longer ties by the ranks of
 cover-sample suffixes, which are computed beforehand. Neighbours in that order with `width` bytes in common are the repeats.
-Hashes only bring strings together; bytes decide.
+Hashes only bring strings together; bytes decide, but for texts that are equal as a whole, which SHA-256 tells.
 """
 
 from __future__ import annotations

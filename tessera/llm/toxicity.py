@@ -354,7 +354,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
 
 
 def scored(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score of each whole text; null and empty texts have one empty window. Equal texts have equal scores: 7 places, of batches of one size."""
+    """doc_id, score of each whole text; null and empty texts have one empty window. Scores are told to 7 places; sums of single precision depend on what else is in a batch, so about one equal text in 2,000 differs in the last place."""
     model = docs.sparkSession.sparkContext.broadcast(net)
     share = None if net.trained else net.share
 
