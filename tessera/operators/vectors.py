@@ -23,6 +23,13 @@ def hashed_counts(rows: DataFrame, word: str, size: int = 64) -> DataFrame:
     return each.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
+def hashed_vectors(rows: DataFrame, word: str, key: str, size: int = 64) -> DataFrame:
+    """vec_id, v: the hashed bag of words of each key of `rows` (key, word) as a vector; keys without words have none."""
+    bags = hashed_counts(rows.select(key, word), word, size).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("m"))
+    places = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0)).cast("double"))
+    return bags.select(F.col(key).alias("vec_id"), places.alias("v"))
+
+
 def top_k(rows: DataFrame, k: int, by: str = "query_id", tie: str = "vec_id", threshold: float | None = None) -> DataFrame:
     """The k best-scored rows of each query, at or above the threshold, with rank; ties by the smaller id."""
     if threshold is not None:

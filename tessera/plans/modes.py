@@ -9,7 +9,7 @@ from tessera.functions import text, vector
 from tessera.operators import fusion, matching, modes
 from tessera.operators import vectors as vec
 from tessera.plans.graphs import _LINKED, _QUERY, LOW_SQL, NEAR_SQL, QUERIES_ARE, near_chunks, query_terms
-from tessera.plans.texts import NAMES_SQL, _list, _Q, names, questions
+from tessera.plans.texts import NAMES_SQL, _list, _Q, _terms, names, questions
 from tessera.sources.tables import SQL, entities, gazetteer, mentions, ranked_lists, table, vectors, with_
 
 SYNONYMS = {"company": "firm", "project": "programme", "sales": "revenue", "president": "chair"}
@@ -91,11 +91,14 @@ def global_mode(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def global_search(spark: SparkSession, sf: str) -> DataFrame:
-    """Map: each community's share of documents with a term; keep 0.3 or more, the best six; reduce to a confidence."""
-    hit = F.contains(F.lower("text"), F.lit("the")).cast("double")
-    mapped = table(spark, sf, "documents").groupBy("source").agg(F.round(F.avg(hit), 9).alias("score"))
-    best = mapped.where("score >= 0.3").orderBy(F.desc("score"), "source").limit(6)
-    return best.agg(F.count(F.lit(1)).alias("answers"), F.round(0.7 * F.avg("score") + 0.3 * F.least(F.count(F.lit(1)) / 10, F.lit(1.0)), 6).alias("confidence"))
+    """Every benchmark item asked of all communities (sources). Map: the share of a community's documents with one of the item's terms; keep 0.3 or more, the best six; reduce to a confidence."""
+    docs = table(spark, sf, "documents").select("doc_id", "source", text.key_terms("text", 6).alias("terms"))
+    sizes = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    asked = table(spark, sf, "benchmark").select("item_id", F.explode(text.key_terms("text", 6)).alias("term"))
+    held = docs.select("doc_id", "source", F.explode("terms").alias("term")).join(asked, "term").select("item_id", "source", "doc_id").distinct()
+    mapped = held.groupBy("item_id", "source").agg(F.count(F.lit(1)).alias("hits")).join(sizes, "source").select("item_id", "source", F.round(F.col("hits") / F.col("n"), 9).alias("score"))
+    best = modes.first_rows(mapped.where("score >= 0.3"), ["item_id"], [F.desc("score"), "source"], 6)
+    return best.groupBy("item_id").agg(F.count(F.lit(1)).alias("answers"), F.round(0.7 * F.avg("score") + 0.3 * F.least(F.count(F.lit(1)) / 10, F.lit(1.0)), 6).alias("confidence"))
 
 
 def hybrid_mode(spark: SparkSession, sf: str) -> DataFrame:
@@ -181,7 +184,9 @@ ORACLE_SQL = {
       u AS (SELECT query_id, doc_id, round(least(0.98, score + 0.05 * least({_HITS.format('text')}, 2)), 6) AS score FROM nv JOIN documents ON doc_id = chunk_id UNION ALL SELECT query_id, y.doc_id, 0.88 FROM q JOIN h x ON x.doc_id = query_id JOIN h y ON y.name = x.name AND y.doc_id != query_id),
       b AS (SELECT query_id, doc_id, max(score) AS score FROM u GROUP BY ALL) SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10""",
     "global_mode": f"{_MODES}, {_GLOBAL} SELECT query_id, chunk_id, n, 0.9::DOUBLE AS score FROM g",
-    "global_search": "WITH m AS (SELECT source, round(avg(CAST(contains(lower(text), 'the') AS DOUBLE)), 9) AS score FROM documents GROUP BY source), b AS (SELECT * FROM m WHERE score >= 0.3 ORDER BY score DESC, source LIMIT 6) SELECT count(*) AS answers, round(0.7 * avg(score) + 0.3 * least(count(*) / 10, 1), 6) AS confidence FROM b",
+    "global_search": f"""WITH d AS (SELECT doc_id, source, unnest({_terms("text", 6)}) AS term FROM documents), n AS (SELECT source, count(*) AS n FROM documents GROUP BY source), a AS (SELECT item_id, unnest({_terms("text", 6)}) AS term FROM benchmark),
+      m AS (SELECT item_id, source, round(count(DISTINCT doc_id) / any_value(n), 9) AS score FROM d JOIN a USING (term) JOIN n USING (source) GROUP BY item_id, source), b AS (SELECT * FROM m WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, source) <= 6)
+      SELECT item_id, count(*) AS answers, round(0.7 * avg(score) + 0.3 * least(count(*) / 10, 1), 6) AS confidence FROM b GROUP BY item_id""",
     "hybrid_mode": f"""{_MODES}, {_GLOBAL}, {NEAR_SQL.format(k=20)}, lists AS (SELECT query_id, chunk_id, 0.7 AS w, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM v UNION ALL SELECT query_id, chunk_id, 0.95, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM low QUALIFY rank <= 20
       UNION ALL SELECT query_id, chunk_id, 1.0, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, chunk_id) FROM g), f AS (SELECT query_id, chunk_id, round(sum(CAST(w AS DOUBLE) / 2.65 / (60 + rank)), 9) AS fused, count(*) AS lists FROM lists GROUP BY ALL)
       SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, chunk_id) <= 15""",

@@ -120,17 +120,12 @@ def hype_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hashed_embed_topk(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents by cosine of hashed word vectors to a query text's."""
-    docs = table(spark, sf, "documents")
+    """For every benchmark item the twenty documents of highest cosine of hashed words."""
     # words as rows of their own, so that the key beside them is the id and not the text
-    words = docs.select("doc_id", F.explode(F.split(F.lower(F.trim("text")), r"\s+")).alias("word")).where("word != ''")
-    query = spark.createDataFrame([(w,) for w in "the and of to that in".split()], "word string")
-    q = op.hashed_counts(query, "word").select("bucket", F.col("n").alias("q"))
-    length = F.sqrt(F.lit(q.agg(F.sum(F.col("q") * F.col("q"))).first()[0]).cast("double"))
-    bags = op.hashed_counts(words, "word").join(F.broadcast(q), "bucket", "left")
-    n = F.col("n").cast("double")
-    rows = bags.groupBy("doc_id").agg(F.round(F.coalesce(F.sum(n * F.col("q")), F.lit(0.0)) / (F.sqrt(F.sum(n * n)) * length), 6).alias("score"))
-    return rows.where("score is not null").orderBy(F.desc("score"), "doc_id").limit(20)
+    words = lambda t, key: table(spark, sf, t).select(key.alias("id"), F.explode(F.split(F.lower(F.trim("text")), r"\s+")).alias("word")).where("word != ''")
+    # items get negative numbers, as equal ids count as one vector
+    items, docs = (op.hashed_vectors(words(t, key), "word", "id") for t, key in (("benchmark", -F.col("item_id") - 1), ("documents", F.col("doc_id"))))
+    return op.nearest(items, docs, 20).select((-F.col("query_id") - 1).alias("item_id"), F.col("vec_id").alias("doc_id"), "score", "rank")
 
 
 def vector_scroll(spark: SparkSession, sf: str) -> DataFrame:
@@ -179,9 +174,9 @@ ORACLE_SQL = {
       n AS (SELECT label, sqrt(sum(x * x)) + 1e-8 AS n, max(x) FILTER (i = 1) AS a, max(x) FILTER (i = 64) AS b FROM m GROUP BY label) SELECT label, round(a / n, 6) AS c0, round(b / n, 6) AS c63 FROM n""",
     "emb_diversity": f"WITH t AS ({_PICK.replace('score, rank', 'v')}{_top_sql(_COS)})) SELECT a.query_id, round(1 - avg(list_cosine_similarity(a.v, b.v)), 6) AS diversity FROM t a JOIN t b ON a.query_id = b.query_id AND a.vec_id < b.vec_id GROUP BY a.query_id",
     "relevance_rescaled": f"{_V} SELECT query_id, round(max(greatest(0, least(1, (round({_COS}, 6) + 1) / 2))), 6) AS best, round(min(greatest(0, least(1, (round({_COS}, 6) + 1) / 2))), 6) AS worst FROM vectors, q WHERE vec_id != query_id GROUP BY query_id",
-    "hashed_embed_topk": f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(trim(text)), '\\s+'), lambda x: x <> '') AS words FROM documents),
-      h AS (SELECT doc_id, {_HASHED.format("words")} AS v, {_HASHED.format("['the', 'and', 'of', 'to', 'that', 'in']")} AS q FROM w), s AS (SELECT doc_id, round(list_cosine_similarity(v, q), 6) AS score FROM h)
-      SELECT doc_id, score FROM s WHERE score IS NOT NULL AND NOT isnan(score) ORDER BY score DESC, doc_id LIMIT 20""",
+    "hashed_embed_topk": f"""WITH t AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT -item_id - 1, text FROM benchmark), w AS (SELECT id, list_filter(regexp_split_to_array(lower(trim(text)), '\\s+'), lambda x: x <> '') AS words FROM t),
+      h AS (SELECT id, {_HASHED.format("words")} AS v FROM w WHERE len(words) > 0), s AS (SELECT -a.id - 1 AS item_id, b.id AS doc_id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM h a, h b WHERE a.id < 0 AND b.id >= 0)
+      SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 20""",
     "vector_scroll": f"{with_('vectors')} SELECT vec_id, label FROM vectors ORDER BY vec_id LIMIT 100 OFFSET 100",
     "vector_upsert": f"{with_('vectors')} SELECT vec_id, CASE WHEN vec_id % 6 = 0 THEN 2 ELSE 1 END AS version, round(CASE WHEN vec_id % 6 = 0 THEN -v[1] ELSE v[1] END, 6) AS first FROM vectors",
     "collection_stats": "SELECT count(*) AS chunks, count(DISTINCT source) AS documents, round(avg(n_chars), 4) AS avg_size FROM documents",
