@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CUTS = (1, 3, 5, 10)
@@ -52,3 +52,13 @@ def of_retrieved(rows: DataFrame, k: int = 10) -> DataFrame:
     ideal = F.aggregate(places, F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
     some = lambda x: F.round(F.when(F.col("n") > 0, x).otherwise(0.0), 6)
     return per.select("query_id", F.round(F.col("hits") / F.col("found"), 6).alias("precision"), some(F.col("hits") / F.col("n")).alias("recall"), some(F.col("gain") / ideal).alias("ndcg"))
+
+
+#: Weights of the checks of a test case; a recommended mode adds BONUS to a score above half; PASS is asked for.
+CHECKS, BONUS, PASS = {"chunk_count": 0.10, "entity_match": 0.15, "chunk_content": 0.20, "answer_keywords": 0.20, "similarity": 0.35}, 0.1, 0.6
+
+
+def case_score(recommended: Column) -> Column:
+    """The weighted sum of the checks that passed (boolean columns by the names of CHECKS), 1 at most, raised if the mode was a recommended one; to 6 places."""
+    score = sum((F.when(F.col(c), w).otherwise(0.0) for c, w in CHECKS.items()), F.lit(0.0))
+    return F.round(F.when(recommended & (F.round(score, 6) > 0.5), F.least(score + BONUS, F.lit(1.0))).otherwise(score), 6)

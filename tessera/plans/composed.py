@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import fixed
-from tessera.operators import fusion, graph, modes
+from tessera.functions import fixed, text
+from tessera.operators import fusion, graph, metrics, modes
 from tessera.operators import vectors as vec
-from tessera.plans.texts import _list
+from tessera.plans.texts import _CLASS, _MODE, _SENTENCES, _inter, _list, _share, _union
+from tessera.plans.texts import _terms as _key_terms
 from tessera.plans.vectors import _COS, QUERIES_ARE, _queries, _top_sql
 from tessera.sources.shared import cut
 from tessera.sources.tables import chunk_documents, edges, entities, mentions, ranked_lists, table, vectors, with_
@@ -111,6 +112,21 @@ def _turns(spark, sf):
     return c.select("conv_id", "turn", F.col("text").alias("question")).join(after, ["conv_id", "turn"])
 
 
+def case_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Each turn as a test case that the next one answers: three sentences at least, the question's capitalised words and longer terms in it, its first three terms, and a likeness of 0.3; local and hybrid are the recommended modes."""
+    rows = _turns(spark, sf)
+    low, terms = F.lower("answer"), text.key_terms("question")
+    expected = F.array_distinct(F.regexp_extract_all("question", F.lit("([A-Z][a-z]+)"), 1))
+    share = lambda xs: F.when(F.size(xs) == 0, 1.0).otherwise(F.size(F.filter(xs, lambda x: F.contains(low, F.lower(x)))) / F.size(xs))
+    longer = F.filter(terms, lambda x: F.length(x) > 4)
+    alike = text.key_terms("answer"), terms
+    likeness = F.bround(0.4 * text.jaccard(*alike) + 0.6 * text.share(text.overlap(*alike), F.size(terms)), 3)
+    checks = {"chunk_count": F.size(text.sentences("answer")) >= 3, "entity_match": (share(expected) >= 0.5) | F.exists(expected, lambda x: F.contains(low, F.lower(x))), "chunk_content": F.when(F.size(longer) == 0, True).otherwise(share(longer) > 0.5), "answer_keywords": share(F.slice(terms, 1, 3)) >= 0.5, "similarity": likeness >= 0.3}
+    rows = rows.select("conv_id", "turn", *(c.alias(n) for n, c in checks.items()), text.retrieval_mode("question").isin("local", "hybrid").alias("recommended"))
+    score = metrics.case_score(F.col("recommended"))
+    return rows.select("conv_id", "turn", *checks, "recommended", score.alias("score"), (score >= metrics.PASS).alias("passed"))
+
+
 def benchmark_score(spark: SparkSession, sf: str) -> DataFrame:
     """0.4 relevance, 0.3 completeness and 0.3 accuracy of each turn as the answer to the one before, whose capitalised words are expected; answers under 10 characters score 0."""
     q, a = F.lower("question"), F.lower("answer")
@@ -170,7 +186,7 @@ def deleted_points(spark: SparkSession, sf: str) -> DataFrame:
     return left.groupBy("document").agg(F.count(F.lit(1)).alias("points"))
 
 
-QUERIES = {f.__name__: f for f in (semantic_mode, mode_dispatch, dual_level, unified_pipeline, community_levels, set_operations, undirected_relations, benchmark_score, plain_tokens, claim_context, answer_sources, fallback_reduce, deleted_points)}
+QUERIES = {f.__name__: f for f in (case_scores, semantic_mode, mode_dispatch, dual_level, unified_pipeline, community_levels, set_operations, undirected_relations, benchmark_score, plain_tokens, claim_context, answer_sources, fallback_reduce, deleted_points)}
 
 _WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '\\s+'), lambda x: NOT list_contains({1}, x)))"
 _SET = "list_distinct(regexp_split_to_array(lower(text), '\\s+'))"
@@ -203,6 +219,12 @@ ORACLE_SQL = {
     "set_operations": f"""{with_("mentions")}, r AS (SELECT entity, o_orderstatus AS s FROM mentions JOIN orders ON o_orderkey = chunk_id), f AS (SELECT entity FROM r WHERE s = 'F'), o AS (SELECT entity FROM r WHERE s = 'O')
       SELECT 'intersect' AS kind, entity FROM (FROM f INTERSECT FROM o) UNION ALL SELECT 'except', entity FROM (FROM f EXCEPT FROM o) UNION ALL SELECT 'except_all', entity FROM (FROM f EXCEPT ALL FROM o)""",
     "undirected_relations": "WITH r AS (SELECT l_suppkey AS source, l_partkey AS target, l_returnflag AS type, l_orderkey AS o, l_linenumber AS l FROM lineitem) SELECT arg_min(source, (o, l, source, target)) AS source, arg_min(target, (o, l, source, target)) AS target, type, count(*) AS n FROM r GROUP BY least(source, target), greatest(source, target), type",
+    "case_scores": f"""WITH p AS (SELECT a.conv_id, a.turn, a.text AS question, b.text AS answer FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+      t AS (SELECT *, lower(answer) AS low, {_key_terms("question")} AS x, {_key_terms("answer")} AS y, list_distinct(regexp_extract_all(question, '[A-Z][a-z]+')) AS e, {_CLASS.format("question")} AS class FROM p),
+      c AS (SELECT conv_id, turn, len({_SENTENCES.format("answer")}) >= 3 AS chunk_count, len(e) = 0 OR len(list_filter(e, lambda w: contains(low, lower(w)))) > 0 AS entity_match, CASE WHEN len(list_filter(x, lambda w: length(w) > 4)) = 0 THEN true ELSE len(list_filter(x, lambda w: length(w) > 4 AND contains(low, w))) / len(list_filter(x, lambda w: length(w) > 4)) > 0.5 END AS chunk_content,
+      CASE WHEN len(x) = 0 THEN true ELSE len(list_filter(x[1:3], lambda w: contains(low, w))) / len(x[1:3]) >= 0.5 END AS answer_keywords, round_even(0.4 * {_share(_inter("y", "x"), _union("y", "x"))} + 0.6 * {_share(_inter("y", "x"), "len(x)")}, 3) >= 0.3 AS similarity, {_MODE.format("question", "class")} IN ('local', 'hybrid') AS recommended FROM t),
+      s AS (SELECT *, 0.10 * CAST(chunk_count AS INTEGER) + 0.15 * CAST(entity_match AS INTEGER) + 0.20 * CAST(chunk_content AS INTEGER) + 0.20 * CAST(answer_keywords AS INTEGER) + 0.35 * CAST(similarity AS INTEGER) AS sum FROM c),
+      z AS (SELECT *, CAST(round(CASE WHEN recommended AND sum > 0.5 THEN least(sum + 0.1, 1) ELSE sum END, 6) AS DOUBLE) AS score FROM s) SELECT * EXCLUDE (sum), score >= 0.6 AS passed FROM z""",
     "benchmark_score": f"""WITH p AS (SELECT a.conv_id, a.turn, a.text AS question, b.text AS answer FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
       w AS (SELECT *, {_BENCH.format("question")} AS q, {_BENCH.format("answer")} AS a, list_distinct(regexp_extract_all(question, '[A-Z][a-z]+')) AS e, least(length(answer) / 500, 1) AS l FROM p),
       s AS (SELECT *, CASE WHEN len(q) > 0 THEN least(len(list_intersect(q, a)) / len(q) * 1.5, 1) ELSE 0 END AS o, CASE WHEN len(e) > 0 THEN len(list_filter(e, lambda x: contains(lower(answer), lower(x)))) / len(e) ELSE l END AS c, len(list_filter({_list(fixed.SPECIFIC_MARKS)}, lambda x: contains(answer, x))) / {len(fixed.SPECIFIC_MARKS)} AS i FROM w),
