@@ -123,3 +123,14 @@ ENTITY_PATTERNS = {
 }
 ENTITY_PATTERNS["ar"]["Organization"] += ["المركز" + ONE + ONE, "الهيئة" + ONE + ONE]
 ENTITY_PATTERNS["ar"]["Program"] += [r"رؤية\s+\d{4}"]
+
+# Patterns of queries that are asked in parts, by kind, tried in this order; conjunctions that part them; the sides of a comparison.
+COMPLEX_QUERIES = {
+    "multi_hop": ["علاقة.*ب", r"كيف\s+(?:يرتبط|ترتبط)", "من خلال", "عبر"],
+    "comparison": [r"مقارنة\s+بين", r"الفرق\s+بين", "أفضل", "مقابل"],
+    "aggregation": ["جميع", "كل", r"كم\s+عدد", "اذكر", "ما هي"],
+    "conditional": ["إذا", r"في\s+حالة", "عندما", "لو"],
+    "temporal": ["متى", "قبل", "بعد", "خلال", "منذ"],
+    "causal": ["لماذا", "بسبب", "نتيجة", "سبب"],
+}
+CONJUNCTIONS = r"\s+و\s+|\s+وكذلك\s+|\s+وأيضاً\s+"

@@ -157,3 +157,20 @@ def query_class(x: Column | str) -> Column:
 def retrieval_mode(x: Column | str) -> Column:
     """Two words or fewer go to vector search, other queries by their class."""
     return F.when(F.size(words(x)) <= 2, "vector").otherwise(F.element_at(_map(fixed.CLASS_MODES), query_class(x)))
+
+
+def query_kind(x: Column | str) -> Column:
+    """How a query is to be asked in parts: the first kind with a pattern in it; else multi_hop for more than twelve words with a conjunction; else simple."""
+    c = _c(x)
+    out = F.when((F.size(words(c)) > 12) & F.contains(c, F.lit(" و ")), "multi_hop").otherwise("simple")
+    for kind, patterns in reversed(fixed.COMPLEX_QUERIES.items()):
+        out = F.when(c.rlike("|".join(f"(?:{p})" for p in patterns)), kind).otherwise(out)
+    return out
+
+
+def query_parts(x: Column | str) -> Column:
+    """The parts of a query of ten characters or more that isn't simple: between conjunctions, each of more than five characters, if there is a conjunction; else none."""
+    c = _c(x)
+    parts = F.filter(F.transform(F.split(c, fixed.CONJUNCTIONS), lambda p: F.trim(p)), lambda p: F.length(p) > 5)
+    asked = (query_kind(c) != "simple") & (F.length(c) >= 10) & c.rlike(fixed.CONJUNCTIONS)
+    return F.when(asked, parts).otherwise(F.array().cast("array<string>"))

@@ -22,6 +22,7 @@ QUERY_TEXTS = [
     "summarize all documents", "ما هي الموضوعات الرئيسية", "العلاقة بين المدير والشركة", "short query", "list the products sold in March", "من هو الفائز بالجائزة", "how does this differ from that",
 ]
 NAMINGS = ["وزارة المالية والاقتصاد", "Ministry of Health", "رؤية 2030", "the National Bank", "جائزة الملك فيصل", "a Tourism Strategy", "مدينة جدة الساحلية", "Vision 2030", "الذكاء  الاصطناعي", "the Davos forum", "الدكتور أحمد", "cloud computing and IoT", "المركز الوطني للبحوث"]
+COMPLEX_TEXTS = ["ما علاقة المدير و المشروع بالشركة", "الفرق بين الخطة الأولى و الخطة الثانية", "كم عدد المشاريع الكبرى وكذلك الصغرى", "إذا تأخر المشروع", "متى بدأ العمل و متى انتهى", "لماذا تأخر", "تفاصيل الخطة و تفاصيل العمل", "short"]
 MENTION_PATTERNS = {"Email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[a-z]{2,}", "Phone": r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}", "Money": r"\$[0-9]+(?:\.[0-9]+)?", "Date": "[0-9]{4}-[0-9]{2}-[0-9]{2}"}
 
 
@@ -133,6 +134,14 @@ def _typed(kind: str):
     return lambda m: F.struct(F.lit(kind).alias("type"), m.alias("mention"))
 
 
+def query_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """Every turn behind the opening of a compound question, or that alone: its kind and the parts it is asked in."""
+    query = F.when(F.col("id") % 3 == 0, turn_of(COMPLEX_TEXTS, "id")).otherwise(F.concat(turn_of(COMPLEX_TEXTS, "id"), F.lit(" "), "text"))
+    rows = _turns(spark, sf).select("id", query.alias("query"))
+    parts = text.query_parts("query")
+    return rows.select("id", text.query_kind("query").alias("kind"), F.size(parts).cast("long").alias("parts"), F.md5(F.array_join(parts, "|").cast("binary")).alias("digest"))
+
+
 def named(spark: SparkSession, sf: str) -> DataFrame:
     """id, language, text: every turn behind a naming of an entity, in turn in Arabic and English."""
     return _turns(spark, sf).select("id", F.when(F.col("id") % 2 == 0, "ar").otherwise("en").alias("language"), F.concat(turn_of(NAMINGS, "id"), F.lit(". "), "text").alias("text"))
@@ -286,7 +295,7 @@ def context_pr(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("id", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(F.least(F.lit(1.0), r * 1.5), 6).alias("relevancy"), F.round(0.4 * r + 0.3 * p + 0.3 * F.least(F.length("answer") / 100.0, F.lit(1.0)), 6).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (typed_entities, arabic_norm, arabic_variants, arabic_keywords, lang_detect, clean_text, punct_density, entity_names, rel_type_norm, character_jaccard, key_terms, entity_phrases, pattern_ner, citations, semantic_overlap, faithfulness_rules, relevance_grade, route_queries, route_conversations, intent_complexity, decompose_queries, map_responses, cleaned_answers, themes, token_counts, context_budget, log_levels, url_ids, json_flatten, summary_validation, context_pr)}
+QUERIES = {f.__name__: f for f in (query_kinds, typed_entities, arabic_norm, arabic_variants, arabic_keywords, lang_detect, clean_text, punct_density, entity_names, rel_type_norm, character_jaccard, key_terms, entity_phrases, pattern_ner, citations, semantic_overlap, faithfulness_rules, relevance_grade, route_queries, route_conversations, intent_complexity, decompose_queries, map_responses, cleaned_answers, themes, token_counts, context_budget, log_levels, url_ids, json_flatten, summary_validation, context_pr)}
 
 
 def _list(xs: list[str]) -> str:
@@ -376,6 +385,9 @@ ORACLE_SQL = {
     "typed_entities": f"WITH t AS (SELECT id, id % 2 AS odd, {_turn_of(NAMINGS, 'id')} || '. ' || text AS text FROM {_T}), m AS ("
     + " UNION ALL ".join(f"SELECT id, '{kind}' AS type, unnest(regexp_extract_all(text, '(?i){p}')) AS mention FROM t WHERE odd = {i}" for i, kinds in enumerate(fixed.ENTITY_PATTERNS.values()) for kind, ps in kinds.items() for p in ps)
     + "), d AS (SELECT DISTINCT id, type, trim(regexp_replace(mention, '\\s+', ' ', 'g')) AS mention FROM m) SELECT *, 0.65::DOUBLE AS confidence FROM d WHERE length(mention) >= 2",
+    "query_kinds": f"""WITH q AS (SELECT id, CASE WHEN id % 3 = 0 THEN {_turn_of(COMPLEX_TEXTS, 'id')} ELSE {_turn_of(COMPLEX_TEXTS, 'id')} || ' ' || text END AS query FROM {_T}), k AS (SELECT id, query, CASE {" ".join(f"WHEN regexp_matches(query, '{'|'.join(f'(?:{p})' for p in ps)}') THEN '{k}'" for k, ps in fixed.COMPLEX_QUERIES.items())}
+      WHEN len({_words("query")}) > 12 AND contains(query, ' و ') THEN 'multi_hop' ELSE 'simple' END AS kind FROM q), p AS (SELECT id, kind, CASE WHEN kind != 'simple' AND length(query) >= 10 AND regexp_matches(query, '{fixed.CONJUNCTIONS}') THEN list_filter(list_transform(regexp_split_to_array(query, '{fixed.CONJUNCTIONS}'), lambda x: trim(x)), lambda x: length(x) > 5) ELSE [] END AS parts FROM k)
+      SELECT id, kind, len(parts) AS parts, md5(coalesce(array_to_string(parts, '|'), '')) AS digest FROM p""",
     "citations": f"""WITH c AS (SELECT *, list_transform(regexp_extract_all(answer, '\\[(\\d+)\\]', 1), lambda x: CAST(x AS BIGINT)) AS cited FROM {_A})
       SELECT id, len(cited) AS n, round(CASE WHEN len(cited) > 0 THEN len(list_filter(cited, lambda x: x >= 1 AND x <= sources)) / len(cited) ELSE 0.5 END, 6) AS accuracy, round(0.5 * CASE WHEN len(cited) > 0 THEN 1.0 ELSE 0.3 END + 0.5 * least(len({_words("answer")}) / 50, 1), 6) AS completeness FROM c""",
     "semantic_overlap": f"WITH p AS (SELECT a.conv_id, a.turn, {_terms('a.text')} AS x, {_terms('b.text')} AS y {_PAIRS}) SELECT conv_id, turn, round_even(0.4 * {_share(_inter('x', 'y'), _union('x', 'y'))} + 0.6 * {_share(_inter('x', 'y'), 'len(x)')}, 3) AS score FROM p",
