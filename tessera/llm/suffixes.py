@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import forget, shuffle_parts, stored, table
+from tessera.llm.common import forget, shuffle_parts, stored, table, tidy
 
 WIDTH, GRAM = 100, 32
 #: Period of the difference cover, in bytes, a multiple of 8.
@@ -175,9 +175,9 @@ def _asked(docs: DataFrame, buckets: int, width: int, gram: int) -> DataFrame:
         if held:
             yield from close()
 
-    sent = docs.mapInArrow(emit, "bucket long, ids binary, data binary, doc_id long, text_key long")
+    sent = docs.mapInArrow(tidy(emit), "bucket long, ids binary, data binary, doc_id long, text_key long")
     dealt = sent.repartition(buckets, F.when(F.col("bucket") < 0, F.xxhash64("doc_id", "text_key")).otherwise(F.col("bucket"))).sortWithinPartitions("bucket")
-    return dealt.mapInArrow(meet, "doc_id long, text_key long, runs binary")
+    return dealt.mapInArrow(tidy(meet), "doc_id long, text_key long, runs binary")
 
 
 @lru_cache(maxsize=4)
@@ -365,7 +365,7 @@ def _piece_rows(docs: DataFrame, asked: DataFrame, buckets: int, width: int) ->
             null = pa.nulls(len(found), pa.int64())
             yield pa.RecordBatch.from_arrays([null, null, null, null, pa.array(found), pa.array(data, type=pa.binary())], names=names)
 
-    return with_text.mapInArrow(cut, "doc_id long, text_key long, start long, upto long, bucket long, data binary")
+    return with_text.mapInArrow(tidy(cut), "doc_id long, text_key long, start long, upto long, bucket long, data binary")
 
 
 def _compared(pieces: DataFrame, buckets: int, width: int, text_bytes: int) -> DataFrame:
@@ -442,7 +442,7 @@ def _compared(pieces: DataFrame, buckets: int, width: int, text_bytes: int) -> D
             yield from close()
 
     dealt = pieces.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(sort, "doc_id long, text_key long, start long, upto long")
+    return dealt.mapInArrow(tidy(sort), "doc_id long, text_key long, start long, upto long")
 
 
 def merged(start: np.ndarray, upto: np.ndarray) -> list[tuple[int, int]]:
@@ -528,7 +528,7 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
 
     own = _keyed(docs, id_col, text_col, keep)
     rest = f", rest {own.schema['rest'].dataType.simpleString()}" if keep else ""
-    return spans(own, width).mapInArrow(run, f"doc_id long, kept string, n_removed long{rest}")
+    return spans(own, width).mapInArrow(tidy(run), f"doc_id long, kept string, n_removed long{rest}")
 
 
 def digests(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -540,7 +540,7 @@ def digests(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_co
             cols = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, type=pa.int64()) for c in cols[:3]), pa.array(cols[3], type=pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return spans(_keyed(docs, id_col, text_col), width).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return spans(_keyed(docs, id_col, text_col), width).mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
