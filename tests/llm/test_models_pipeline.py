@@ -210,3 +210,19 @@ def test_stages(spark, sf):
     assert packed.select("doc_id").distinct().count() == masked.count()
     for df in (kept, one, clean, masked):
         assert df.columns == list(corpus_pipeline.COLUMNS)
+
+
+def test_the_whole_pipeline(spark, sf, tmp_path):
+    """run() equals its stages one after the other, with a clashing column and odd rows beside the table's; an empty table gives an empty result."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = spark.createDataFrame([(None, "the and of to in is " * 20, "en", None, None), (10**6, None, None, "src1", 0), (10**6 + 1, "", "en", "src1", 0)], docs.schema)
+    docs = docs.unionByName(odd).withColumn("component_id", F.lit(1)).withColumn("spans", F.lit("x"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "piece", "length", "ids_crc32").collect()
+    now = docs
+    for _, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, str(tmp_path))
+    want = now.select("doc_id", "piece", "length", "ids_crc32").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str) and len(got) > 100
+    docs.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
