@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tessera.operators import graph
+from tessera.operators import graph, modes
 from tessera.sources import shared
 
 
@@ -51,6 +51,15 @@ def test_traverse_and_paths_of_a_directed_graph(spark):
     assert {(r.a, r.b): tuple(r.path) for r in graph.shortest_paths(arcs, seeds, 3).collect()} == least
 
 
+def test_a_term_meets_its_surest_entities_only(spark):
+    names = spark.createDataFrame([(i, "red ring" if i % 2 else "red", 0.5 + (i % 7) / 20) for i in range(200)], "entity long, name string, confidence double")
+    terms = spark.createDataFrame([(q, t) for q in range(50) for t in ("red", "ring")], "query_id long, term string")
+    found = modes.seeds(terms, names)
+    order = sorted([(-(0.5 + (i % 7) / 20), i) for i in range(200)] + [(-(0.5 + (i % 7) / 20), i) for i in range(1, 200, 2)])[:3]
+    assert sorted(map(tuple, found.collect())) == sorted((q, i) for q in range(50) for _, i in order)
+    assert "WindowGroupLimit [term" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_tables_of_known_size_are_dealt_to_more_tasks(spark, monkeypatch):
     rows = spark.range(100).withColumn("k", F.col("id") % 10)
     assert shared.dealt(rows, 100, "k").rdd.getNumPartitions() == rows.rdd.getNumPartitions()
