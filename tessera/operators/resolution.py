@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.sources.shared import cut
 
 #: Cosine at or above which two entities are similar, and vectors of a block.
-SIMILAR, HELD = 0.85, 4_000
+SIMILAR, HELD = 0.85, 20_000
 
 
 def _blocks(index: DataFrame, held: int) -> DataFrame:
@@ -43,7 +43,7 @@ def _lowered(similar: float):
                 if near.any():
                     new[j] = min(new[j], new[:j][near].min())
         else:
-            step = max(1, 4_000_000 // len(x))
+            step = max(1, 1_000_000 // len(x))
             for i in range(0, len(y), step):
                 near = (np.round(y[i : i + step] @ x.T, 6) >= similar) & (ids < others[i : i + step, None])
                 new[i : i + step] = np.minimum(new[i : i + step], np.where(near, label, np.iinfo(np.int64).max).min(axis=1))
