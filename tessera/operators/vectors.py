@@ -11,6 +11,8 @@ from tessera.functions import vector
 
 #: Vectors of one block of a grid.
 HELD = 20_000
+#: Scores of one step of a meeting of two blocks.
+STEP = 1_000_000
 
 
 def hashed_counts(rows: DataFrame, word: str, size: int = 64) -> DataFrame:
@@ -82,7 +84,7 @@ def _best(k: int, threshold: float | None, measure: str, same_label: bool):
             b = b.sort_values("vec_id")
             ids, others = a["vec_id"].to_numpy(), b["vec_id"].to_numpy()
             alike = _alike(measure, np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy()))
-            step = max(1, 4_000_000 // len(others))
+            step = max(1, STEP // len(others))
             for i in range(0, len(ids), step):
                 part = slice(i, i + step)
                 s = alike(part)
@@ -174,7 +176,7 @@ def linking_pairs(index: DataFrame, threshold: float, held: int = HELD) -> DataF
             x, y = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
             x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (x, y))
             ids, others = a["vec_id"].to_numpy(), b["vec_id"].to_numpy()
-            step = max(1, 4_000_000 // len(y))
+            step = max(1, STEP // len(y))
             for i in range(0, len(x), step):
                 row, col = np.nonzero(np.round(np.clip(x[i : i + step] @ y.T, 0, 1), 6) >= threshold)
                 nodes, roots = _roots(np.concatenate([nodes, ids[i + row]]), np.concatenate([roots, others[col]]))
