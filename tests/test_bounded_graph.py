@@ -65,3 +65,12 @@ def test_tables_of_known_size_are_dealt_to_more_tasks(spark, monkeypatch):
     assert shared.dealt(rows, 100, "k").rdd.getNumPartitions() == rows.rdd.getNumPartitions()
     monkeypatch.setattr(shared, "TASK_ROWS", 5)
     assert shared.dealt(rows, 100, "k").rdd.getNumPartitions() == 20
+
+
+def test_a_number_of_tasks_holds_where_the_session_has_more_partitions(spark, monkeypatch):
+    """Partitions left to the session are put together by their bytes, whatever the rows."""
+    rows = spark.range(100).withColumn("k", F.col("id") % 10)
+    monkeypatch.setattr(shared, "TASK_ROWS", 20)
+    counted = shared.dealt(rows, 100, "k").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    assert sorted(map(tuple, counted.collect())) == [(k, 10) for k in range(10)]
+    assert counted.rdd.getNumPartitions() == 5
