@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.json_repair import repair
-from tessera.sources.shared import shared_dir
+from tessera.sources.shared import dealt, shared_dir
 from tessera.sources.store import GraphStore
 from tessera.sources.tables import table
 
@@ -44,7 +44,9 @@ def graph_store(spark: SparkSession, sf: str) -> DataFrame:
 
 def json_repair(spark: SparkSession, sf: str) -> DataFrame:
     """The properties of every event cut off at every length and mended: what is left of them."""
-    e = table(spark, sf, "events").select("event_id", "props", F.explode(F.sequence(F.lit(0), F.length("props"))).alias("cut"))
+    events = table(spark, sf, "events").select("event_id", "props")
+    n = events.agg(F.sum(F.length("props") + 1)).first()[0] or 0
+    e = dealt(events, n, "event_id").select("event_id", "props", F.explode(F.sequence(F.lit(0), F.length("props"))).alias("cut"))
     rows = e.select("event_id", F.col("cut").cast("long").alias("cut"), repair(F.substring("props", 1, F.col("cut"))).alias("json"))
     parsed = F.from_json("json", "k long", {"mode": "FAILFAST"})
     return rows.select("event_id", "cut", F.col("json").isNotNull().alias("mended"), parsed.k.alias("k"))

@@ -6,6 +6,7 @@ import json
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import json_repair
 from tessera.operators import matching, resolution, vectors
+from tessera.plans import storage
+from tessera.sources import shared
 from tessera.sources.shared import shared_dir
 from tessera.sources.store import GraphStore
 
@@ -141,6 +144,24 @@ def test_mended_column(spark):
     assert [r.j for r in df.collect()] == ['{"a":[1]}', None, None]
 
 
+def test_equal_texts_are_mended_once(monkeypatch):
+    calls, mend = [], json_repair.repaired
+    monkeypatch.setattr(json_repair, "repaired", lambda t: calls.append(t) or mend(t))
+    assert json_repair.each_once(pd.Series(['{"a":1', None, "x", '{"a":1', "x"], dtype=object)).tolist() == ['{"a":1}', None, None, '{"a":1}', None]
+    assert sorted(calls) == ["x", '{"a":1']
+
+
+def test_cuts_of_one_file_are_mended_in_many_tasks(spark, tmp_path, monkeypatch):
+    """Events of one row group, which one task reads, and one without properties."""
+    monkeypatch.setattr(shared, "TASK_ROWS", 50)
+    rows = [(i, f'{{"k": {i}}}') for i in range(30)] + [(99, None)]
+    spark.createDataFrame(rows, "event_id long, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    found = storage.json_repair(spark, str(tmp_path))
+    assert sorted(map(tuple, found.where("event_id = 12").collect())) == [(12, n, n > 0, 1 if n == 7 else 12 if n > 7 else None) for n in range(10)]
+    assert found.count() == sum(len(p) + 1 for _, p in rows[:-1])
+    assert found.rdd.getNumPartitions() == -(-found.count() // 50)
+
+
 def graph(spark, documents, weight=1.0):
     e = spark.createDataFrame([("A", "t", 0.5, "d", "low", documents), ("B" + documents[0], None, 0.4, None, "high", documents), (None, "t", 0.1, "", "low", documents)], "name string, type string, confidence double, description string, importance string, documents array<string>")
     r = spark.createDataFrame([("A", "B", "likes", weight, documents)], "source string, target string, type string, weight double, documents array<string>")
