@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import random
 
+import oracle
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import graph, modes
+from tessera.plans import registry
 from tessera.sources import shared
 
 
@@ -74,3 +77,18 @@ def test_a_number_of_tasks_holds_where_the_session_has_more_partitions(spark, mo
     counted = shared.dealt(rows, 100, "k").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     assert sorted(map(tuple, counted.collect())) == [(k, 10) for k in range(10)]
     assert counted.rdd.getNumPartitions() == 5
+
+
+@pytest.mark.parametrize("name,rows", [("entity_rels", 0), ("entity_context", 0), ("cooccurrence", 12_000), ("subgraph", 2_000)])
+def test_large_tables_are_dealt_up_to_the_last_step(spark, sf, monkeypatch, name, rows):
+    """With nodes too many to be sent, the last step too has a task for so many rows, and the rows are those of SQL."""
+    monkeypatch.setattr(shared, "TASK_ROWS", 200)
+    monkeypatch.setattr(graph, "SENT_NODES", 0, raising=False)
+    sent = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = registry.QUERIES[name](spark, sf)
+        assert oracle.differences(found, oracle.connect(sf), registry.ORACLE_SQL[name]) == ""
+        assert found.rdd.getNumPartitions() >= rows / 200 - 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", sent)
