@@ -79,7 +79,7 @@ def test_a_number_of_tasks_holds_where_the_session_has_more_partitions(spark, mo
     assert counted.rdd.getNumPartitions() == 5
 
 
-@pytest.mark.parametrize("name,rows", [("entity_rels", 0), ("entity_context", 0), ("cooccurrence", 12_000), ("subgraph", 2_000), ("referential_filter", 12_000)])
+@pytest.mark.parametrize("name,rows", [("entity_rels", 0), ("entity_context", 0), ("cooccurrence", 12_000), ("subgraph", 2_000), ("referential_filter", 12_000), ("graph_document", 12_000)])
 def test_large_tables_are_dealt_up_to_the_last_step(spark, sf, monkeypatch, name, rows):
     """With nodes too many to be sent, the last step too has a task for so many rows, and the rows are those of SQL."""
     monkeypatch.setattr(shared, "TASK_ROWS", 200)
