@@ -13,6 +13,8 @@ from tessera.functions import vector
 HELD = 20_000
 #: Scores of one step of a meeting of two blocks.
 STEP = 1_000_000
+#: Vectors of one block of an index that meets itself, scores of one step, and vectors of one side in it.
+HELD_PAIRS, STEP_PAIRS, STRIP = 40_000, 4_000_000, 2_000
 
 
 def hashed_counts(rows: DataFrame, word: str, size: int = 64) -> DataFrame:
@@ -137,9 +139,89 @@ def nearest(queries: DataFrame, index: DataFrame, k: int, measure: str = "cosine
     return top_k_blocks(queries, index, k, threshold, held, measure, same_label).withColumnsRenamed({"source": "query_id", "target": "vec_id"})
 
 
-def similar_pairs(index: DataFrame, k: int, threshold: float, held: int = HELD) -> DataFrame:
-    """top_k_blocks() of an index with itself."""
-    return top_k_blocks(index, index, k, threshold, held)
+class _Kept:
+    """The k best (target, score) of each row so far, ties by the smaller target, and of each row the score that a further one has to come up to."""
+
+    def __init__(self, ids: np.ndarray, k: int, threshold: float):
+        self.ids, self.k, self.least = ids, k, np.full(len(ids), threshold)
+        self.row, self.target, self.score = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0)
+
+    def add(self, row: np.ndarray, target: np.ndarray, score: np.ndarray) -> None:
+        good = score >= self.least[row]
+        row, target, score = (np.concatenate(x) for x in ((self.row, row[good]), (self.target, target[good]), (self.score, score[good])))
+        order = np.lexsort((target, -score, row))
+        row, target, score = row[order], target[order], score[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        last = place == self.k - 1
+        self.least[row[last]] = score[last]
+        stay = place < self.k
+        self.row, self.target, self.score = row[stay], target[stay], score[stay]
+
+    def frame(self) -> pd.DataFrame:
+        return pd.DataFrame({"source": self.ids[self.row], "target": self.target, "score": self.score})
+
+
+def _both_best(k: int, threshold: float):
+    """A function of two blocks (vec_id, v, and twin: whether they are one block): the k best of each row of either in the other.
+
+    All pairs are multiplied in single precision; those that could come up to what their rows have so far, by its error, are scored again in double.
+    """
+
+    def prepared(block: pd.DataFrame):
+        v = np.stack(block["v"].to_numpy())
+        length = np.linalg.norm(v, axis=1)
+        v = v[length != 0] / length[length != 0, None]
+        return block["vec_id"].to_numpy()[length != 0], v, v.astype(np.float32)
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return _Kept(np.empty(0, dtype=np.int64), k, threshold).frame()
+        twin = bool(a["twin"].iloc[0])
+        (ids, x, fast_x), (others, y, fast_y) = prepared(a), prepared(b)
+        if not len(ids) or not len(others):
+            return _Kept(ids[:0], k, threshold).frame()
+        # what is kept of a strip is sorted anew at each step, so strips are short
+        tall, wide = STEP_PAIRS // STRIP, STRIP
+        rows = [_Kept(ids[i : i + tall], k, threshold) for i in range(0, len(ids), tall)]
+        cols = [_Kept(others[j : j + wide], k, threshold) for j in range(0, len(others), wide)]
+        margin = 2e-6 + 2e-7 * (x.shape[1] + 8)  # of rounding to six places and of single precision
+
+        def bar(least: np.ndarray) -> np.ndarray:
+            return np.where(least <= 0, -np.inf, least - margin).astype(np.float32)  # all below 0 count as 0
+
+        for j, down in enumerate(cols):
+            for i, along in enumerate(rows):
+                u, v, u_ids, v_ids = x[i * tall : (i + 1) * tall], y[j * wide : (j + 1) * wide], along.ids, down.ids
+                s = fast_x[i * tall : (i + 1) * tall] @ fast_y[j * wide : (j + 1) * wide].T
+                mask = s >= bar(along.least)[:, None]
+                if not twin:
+                    mask |= s >= bar(down.least)
+                found = np.flatnonzero(mask)
+                for at in range(0, len(found), 200_000):
+                    p, q = np.divmod(found[at : at + 200_000], len(v_ids))
+                    p, q = p[u_ids[p] != v_ids[q]], q[u_ids[p] != v_ids[q]]
+                    score = np.round(np.clip(np.einsum("ij,ij->i", u[p], v[q]), 0, 1), 6) + 0.0
+                    along.add(p, v_ids[q], score)
+                    if not twin:
+                        down.add(q, u_ids[p], score)
+        return pd.concat([strip.frame() for strip in (rows if twin else rows + cols)])
+
+    return best
+
+
+def similar_pairs(index: DataFrame, k: int, threshold: float, held: int = HELD_PAIRS) -> DataFrame:
+    """source, target, score, rank: for each vector (vec_id, v) the k others of the highest cosine, cut to [0, 1], at or above the threshold; ties by the smaller id. Vectors without length have none.
+
+    Blocks of about `held` vectors meet each other and themselves once, and both sides keep their best of a meeting, so a pair is looked at once.
+    """
+    blocks = max(4, -(-index.count() // held))
+    own = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
+    side = index.select("vec_id", "v", own.alias("own"))
+    left = side.select("vec_id", "v", F.col("own").alias("block"), F.explode(F.sequence("own", F.lit(blocks - 1))).alias("other")).withColumn("twin", F.col("block") == F.col("other"))
+    right = side.select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("block"), F.col("own").alias("other"))
+    pairs = left.groupBy("block", "other").cogroup(right.groupBy("block", "other")).applyInPandas(_both_best(k, threshold), "source long, target long, score double")
+    w = Window.partitionBy("source").orderBy(F.desc("score"), "target")
+    return pairs.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
 def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
