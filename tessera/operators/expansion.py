@@ -29,7 +29,9 @@ def expanded(anchors: DataFrame, mentions: DataFrame, edges: DataFrame, most: in
     """
     anchors = cut(anchors.select("query_id", "chunk_id").distinct())
     own = cut(anchors.join(mentions.select("chunk_id", "entity"), "chunk_id").select("query_id", "entity").distinct())
-    both = edges.select("a", "b", "strength").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "strength"))
+    # both ways of an edge come of one row, so edges are worked out once
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = edges.select(F.explode(ways).alias("way"), "strength").select("way.a", "way.b", "strength")
     # a query's own entities are left out of its neighbours, so of an entity so many more are needed
     held = own.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
     both = first_rows(both, ["a"], [F.desc("strength"), "b"], related + held)

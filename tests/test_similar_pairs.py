@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from tessera.operators import vectors
+from tessera.operators import expansion, vectors
 
 
 def _all_pairs(ids, v, k, threshold):
@@ -56,3 +56,19 @@ def test_a_pair_is_multiplied_once(spark, monkeypatch):
     monkeypatch.setattr(vectors, "_both_best", counted)
     assert vectors.similar_pairs(df, 3, 0.1, held=16).count() == 64 * 3
     assert seen.value < 0.7 * 64 * 64
+
+
+def test_edges_of_an_expansion_are_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    edges = spark.range(40).selectExpr("id AS a", "id + 1 AS b", "0.9D AS strength").mapInArrow(count, "a long, b long, strength double")
+    mentions = spark.range(82).selectExpr("id AS chunk_id", "id div 2 AS entity", "0.8D AS confidence")
+    anchors = spark.createDataFrame([(1, 10), (2, 30)], "query_id long, chunk_id long")
+    found = {(r.query_id, r.chunk_id, r.hop, r.via) for r in expansion.expanded(anchors, mentions, edges).collect()}
+    assert found == {(q, c, h, via) for q, e in ((1, 5), (2, 15)) for c, h, via in ((2 * e + 1, 1, f"{e}"), *((c, 2, f"{e}>{o}") for o in (e - 1, e + 1) for c in (2 * o, 2 * o + 1)))}
+    assert seen.value == 40
